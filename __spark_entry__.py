@@ -56,7 +56,7 @@ from vicinal.operators.topk import (  # noqa: E402
 )
 from vicinal.operators.tuning import best_key_length, default_key_length  # noqa: E402
 from vicinal.session import Scratch  # noqa: E402
-from vicinal.sources.edges import edges_between, read_edges, vertices_with, write_edges  # noqa: E402
+from vicinal.sources.edges import edges_listed, read_edges, vertices_listed, write_edges  # noqa: E402
 from vicinal.sources.points import (  # noqa: E402
     assign_ids,
     describe,
@@ -86,8 +86,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_embeddings(_table(spark, sf_dir, "embeddings"))
+def _points(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    return from_embeddings(_table(spark, sf_dir, "embeddings"), wide)
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,11 +314,10 @@ def _lsh_wide_radius(spark, sf_dir):
     return _edges(knn_graph(_points(spark, sf_dir), config).edges, "rank")
 
 
-def _remaining(points, by_count=True):
+def _remaining(points, k=5, limit=MAX_COMPARISONS):
     buckets = _buckets(points)
-    edges = knn_in_buckets(points, buckets, 5)
-    limit = MAX_COMPARISONS if by_count else 0
-    return edges, drop_completed(points, edges, bucket_viewed(buckets), 5, limit)
+    edges = knn_in_buckets(points, buckets, k)
+    return edges, drop_completed(points, edges, bucket_viewed(buckets), k, limit)
 
 
 def _drop_completed(spark, sf_dir):
@@ -326,7 +325,7 @@ def _drop_completed(spark, sf_dir):
 
 
 def _drop_completed_lists(spark, sf_dir):
-    return _remaining(_points(spark, sf_dir), by_count=False)[1].select("id")
+    return _remaining(_points(spark, sf_dir), k=60, limit=0)[1].select("id")
 
 
 def _straggler_reverse(spark, sf_dir):
@@ -460,7 +459,7 @@ def _point_summary(points: DataFrame) -> DataFrame:
 
 
 def _text_points(spark, sf_dir):
-    points = _points(spark, sf_dir)
+    points = _points(spark, sf_dir, wide=True)
     path = Scratch(spark).new_path("points.txt")
     line = F.concat_ws(";", F.col("id") + 1, F.array_join(F.col("features").cast("array<string>"), ";"))
     points.select(line.alias("value")).write.text(path)
@@ -468,7 +467,7 @@ def _text_points(spark, sf_dir):
 
 
 def _libsvm_points(spark, sf_dir):
-    points = _points(spark, sf_dir)
+    points = _points(spark, sf_dir, wide=True)
     path = Scratch(spark).new_path("points.libsvm")
     items = F.transform("features", lambda x, i: F.concat_ws(":", i + 1, x))
     points.select(F.concat_ws(" ", "label", F.array_join(items, " ")).alias("value")).write.text(path)
@@ -482,11 +481,12 @@ def _text_roundtrip(spark, sf_dir):
 
 
 def _edge_lookup(spark, sf_dir):
-    return _edges(edges_between(knn_exact(_points(spark, sf_dir), 10), 0, EDGE_TO))
+    return _edges(edges_listed(knn_exact(_points(spark, sf_dir), 10), _pairs(spark, sf_dir)))
 
 
 def _vertex_lookup(spark, sf_dir):
-    return vertices_with(_points(spark, sf_dir), EDGE_TO).select("id", "label", "group_id")
+    toxic = _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return vertices_listed(_points(spark, sf_dir), toxic).select("id", "label", "group_id")
 
 
 def _neighbor_labels(spark, sf_dir):
@@ -499,9 +499,6 @@ def _assign_ids(spark, sf_dir):
     return assign_ids(_table(spark, sf_dir, "lineitem").select("l_orderkey")).select("id")
 
 
-EDGE_TO = 338
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; every one reads whole tables."""
     prefix = "_"
@@ -756,7 +753,10 @@ def oracle_sql() -> dict[str, str]:
         "lsh_wide_radius": _with(POINTS, _exact("e", 6), _show("e")),
         "drop_completed": _with(POINTS, HASHED, SIZED, LEFT, "SELECT id FROM st"),
         "drop_completed_lists": _with(
-            *round_tables, "SELECT id FROM p WHERE id NOT IN (SELECT src FROM r GROUP BY src HAVING count(*) >= 5)"
+            POINTS,
+            HASHED,
+            SIZED,
+            f"SELECT id FROM p WHERE id NOT IN (SELECT src FROM (SELECT DISTINCT src, dst FROM {TOGETHER}) GROUP BY src HAVING count(*) >= 60)",
         ),
         "straggler_reverse": _with(
             *round_tables,
@@ -844,8 +844,11 @@ def oracle_sql() -> dict[str, str]:
         "text_points": _with(POINTS, summary.format("id")),
         "libsvm_points": _with(POINTS, summary.format("group_id::DOUBLE AS label")),
         "text_roundtrip": _with(POINTS, _exact("e", 5), _show("e", rank=False)),
-        "edge_lookup": _with(POINTS, _exact("e", 10), _show("e", rank=False) + f" WHERE src = 0 AND dst = {EDGE_TO}"),
-        "vertex_lookup": f"SELECT vec_id AS id, label::DOUBLE AS label, label AS group_id FROM embeddings WHERE vec_id = {EDGE_TO}",
+        "edge_lookup": _with(
+            POINTS, PAIRS, _exact("e", 10), _show("e", rank=False) + " WHERE (src, dst) IN (SELECT (src, dst) FROM pairs)"
+        ),
+        "vertex_lookup": "SELECT vec_id AS id, label::DOUBLE AS label, label AS group_id FROM embeddings "
+        "WHERE vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
         "neighbor_labels": _with(
             POINTS, _exact("e", 5), "SELECT src, dst, p.group_id::DOUBLE AS label FROM e JOIN p ON p.id = e.dst"
         ),

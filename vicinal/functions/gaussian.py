@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vicinal.functions.distance import matrix
+from vicinal.functions.stats import dim_stats
 
 ROWS_PER_DRAW = 1024
-LARGEST_DIM = 4096  # a covariance goes to every task; this bounds it to 128 MB
+LARGEST_DIM = 1024  # a covariance goes to every task; this bounds it to 8 MB
 
 
 @dataclass(frozen=True)
@@ -42,26 +43,26 @@ class Gaussian:
 
     @classmethod
     def fit(cls, points: DataFrame) -> Gaussian:
-        """Mean and population covariance of a point table; only d + d*d sums reach the driver."""
-        dim = points.agg(F.max(F.size("features"))).first()[0] or 0
+        """Mean and population covariance of a point table; only d and d*d numbers reach the driver."""
+        means = {row["dim"]: row["mean"] for row in dim_stats(points).select("dim", "mean").toLocalIterator()}
+        mean = np.array([means[i] for i in range(len(means))])
+        dim = len(mean)
         if dim > LARGEST_DIM:
             raise ValueError(f"at most {LARGEST_DIM} dimensions, got {dim}")
 
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, s, p = 0, np.zeros(dim), np.zeros((dim, dim))
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = 0, np.zeros((dim, dim))
             for batch in batches:
                 if batch.num_rows:
-                    x = matrix(batch.column(0))
-                    n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
+                    gap = matrix(batch.column(0)) - mean
+                    n, total = n + len(gap), total + gap.T @ gap
             if n:
-                values = np.concatenate([[n], s, p.ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "v"])
-
-        parts = points.select("features").mapInArrow(sums, "at bigint, v double")
-        total = parts.groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
-        n = total[0]
-        mean = total[1 : dim + 1] / n
-        return cls(mean, total[dim + 1 :].reshape(dim, dim) / n - np.outer(mean, mean))
+                arrays = [pa.array(np.arange(dim * dim)), pa.array(total.ravel()), pa.array(np.full(dim * dim, n))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["at", "total", "n"])
+
+        parts = points.select("features").mapInArrow(products, "at bigint, total double, n bigint")
+        cells = parts.groupBy("at").agg((F.sum("total") / F.sum("n")).alias("v")).toPandas()
+        return cls(mean, cells.sort_values("at")["v"].to_numpy().reshape(dim, dim))
 
     def density(self, features: Column | str) -> Column:
         """Probability density at each vector (or number) of a column."""

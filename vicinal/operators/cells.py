@@ -11,7 +11,7 @@ batch or one cell. A row's side says what it takes part in:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +76,11 @@ def cell_edges(cells: DataFrame, k: int, distance: Distance, tasks: int, place:
         rows = rows.repartition(tasks, "cell")
     rows = rows.sortWithinPartitions(F.xxhash64("cell"), "cell", "side")
 
+    block = None if distance is SQUARED_EUCLIDEAN else distance.block
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _whole_cells(batches):
-            yield from _compare_cells(piece, k, distance)
+            yield from _compare_cells(piece, k, block)
 
     return rows.mapInArrow(compare, EDGE_SCHEMA)
 
@@ -109,7 +111,7 @@ def _changes(values: pa.Array) -> np.ndarray:
     return np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1
 
 
-def _compare_cells(piece: pa.Table, k: int, distance: Distance) -> Iterator[pa.RecordBatch]:
+def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[pa.RecordBatch]:
     piece = piece.combine_chunks()
     column = {name: piece.column(name).chunk(0) for name in piece.column_names}
     ids, groups, sides = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "group_id", "side"))
@@ -125,7 +127,7 @@ def _compare_cells(piece: pa.Table, k: int, distance: Distance) -> Iterator[pa.R
     low = np.select([(sides == BOTH) | (sides == RIGHT), sides == TARGET], [start, end], middle)
     high = np.where(sides == RIGHT, middle, end)
 
-    together = sizes <= SMALL_CELL if distance == SQUARED_EUCLIDEAN else sizes < 0
+    together = sizes <= (SMALL_CELL if block is None else 0)
     for src, dst, d in _small_cells(x, ids, groups, np.flatnonzero(np.repeat(together, sizes)), low, high, k):
         yield _edge_batch(ids[src], groups[dst], ids[dst], d)
     for first, size in zip(starts[~together], sizes[~together]):
@@ -134,7 +136,7 @@ def _compare_cells(piece: pa.Table, k: int, distance: Distance) -> Iterator[pa.R
             sources = rows[(low[rows] == span[0]) & (high[rows] == span[1])]
             for group in np.unique(groups[span[0] : span[1]]):
                 targets = np.arange(*span)[groups[span[0] : span[1]] == group]
-                for src, dst, d in _block(x, ids, sources, targets, k, distance):
+                for src, dst, d in _block(x, ids, sources, targets, k, block):
                     yield _edge_batch(ids[src], groups[dst], ids[dst], d)
 
 
@@ -175,15 +177,15 @@ def _nearest(src, group, d, dst, k) -> np.ndarray:
     return order[rank < k]
 
 
-def _block(x, ids, sources, targets, k, distance):
+def _block(x, ids, sources, targets, k, block):
     """The k nearest targets of each source, in slices of the distance matrix.
 
-    For squared distances a matrix product gives approximate values; all targets within its rounding
+    `block` is the caller's own distance. For squared distances a matrix product gives approximate values; all targets within its rounding
     error of the k-th are then measured exactly, so the choice is that of the exact distances.
     """
     if len(sources) == 0 or len(targets) == 0:
         return
-    exact = distance != SQUARED_EUCLIDEAN
+    exact = block is not None
     b = x[targets]
     if not exact:
         center = b.mean(axis=0)
@@ -198,7 +200,7 @@ def _block(x, ids, sources, targets, k, distance):
         part = sources[at : at + step]
         a = x[part]
         if exact:
-            d = np.array(distance.block(a, b), dtype=np.float64)
+            d = np.array(block(a, b), dtype=np.float64)
             slack = 0.0
         else:
             a_centered = a - center

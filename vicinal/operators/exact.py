@@ -11,7 +11,7 @@ from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.operators.cells import BOTH, LEFT, RIGHT, SOURCE, TARGET, block_of, block_rows_for, cell_edges
 from vicinal.operators.topk import top_k
 from vicinal.session import tasks_for
-from vicinal.sources.points import describe, kernel_columns
+from vicinal.sources.points import PointStats, describe, kernel_columns
 
 
 def knn_exact(
@@ -21,6 +21,7 @@ def knn_exact(
     subset: DataFrame | None = None,
     distance: Distance = SQUARED_EUCLIDEAN,
     block_rows: int | None = None,
+    stats: PointStats | None = None,
 ) -> DataFrame:
     """The k nearest of every point, exactly; with `group_col`, k from each group of neighbours.
 
@@ -28,8 +29,8 @@ def knn_exact(
     their id, and each pair of blocks is one cell, so no task sees more than two blocks.
     """
     if subset is not None:
-        points = points.join(subset.select("id").distinct(), "id", "left_semi")
-    stats = describe(points)
+        points, stats = points.join(subset.select("id").distinct(), "id", "left_semi"), None
+    stats = stats or describe(points)
     spark = points.sparkSession
     most = block_rows or block_rows_for(stats.dim)
     cores = spark.sparkContext.defaultParallelism

@@ -73,7 +73,7 @@ def _build(points, config, group_col, distance) -> KnnResult:
     if config.method == "brute":
         stats = describe(points)
         pairs = stats.n * (stats.n - 1) // 2
-        return KnnResult(knn_exact(points, config.k, group_col, distance=distance), None, config, [], pairs, pairs)
+        return KnnResult(knn_exact(points, config.k, group_col, distance=distance, stats=stats), None, config, [], pairs, pairs)
     return _hashed(points, config, group_col, distance)
 
 
@@ -82,7 +82,7 @@ def _hashed(points: DataFrame, config: KnnConfig, group_col: str | None, distanc
     stats = describe(points)
     n, k = stats.n, config.k
     if n <= 1:
-        return KnnResult(knn_exact(points, k, group_col, distance=distance), None, config)
+        return KnnResult(knn_exact(points, k, group_col, distance=distance, stats=stats), None, config)
     config = with_parameters(config, choose_parameters(points, n, stats.dim, config))
     family = HashFamily(stats.dim, config.key_length, config.tables, config.seed, share_tables=config.share_tables)
     groups = points.select(group_col).distinct().count() if group_col else 1
@@ -118,7 +118,7 @@ def _hashed(points: DataFrame, config: KnnConfig, group_col: str | None, distanc
         radius *= 2
 
     if edges is None:
-        result.edges = knn_exact(points, k, group_col, distance=distance)
+        result.edges = knn_exact(points, k, group_col, distance=distance, stats=stats)
         result.comparisons = result.all_pairs
         return result
     if left:

@@ -32,8 +32,19 @@ def write_edges(edges: DataFrame, path: str, format: str = "parquet", overwrite:
 
 
 def edges_between(edges: DataFrame, src: int, dst: int) -> DataFrame:
+    """The edges from one node to another."""
     return edges.where((F.col("src") == src) & (F.col("dst") == dst))
 
 
+def edges_listed(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges whose ends are a row (src, dst) of a table."""
+    return edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_semi")
+
+
 def vertices_with(points: DataFrame, id: int) -> DataFrame:
     return points.where(F.col("id") == id)
+
+
+def vertices_listed(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """The points whose id is in a table."""
+    return points.join(ids.select("id"), "id", "left_semi")
