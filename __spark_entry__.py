@@ -315,8 +315,9 @@ def _lsh_wide_radius(spark, sf_dir):
 
 
 def _remaining(points, k=5, limit=MAX_COMPARISONS):
-    buckets = _buckets(points)
-    edges = knn_in_buckets(points, buckets, k)
+    scratch = Scratch(points.sparkSession)
+    buckets = scratch.save(_buckets(points), "buckets")
+    edges = scratch.save(knn_in_buckets(points, buckets, k), "edges")
     return edges, drop_completed(points, edges, bucket_viewed(buckets), k, limit)
 
 
@@ -346,7 +347,14 @@ def _straggler_exhaustive(spark, sf_dir):
 
 def _graphs(spark, sf_dir, exact_k=5):
     points = _points(spark, sf_dir)
-    return knn_exact(points, exact_k), knn_in_buckets(points, _buckets(points), 5)
+    scratch = Scratch(spark)
+    exact = scratch.save(knn_exact(points, exact_k), "exact")
+    return exact, scratch.save(knn_in_buckets(points, _buckets(points), 5), "approximate")
+
+
+def _rough_graph(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return knn_in_buckets(points, _buckets(points), 5)
 
 
 def _recall(spark, sf_dir):
@@ -375,11 +383,11 @@ def _positional_linear(spark, sf_dir):
 
 
 def _degrees(spark, sf_dir):
-    return degrees(_graphs(spark, sf_dir)[1])
+    return degrees(_rough_graph(spark, sf_dir))
 
 
 def _degree_stats(spark, sf_dir):
-    return degree_stats(_graphs(spark, sf_dir)[1])
+    return degree_stats(_rough_graph(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- vectors and statistics

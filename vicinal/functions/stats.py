@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ranks up to this are taken from the head of each group; deeper ones are narrowed down first.
+from vicinal.session import Scratch
+
+# Below this rank the head of each group is small enough to be ranked as it is.
 SHALLOW = 1000
-GRID = 256
-ACCURACY = 4096
 
 
 def dim_stats(points: DataFrame) -> DataFrame:
@@ -55,53 +55,32 @@ def approx_median(rows: DataFrame, group: str, value: str, accuracy: int = 10000
 def select_rank(rows: DataFrame, group: str, value: str, rank: Column) -> DataFrame:
     """The value at `rank` (a column over `_n`, the group's size) of each group, exactly.
 
-    Quantile sketches, merged map-side, give each group two bounds around the wanted rank. Values below
-    them are only counted; values between them are counted by value and ranked. Should a sketch miss,
-    its group's bounds are those of all its values, so the outcome never depends on the sketch.
+    Values are counted map-side and range-partitioned by (group, value), so a group with most of the
+    rows lies in many partitions, in order. Counts per group and partition then tell which partition
+    holds the wanted rank, and only that one is ranked. The placed table is written, as its partition
+    numbers are read twice.
     """
-    rows = rows.select(F.col(group).alias("_g"), F.col(value).alias("_x")).where(F.col("_x").isNotNull())
-    steps = [i / GRID for i in range(GRID + 1)]
-    sketch = (
-        rows.groupBy("_g")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.percentile_approx("_x", steps, ACCURACY).alias("_grid"),
-            F.min("_x").alias("_min"),
-            F.max("_x").alias("_max"),
-        )
-        .withColumn("_rank", rank.cast("bigint"))
-        .where((F.col("_rank") >= 1) & (F.col("_rank") <= F.col("_n")))
-    )
-    at = F.col("_rank") / F.col("_n") * GRID
-    low, high = F.floor(at).cast("int") - 1, F.ceil(at).cast("int") + 1
-    bounds = sketch.select(
-        "_g",
-        "_rank",
-        "_min",
-        "_max",
-        F.when(low < 0, F.col("_min")).otherwise(F.get("_grid", low)).alias("_low"),
-        F.when(high > GRID, F.col("_max")).otherwise(F.get("_grid", high)).alias("_high"),
-    )
-    below = F.col("_x") < F.col("_low")
-    held = rows.join(bounds, "_g")
-    counts = held.groupBy("_g", "_rank", "_low", "_high", "_min", "_max").agg(
-        F.count(F.when(below, 1)).alias("_below"), F.count(F.when(F.col("_x") <= F.col("_high"), 1)).alias("_upto")
-    )
-    hit = (F.col("_below") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto"))
-    sure = counts.select(
-        "_g",
-        F.when(hit, F.col("_low")).otherwise(F.col("_min")).alias("_low"),
-        F.when(hit, F.col("_high")).otherwise(F.col("_max")).alias("_high"),
-        (F.col("_rank") - F.when(hit, F.col("_below")).otherwise(0)).alias("_left"),
-    )
-    inside = (
-        rows.join(sure, "_g")
-        .where(F.col("_x").between(F.col("_low"), F.col("_high")))
-        .groupBy("_g", "_left", "_x")
+    spark = rows.sparkSession
+    counted = (
+        rows.select(F.col(group).alias("_g"), F.col(value).alias("_x"))
+        .where(F.col("_x").isNotNull())
+        .groupBy("_g", "_x")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    running = F.sum("_times").over(Window.partitionBy("_g").orderBy("_x"))
-    last = inside.withColumn("_upto", running).where(
-        (F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_times") < F.col("_left"))
+    ordered = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_g", "_x")
+    placed = Scratch(spark).save(ordered.withColumn("_part", F.spark_partition_id()), "placed")
+
+    of_group = Window.partitionBy("_g")
+    earlier = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    target = (
+        placed.groupBy("_g", "_part")
+        .agg(F.sum("_times").alias("_here"))
+        .withColumn("_n", F.sum("_here").over(of_group))
+        .withColumn("_left", rank.cast("bigint") - F.coalesce(F.sum("_here").over(earlier), F.lit(0)))
+        .where((F.col("_left") >= 1) & (F.col("_left") <= F.col("_here")))
+        .select("_g", "_part", "_left")
     )
-    return last.select(F.col("_g").alias(group), F.col("_x").alias(value))
+    running = F.sum("_times").over(of_group.orderBy("_x"))
+    found = placed.join(target, ["_g", "_part"]).withColumn("_upto", running)
+    found = found.where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_times") < F.col("_left")))
+    return found.select(F.col("_g").alias(group), F.col("_x").alias(value))

@@ -44,22 +44,25 @@ def missed_edges(exact: DataFrame, approx: DataFrame, id_below: int | None = Non
     """Edges only one graph has, for shared nodes whose approximate list is not all in the exact one.
 
     Edges differ if id or distance differs. Each row carries the node's largest distance in both graphs.
+    Everything happens inside the one placement by node.
     """
-    both = _side_by_side(exact, approx, id_below)
-    nodes = (
-        _overlap(both)
-        .where((F.col("exact_size") > 0) & (F.col("approx_size") > 0) & (F.col("hits") < F.col("approx_size")))
-        .select("src")
+    node, pair = Window.partitionBy("src"), Window.partitionBy("src", "dst")
+    edges = (
+        _side_by_side(exact, approx, id_below)
+        .groupBy("src", "dst", "distance")
+        .agg(F.max("in_exact").alias("e"), F.max("in_approx").alias("a"))
+        .withColumn("_e", F.max("e").over(pair))
+        .withColumn("_a", F.max("a").over(pair))
+        .withColumn("_first", F.row_number().over(pair.orderBy("distance")) == 1)
     )
-    largest = both.groupBy("src").agg(
-        F.max(F.when(F.col("in_exact") == 1, F.col("distance"))).alias("max_exact"),
-        F.max(F.when(F.col("in_approx") == 1, F.col("distance"))).alias("max_approx"),
-    )
-    edges = both.groupBy("src", "dst", "distance").agg(F.max("in_exact").alias("e"), F.max("in_approx").alias("a"))
+    once = lambda flag: F.sum(F.when(F.col("_first"), flag).otherwise(0)).over(node)
     return (
-        edges.where(F.col("e") != F.col("a"))
-        .join(nodes, "src")
-        .join(largest, "src")
+        edges.withColumn("_exact", once(F.col("_e")))
+        .withColumn("_approx", once(F.col("_a")))
+        .withColumn("_hits", once(F.col("_e") * F.col("_a")))
+        .withColumn("max_exact", F.max(F.when(F.col("e") == 1, F.col("distance"))).over(node))
+        .withColumn("max_approx", F.max(F.when(F.col("a") == 1, F.col("distance"))).over(node))
+        .where((F.col("_exact") > 0) & (F.col("_hits") < F.col("_approx")) & (F.col("e") != F.col("a")))
         .select(
             "src",
             F.when(F.col("e") == 1, "exact_only").otherwise("approx_only").alias("side"),
@@ -90,36 +93,34 @@ def positional(
     """
     if decay not in ("step", "linear"):
         raise ValueError(f"decay must be 'step' or 'linear', got {decay!r}")
-    by_distance = Window.partitionBy("src").orderBy("distance", "dst")
-    ranked = (
-        restrict(exact, id_below)
-        .select("src", "dst", "distance")
-        .withColumn("place", F.row_number().over(by_distance) - 1)
+    node = Window.partitionBy("src")
+    pairs = (
+        _side_by_side(exact, approx, id_below)
         .groupBy("src", "dst")
-        .agg(F.min("place").alias("place"))
+        .agg(
+            F.min(F.when(F.col("in_exact") == 1, F.col("distance"))).alias("distance"),
+            F.max("in_exact").alias("e"),
+            F.max("in_approx").alias("a"),
+        )
+        .withColumn("k", F.sum("a").over(node) if k is None else F.lit(k).cast("bigint"))
+        .withColumn("place", F.row_number().over(node.orderBy(F.desc("e"), "distance", "dst")) - 1)
+    )
+    lost = F.expr("(place - k + 1) div k") if decay == "step" else (F.col("place") - F.col("k") + 1) / F.col("k")
+    score = (
+        F.when((F.col("e") == 0) | (F.col("a") == 0), 0.0)
+        .when(F.col("place") < F.col("k"), 1.0)
+        .when(F.col("place") < 2 * F.col("k"), 1.0 - lost)
+        .otherwise(0.0)
     )
-    found = restrict(approx, id_below).select("src", "dst").distinct()
-    degree = found.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    over = F.col("place") - F.col("k") + 1
-    lost = F.expr("(place - k + 1) div k") if decay == "step" else over / F.col("k")
-    score = F.when(F.col("place") < F.col("k"), 1.0).when(F.col("place") < 2 * F.col("k"), 1.0 - lost).otherwise(0.0)
-    shared = restrict(exact, id_below).select("src").distinct()
-    nodes = degree.join(shared.withColumn("_shared", F.lit(True)), "src", "left")
-    scored = (
-        found.join(ranked, ["src", "dst"])
-        .join(degree, "src")
-        .withColumn("k", F.col("degree") if k is None else F.lit(k).cast("bigint"))
-        .groupBy("src")
-        .agg((F.sum(score) / F.first("k")).alias("score"))
+    nodes = pairs.groupBy("src").agg(
+        (F.sum(score) / F.max("k")).alias("score"), F.max("e").alias("e"), F.max("a").alias("a")
     )
-    exact_only = shared.join(degree.select("src"), "src", "left_anti").agg(F.count(F.lit(1)).alias("nodes_missing"))
-    mean = (
-        nodes.where("_shared")
-        .join(scored, "src", "left")
-        .agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("nodes_compared"))
+    shared = (F.col("e") == 1) & (F.col("a") == 1)
+    return nodes.agg(
+        F.avg(F.when(shared, F.col("score"))).alias("score"),
+        F.count(F.when(shared, 1)).alias("nodes_compared"),
+        F.count(F.when(F.col("a") == 0, 1)).alias("nodes_missing"),
     )
-    # Two one-row tables side by side.
-    return mean.withColumn("_one", F.lit(1)).join(exact_only.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

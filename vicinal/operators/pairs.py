@@ -10,19 +10,25 @@ from vicinal.operators.topk import top_k
 
 
 def pair_distances(
-    points: DataFrame, pairs: DataFrame, group_col: str | None = None, distance: Distance = SQUARED_EUCLIDEAN
+    points: DataFrame,
+    pairs: DataFrame,
+    group_col: str | None = None,
+    distance: Distance = SQUARED_EUCLIDEAN,
+    first: str = "src",
 ) -> DataFrame:
     """The distance of every pair (src, dst), with the group of dst if wanted.
 
-    The narrow pairs meet the source vectors first, so vectors travel with pairs in one shuffle only.
+    The narrow pairs meet the vectors of their `first` end first, so vectors travel with pairs in one
+    shuffle only. Have it be the end results are kept for: neither join then has the partitioning of
+    what follows, and Spark may split the partition of an id that is in most pairs.
     """
     group = [] if group_col is None else [F.col(group_col).cast("int").alias("group_id")]
     sources = points.select(F.col("id").alias("src"), F.col("features").alias("_a"))
     targets = points.select(F.col("id").alias("dst"), F.col("features").alias("_b"), *group)
     return (
         pairs.select("src", "dst")
-        .join(sources, "src")
-        .join(targets, "dst")
+        .join(*((sources, "src") if first == "src" else (targets, "dst")))
+        .join(*((targets, "dst") if first == "src" else (sources, "src")))
         .select("src", *(["group_id"] if group else []), "dst", distance.column(F.col("_a"), F.col("_b")).alias("distance"))
     )
 
@@ -51,4 +57,5 @@ def knn_connections(
     distance: Distance = SQUARED_EUCLIDEAN,
 ) -> DataFrame:
     """Along given connections (src, dst), the k nearest sources of each dst."""
-    return top_k(pair_distances(points, connections, None, distance), k, node="dst", keep_ties=keep_ties)
+    measured = pair_distances(points, connections, None, distance, first="dst")
+    return top_k(measured, k, node="dst", keep_ties=keep_ties)

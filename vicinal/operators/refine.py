@@ -34,11 +34,11 @@ def refine(
 
     The paths a -> b -> c meet in a cell for b: vectors go to b once for each edge, not once for each
     path, and only the k best of a cell leave it. A node b that many others point to has its sources
-    spread over several cells.
+    spread over several cells. The graph is written before each round, since it is read several times.
     """
+    scratch = Scratch(points.sparkSession)
     for done in range(rounds):
-        if done:
-            edges = Scratch(points.sparkSession).save(edges, f"refined{done}")
+        edges = scratch.save(edges, f"refined{done}")
         edges = _refine_once(points, edges, k, group_col, distance, block_rows or SOURCES_PER_CELL)
     return edges
 

@@ -21,10 +21,11 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 def write_edges(edges: DataFrame, path: str, format: str = "parquet", overwrite: bool = False) -> str:
     """Write distinct edges to `path`, or to `path-1`, ... if it is taken; returns where they went.
 
-    `format="text"` gives `(src,dst,distance)` lines.
+    `format="text"` gives `(src,dst,distance)` lines; other formats keep the neighbour's group, if any.
     """
     where = path if overwrite else free_path(edges.sparkSession, path)
-    rows = edges.select(*EDGE_COLUMNS).distinct()
+    grouped = format != "text" and "group_id" in edges.columns
+    rows = edges.select(*EDGE_COLUMNS, *(["group_id"] if grouped else [])).distinct()
     if format == "text":
         rows = rows.select(F.concat(F.lit("("), F.concat_ws(",", *EDGE_COLUMNS), F.lit(")")).alias("value"))
     rows.write.format(format).mode("overwrite" if overwrite else "errorifexists").save(where)
