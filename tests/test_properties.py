@@ -10,12 +10,12 @@ from vicinal.functions.gaussian import Gaussian
 from vicinal.functions.stats import kth_smallest, median_lower, select_rank
 from vicinal.operators import cells
 from vicinal.operators.buckets import bucketize, knn_from_lists, knn_in_buckets, nearest_in_buckets, split_buckets
-from vicinal.operators.copies import most_copies
 from vicinal.operators.evaluate import recall
 from vicinal.operators.exact import knn_against, knn_exact
 from vicinal.operators.hashing import HashFamily, hash_points
 from vicinal.operators.refine import refine
 from vicinal.operators.stragglers import straggler_exhaustive
+from vicinal.sources.points import describe
 
 MANHATTAN = Distance(
     "manhattan",
@@ -253,7 +253,7 @@ def test_a_third_of_all_rows_are_copies(make_points, method, group_col):
     vectors[40:44] = vectors[0]
     groups = draw.integers(0, 2, 60)
     points = make_points(vectors, ids=draw.permutation(60), groups=groups)
-    assert most_copies(points) == 20
+    assert describe(points, count_copies=True).copies == 20
     ids = [r["id"] for r in points.collect()]
     # One bucket for all, so that hashing is exact too.
     config = KnnConfig(k=4, method=method, copies_above=10, radius=1e6, tables=1, key_length=1, max_comparisons=1)

@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from vicinal.operators.topk import top_k
 
 
-def most_copies(points: DataFrame) -> int:
-    """An upper bound on the copies of any vector: points per hash value, counted map-side."""
-    counts = points.groupBy(F.xxhash64("features")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-
-
 def distinct_vectors(points: DataFrame, k: int, group_col: str | None) -> tuple[DataFrame, DataFrame]:
     """Representatives (the smallest id of each vector and group), and the first k + 1 ids of each.
 

@@ -17,7 +17,7 @@ from vicinal.operators.buckets import (
     knn_in_buckets,
     split_buckets,
 )
-from vicinal.operators.copies import copy_map, distinct_vectors, expand_copies, most_copies
+from vicinal.operators.copies import copy_map, distinct_vectors, expand_copies
 from vicinal.operators.exact import knn_exact
 from vicinal.operators.hashing import HashFamily, hash_points
 from vicinal.operators.retire import completed_ids
@@ -25,7 +25,7 @@ from vicinal.operators.stragglers import sized_reverse_lists, straggler_exhausti
 from vicinal.operators.topk import merge_counters, merge_graphs
 from vicinal.operators.tuning import choose_parameters, with_parameters
 from vicinal.session import Scratch
-from vicinal.sources.points import describe
+from vicinal.sources.points import PointStats, describe
 
 MAX_SPLITS = 4
 
@@ -54,13 +54,14 @@ def knn_graph(
     distance: Distance = SQUARED_EUCLIDEAN,
 ) -> KnnResult:
     """The k-nearest-neighbour graph of a point table; with `group_col`, k from each group of neighbours."""
-    if most_copies(points) <= config.copies_above:
-        return _build(points, config, group_col, distance)
+    stats = describe(points, count_copies=True)
+    if stats.copies <= config.copies_above:
+        return _build(points, stats, config, group_col, distance)
     # Long runs of identical vectors would be compared with each other for nothing.
     scratch = Scratch(points.sparkSession)
     reps, first = distinct_vectors(points, config.k, group_col)
     reps = scratch.save(reps, "distinct-vectors")
-    built = _build(reps, config, group_col, distance)
+    built = _build(reps, describe(reps), config, group_col, distance)
     copies = scratch.save(copy_map(points, reps, group_col), "copies")
     edges = expand_copies(built.edges, first, copies, config.k, group_col)
     viewed = None
@@ -69,17 +70,17 @@ def knn_graph(
     return KnnResult(edges, viewed, built.config, built.steps, built.comparisons, built.all_pairs)
 
 
-def _build(points, config, group_col, distance) -> KnnResult:
+def _build(points, stats, config, group_col, distance) -> KnnResult:
     if config.method == "brute":
-        stats = describe(points)
         pairs = stats.n * (stats.n - 1) // 2
         return KnnResult(knn_exact(points, config.k, group_col, distance=distance, stats=stats), None, config, [], pairs, pairs)
-    return _hashed(points, config, group_col, distance)
+    return _hashed(points, stats, config, group_col, distance)
 
 
-def _hashed(points: DataFrame, config: KnnConfig, group_col: str | None, distance: Distance) -> KnnResult:
+def _hashed(
+    points: DataFrame, stats: PointStats, config: KnnConfig, group_col: str | None, distance: Distance
+) -> KnnResult:
     """Hash the remaining points, compare inside buckets, retire the well-compared, double the radius."""
-    stats = describe(points)
     n, k = stats.n, config.k
     if n <= 1:
         return KnnResult(knn_exact(points, k, group_col, distance=distance, stats=stats), None, config)

@@ -16,25 +16,36 @@ from vicinal.session import Scratch
 
 @dataclass(frozen=True)
 class PointStats:
+    """Points, their dimension and, if counted, a bound on the copies of any one vector."""
+
     n: int
     dim: int
+    copies: int | None = None
+
 
+def describe(points: DataFrame, count_copies: bool = False) -> PointStats:
+    """Count points and find their dimension; null, empty or unequal vectors are refused.
 
-def describe(points: DataFrame) -> PointStats:
-    """Count points and find their dimension; null, empty or unequal vectors are refused."""
+    Copies are points per hash value of the vector, counted map-side: a bound, as values may collide.
+    """
     size = F.size("features")
-    row = points.agg(
+    rows = points.groupBy(F.xxhash64("features")) if count_copies else points
+    parts = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("features").alias("present"),
         F.count("id").alias("named"),
         F.min(size).alias("low"),
         F.max(size).alias("high"),
-    ).first()
+    )
+    if count_copies:
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "present", "named")]
+        parts = parts.agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("copies"))
+    row = parts.first()
     if row["present"] != row["n"] or row["named"] != row["n"]:
         raise ValueError("a point has a null id or a null vector")
     if row["low"] != row["high"]:
         raise ValueError(f"feature vectors differ in length: {row['low']} and {row['high']}")
-    return PointStats(row["n"], row["high"] or 0)
+    return PointStats(row["n"], row["high"] or 0, (row["copies"] or 0) if count_copies else None)
 
 
 def kernel_columns(points: DataFrame, group_col: str | None) -> DataFrame:
