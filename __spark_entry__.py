@@ -71,7 +71,6 @@ FAMILY = HashFamily(DIM, key_length=2, tables=4, seed=7)
 FINER = HashFamily(DIM, key_length=1, tables=2, seed=8)
 RADIUS = 0.2
 SPLIT_AT = 12
-MAX_COMPARISONS = 40
 
 MANHATTAN = Distance(
     "manhattan",
@@ -314,11 +313,16 @@ def _lsh_wide_radius(spark, sf_dir):
     return _edges(knn_graph(_points(spark, sf_dir), config).edges, "rank")
 
 
-def _remaining(points, k=5, limit=MAX_COMPARISONS):
+def _remaining(points, by_count=True):
+    """A graph of one hashing round and the points it leaves: those compared no more than the average,
+    or those with fewer neighbours than an eighth of all points."""
     scratch = Scratch(points.sparkSession)
     buckets = scratch.save(_buckets(points), "buckets")
+    viewed = bucket_viewed(buckets)
+    k = 5 if by_count else points.count() // 8
+    limit = int(viewed.agg(F.avg("viewed")).first()[0]) if by_count else 0
     edges = scratch.save(knn_in_buckets(points, buckets, k), "edges")
-    return edges, drop_completed(points, edges, bucket_viewed(buckets), k, limit)
+    return edges, drop_completed(points, edges, viewed, k, limit)
 
 
 def _drop_completed(spark, sf_dir):
@@ -326,7 +330,7 @@ def _drop_completed(spark, sf_dir):
 
 
 def _drop_completed_lists(spark, sf_dir):
-    return _remaining(_points(spark, sf_dir), k=60, limit=0)[1].select("id")
+    return _remaining(_points(spark, sf_dir), by_count=False)[1].select("id")
 
 
 def _straggler_reverse(spark, sf_dir):
@@ -593,8 +597,8 @@ ONE_ROUND = f"{_distances('rd', TOGETHER)}, {_top('r', 'rd', 5)}"
 ONE_ROUND_GROUPED = f"{_distances('rd', TOGETHER)}, {_top('r', 'rd', 2, grouped=True)}"
 LIST_PAIRS = "(SELECT x.id AS src, y.id AS dst FROM lists x JOIN lists y ON x.list_id = y.list_id AND x.id <> y.id)"
 LEFT = (
-    "st AS (SELECT id FROM p WHERE id NOT IN "
-    f"(SELECT id FROM bk GROUP BY id HAVING sum(size - 1) > {MAX_COMPARISONS}))"
+    "vw AS (SELECT id, sum(size - 1) AS viewed FROM bk GROUP BY id), "
+    "st AS (SELECT id FROM p WHERE id NOT IN (SELECT id FROM vw WHERE viewed > (SELECT floor(avg(viewed)) FROM vw)))"
 )
 REVERSE = (
     "rev AS (SELECT r.dst AS list_id, r.src FROM r JOIN st ON st.id = r.dst), "
@@ -764,7 +768,7 @@ def oracle_sql() -> dict[str, str]:
             POINTS,
             HASHED,
             SIZED,
-            f"SELECT id FROM p WHERE id NOT IN (SELECT src FROM (SELECT DISTINCT src, dst FROM {TOGETHER}) GROUP BY src HAVING count(*) >= 60)",
+            f"SELECT id FROM p WHERE id NOT IN (SELECT src FROM (SELECT DISTINCT src, dst FROM {TOGETHER}) GROUP BY src HAVING count(*) >= (SELECT count(*) // 8 FROM p))",
         ),
         "straggler_reverse": _with(
             *round_tables,

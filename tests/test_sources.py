@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from helpers import brute, neighbor_ids
@@ -8,7 +9,7 @@ from vicinal.operators.exact import knn_exact
 from vicinal.plans.workflow import run
 from vicinal.session import Scratch, checkpoint_root, free_path
 from vicinal.sources.edges import edges_between, edges_listed, read_edges, vertices_listed, vertices_with, write_edges
-from vicinal.sources.points import assign_ids, describe, lookup, read_delimited, read_libsvm, read_points
+from vicinal.sources.points import assign_ids, describe, from_vectors, lookup, read_delimited, read_libsvm, read_points
 
 
 def test_delimited_text_counts_ids_from_one(spark, tmp_path):
@@ -27,6 +28,28 @@ def test_libsvm_is_made_dense_and_numbered(spark, tmp_path):
     assert len(read_libsvm(spark, str(path), dim=5).first()["features"]) == 5
 
 
+def test_libsvm_ids_follow_files_and_lines(spark, tmp_path):
+    """Spark reads larger files first; ids go by name and line all the same."""
+    folder = tmp_path / "many.libsvm"
+    folder.mkdir()
+    labels = iter(range(1000))
+    for name, count in (("a", 3), ("b", 200), ("c", 1), ("d", 50)):
+        (folder / name).write_text("".join(f"{next(labels)} 1:1.0\n" for _ in range(count)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        rows = read_libsvm(spark, str(folder), dim=2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 254 and all(r["id"] == r["label"] for r in rows)
+
+
+def test_ml_vectors(spark):
+    rows = spark.createDataFrame([(3, Vectors.sparse(3, [1], [2.0])), (4, Vectors.dense(1, 2, 3))], ["key", "v"])
+    points = from_vectors(rows, id="key", features="v").orderBy("id").collect()
+    assert [(r["id"], r["features"]) for r in points] == [(3, [0.0, 2.0, 0.0]), (4, [1.0, 2.0, 3.0])]
+
+
 def test_edges_round_trip_and_never_overwrite(spark, line, tmp_path):
     edges = knn_exact(line, 2)
     path = str(tmp_path / "graph")

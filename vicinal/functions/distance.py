@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """An Arrow list column as a float64 matrix; every row must have the same length."""
+    """An Arrow list column as a float64 matrix; rows must have one length and finite values."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
@@ -28,7 +28,10 @@ def matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten()
     if values.null_count:
         raise ValueError("a feature vector holds a null")
-    return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, lengths["min"])
+    x = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, lengths["min"])
+    if not np.isfinite(x).all():
+        raise ValueError("a feature vector holds a value that is not finite")
+    return x
 
 
 def fold_squares(left: np.ndarray, right: np.ndarray, i=slice(None), j=slice(None)) -> np.ndarray:

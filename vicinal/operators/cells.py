@@ -116,8 +116,6 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
     column = {name: piece.column(name).chunk(0) for name in piece.column_names}
     ids, groups, sides = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "group_id", "side"))
     x = matrix(column["features"])
-    if not np.isfinite(x).all():
-        raise ValueError("a feature vector holds a value that is not finite")
     starts = np.concatenate([[0], _changes(column["cell"])])
     sizes = np.diff(np.append(starts, len(ids)))
 
@@ -180,8 +178,9 @@ def _nearest(src, group, d, dst, k) -> np.ndarray:
 def _block(x, ids, sources, targets, k, block):
     """The k nearest targets of each source, in slices of the distance matrix.
 
-    `block` is the caller's own distance. For squared distances a matrix product gives approximate values; all targets within its rounding
-    error of the k-th are then measured exactly, so the choice is that of the exact distances.
+    `block` is the caller's own distance. For squared distances a matrix product gives approximate
+    values; all targets within its rounding error of the k-th are then measured exactly, so the choice
+    is that of the exact distances.
     """
     if len(sources) == 0 or len(targets) == 0:
         return

@@ -78,13 +78,27 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def from_vectors(rows: DataFrame, id: str = "id", features: str = "features", label: str | None = None) -> DataFrame:
+    """Adapt a table with a column of ML vectors, dense or sparse."""
+    return rows.select(
+        F.col(id).cast("bigint").alias("id"),
+        (F.lit(0.0) if label is None else F.col(label).cast("double")).alias("label"),
+        vector_to_array(features).alias("features"),
+    )
+
+
 def read_libsvm(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """Read a libsvm file into points with ids 0, 1, ... in file order."""
+    """Read a libsvm file into points with ids 0, 1, ... in the order of its files and lines."""
     reader = spark.read.format("libsvm")
     if dim is not None:
         reader = reader.option("numFeatures", str(dim))
-    rows = reader.load(path).select("label", vector_to_array("features").alias("features"))
-    return assign_ids(rows).select("id", "label", "features")
+    rows = reader.load(path).select(
+        "label",
+        vector_to_array("features").alias("features"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_offset"),
+    )
+    return assign_ids(rows, order=["_path", "_offset"]).select("id", "label", "features")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -96,24 +110,23 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return read_delimited(spark, path)
 
 
-def assign_ids(rows: DataFrame, name: str = "id") -> DataFrame:
+def assign_ids(rows: DataFrame, name: str = "id", order: list[str] | None = None) -> DataFrame:
     """Number rows 0, 1, ... in their present order, without moving them.
 
-    The rows are written once with their partition and position, so that counting partitions and
-    numbering rows see the same layout; only one count per partition is gathered.
+    `order` names columns that are constant over runs of rows and sort those runs, such as file and
+    offset; partitions are the runs if it is not given. Rows are written once with their position, so
+    that counting runs and numbering rows see the same layout; only one count per run is gathered.
     """
     spark = rows.sparkSession
-    stored = Scratch(spark).save(rows.withColumn("_spot", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_spot", 33)
-    counts = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (
-        stored.withColumn("_part", part)
-        .join(starts, "_part")
-        .withColumn(name, F.col("_start") + F.col("_spot").bitwiseAND((1 << 33) - 1))
-        .drop("_part", "_start", "_spot")
-    )
+    runs = order or ["_part"]
+    spot = F.monotonically_increasing_id()
+    placed = rows.withColumn("_spot", spot).withColumn("_part", F.shiftright("_spot", 33))
+    stored = Scratch(spark).save(placed, "numbered")
+    counts = stored.groupBy(*runs).agg(F.count(F.lit(1)).alias("_rows"), F.min("_spot").alias("_first"))
+    before = Window.orderBy(*runs).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*runs, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    numbered = stored.join(starts, runs).withColumn(name, F.col("_start") + F.col("_spot") - F.col("_first"))
+    return numbered.select(*rows.columns, name)
 
 
 def lookup(ids: DataFrame, points: DataFrame, id_col: str = "id") -> DataFrame:
