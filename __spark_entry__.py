@@ -447,7 +447,7 @@ def _kth_smallest(spark, sf_dir):
 
 
 def _kth_smallest_deep(spark, sf_dir):
-    return kth_smallest(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", 5000)
+    return kth_smallest(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", 1200)
 
 
 def _median_lower(spark, sf_dir):
@@ -850,7 +850,7 @@ def oracle_sql() -> dict[str, str]:
             "AS density FROM lineitem, (SELECT avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM lineitem)"
         ),
         "kth_smallest": _rank_sql("l_suppkey", "5"),
-        "kth_smallest_deep": _rank_sql("l_returnflag", "5000"),
+        "kth_smallest_deep": _rank_sql("l_returnflag", "1200"),
         "median_lower": _rank_sql("l_suppkey", "(n + 1) // 2"),
         "median_compat": _rank_sql("l_suppkey", "greatest((n - 1) // 2, 1)"),
         "text_points": _with(POINTS, summary.format("id")),

@@ -20,10 +20,10 @@ TABLES = (
 ).split()
 
 
-def local_session(cpus: int = 8) -> SparkSession:
+def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
-        .config("spark.sql.shuffle.partitions", str(cpus))
+        .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

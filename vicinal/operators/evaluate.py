@@ -102,7 +102,7 @@ def positional(
             F.max("in_exact").alias("e"),
             F.max("in_approx").alias("a"),
         )
-        .withColumn("k", F.sum("a").over(node) if k is None else F.lit(k).cast("bigint"))
+        .withColumn("k", F.greatest(F.sum("a").over(node), F.lit(1)) if k is None else F.lit(k).cast("bigint"))
         .withColumn("place", F.row_number().over(node.orderBy(F.desc("e"), "distance", "dst")) - 1)
     )
     lost = F.expr("(place - k + 1) div k") if decay == "step" else (F.col("place") - F.col("k") + 1) / F.col("k")
