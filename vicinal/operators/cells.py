@@ -175,6 +175,21 @@ def _nearest(src, group, d, dst, k) -> np.ndarray:
     return order[rank < k]
 
 
+def _bound(d: np.ndarray, k: int) -> np.ndarray:
+    """A value for each row that at least k of its entries do not exceed, seldom many more.
+
+    With enough columns it is the k-th smallest of the minima of groups of columns.
+    """
+    per_group = min(32, d.shape[1] // (8 * k))
+    if per_group < 2:
+        return np.partition(d, k - 1, axis=1)[:, k - 1]
+    width = d.shape[1] // per_group
+    least = d[:, :width].copy()
+    for at in range(width, per_group * width, width):
+        np.minimum(least, d[:, at : at + width], out=least)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
+
+
 def _block(x, ids, sources, targets, k, block):
     """The k nearest targets of each source, in slices of the distance matrix.
 
@@ -192,6 +207,7 @@ def _block(x, ids, sources, targets, k, block):
         b_norms = np.einsum("ij,ij->i", b_centered, b_centered)
         rounding = 4 * (x.shape[1] + 8) * np.finfo(float).eps
         bt = np.ascontiguousarray(b.T)
+        bt_centered = np.ascontiguousarray(-2.0 * b_centered.T)
     by_id = np.argsort(ids[targets], kind="stable")
     sorted_ids = ids[targets][by_id]
     step = max(1, PAIRS_AT_ONCE // len(targets))
@@ -204,17 +220,19 @@ def _block(x, ids, sources, targets, k, block):
         else:
             a_centered = a - center
             a_norms = np.einsum("ij,ij->i", a_centered, a_centered)
-            d = a_norms[:, None] + b_norms - 2.0 * (a_centered @ b_centered.T)
+            d = a_centered @ bt_centered
+            d += b_norms
+            d += a_norms[:, None]
             slack = rounding * (np.sqrt(a_norms) + np.sqrt(b_norms.max())) ** 2
         spot = np.minimum(np.searchsorted(sorted_ids, ids[part]), len(targets) - 1)
         same = np.flatnonzero(sorted_ids[spot] == ids[part])
         d[same, by_id[spot[same]]] = np.inf
         if len(targets) > k:
-            near = d <= (np.partition(d, k - 1, axis=1)[:, k - 1] + slack)[:, None]
+            near = d <= (_bound(d, k) + slack)[:, None]
         else:
             near = np.ones(d.shape, dtype=bool)
         near[same, by_id[spot[same]]] = False
-        i, j = np.nonzero(near)
+        i, j = np.divmod(np.flatnonzero(near), len(targets))
         if len(i) == 0:
             continue
         value = d[i, j] if exact else fold_squares(np.ascontiguousarray(a.T), bt, i, j)
