@@ -44,7 +44,7 @@ from vicinal.operators.evaluate import (  # noqa: E402
 from vicinal.operators.exact import knn_exact  # noqa: E402
 from vicinal.operators.hashing import GivenFamily, HashFamily, hash_points  # noqa: E402
 from vicinal.operators.pairs import knn_connections, knn_from_pairs, pairs_viewed  # noqa: E402
-from vicinal.operators.refine import refine, refine_candidates  # noqa: E402
+from vicinal.operators.refine import refine, refine_candidates, refine_work  # noqa: E402
 from vicinal.operators.retire import drop_completed  # noqa: E402
 from vicinal.operators.stragglers import sized_reverse_lists, straggler_exhaustive  # noqa: E402
 from vicinal.operators.topk import (  # noqa: E402
@@ -213,7 +213,12 @@ def _refine(spark, sf_dir):
 
 
 def _refine_candidates(spark, sf_dir):
-    return refine_candidates(knn_exact(_points(spark, sf_dir), 3))
+    return refine_candidates(Scratch(spark).save(knn_exact(_points(spark, sf_dir), 3), "exact"))
+
+
+def _refine_work(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return refine_work(Scratch(spark).save(knn_exact(points, 3), "exact"))
 
 
 def _refine_grouped(spark, sf_dir):
@@ -520,7 +525,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 QUERY_NAMES = """
 knn_exact knn_subset knn_grouped knn_manhattan knn_brute knn_from_pairs knn_from_pairs_grouped pairs_viewed
 knn_from_lists knn_from_lists_grouped knn_connections knn_connections_ties merge_graphs merge_grouped
-merge_lists merge_counters adjacency refine refine_candidates refine_grouped
+merge_lists merge_counters adjacency refine refine_candidates refine_work refine_grouped
 lsh_hash lsh_given_projections lsh_key_ops lsh_buckets lsh_shared_tables lsh_viewed lsh_histogram lsh_cost
 lsh_split lsh_candidates lsh_one_round lsh_one_round_grouped lsh_parameters lsh_adaptive
 lsh_adaptive_grouped lsh_wide_radius drop_completed drop_completed_lists straggler_reverse
@@ -722,6 +727,11 @@ def oracle_sql() -> dict[str, str]:
             _show("m"),
         ),
         "refine_candidates": _with(POINTS, _exact("e", 3), f"SELECT DISTINCT src, dst FROM {steps.format('e')}"),
+        "refine_work": _with(
+            POINTS,
+            _exact("e", 3),
+            f"SELECT count(*) AS added, count(DISTINCT (src, dst)) AS after_distinct FROM {steps.format('e')}",
+        ),
         "refine_grouped": _with(
             POINTS,
             HASHED,
@@ -768,13 +778,15 @@ def oracle_sql() -> dict[str, str]:
             POINTS,
             HASHED,
             SIZED,
-            f"SELECT id FROM p WHERE id NOT IN (SELECT src FROM (SELECT DISTINCT src, dst FROM {TOGETHER}) GROUP BY src HAVING count(*) >= (SELECT count(*) // 8 FROM p))",
+            f"f AS (SELECT src FROM (SELECT DISTINCT src, dst FROM {TOGETHER}) GROUP BY src "
+            "HAVING count(*) >= (SELECT count(*) // 8 FROM p))",
+            "SELECT id FROM p WHERE id NOT IN (SELECT src FROM f)",
         ),
         "straggler_reverse": _with(
             *round_tables,
             LEFT,
             REVERSE,
-            _distances("sd", "(SELECT x.id AS src, y.id AS dst FROM rl x JOIN rl y ON x.list_id = y.list_id AND x.id <> y.id)"),
+            _distances("sd", LIST_PAIRS.replace("lists", "rl")),
             _top("s", "sd", 5),
             _show("s"),
         ),

@@ -18,7 +18,7 @@ from vicinal.operators.evaluate import degree_stats, missed_by_node, missed_edge
 from vicinal.operators.exact import knn_exact
 from vicinal.operators.hashing import GivenFamily, hash_points
 from vicinal.operators.pairs import knn_connections, knn_from_pairs
-from vicinal.operators.refine import refine, refine_candidates
+from vicinal.operators.refine import refine, refine_candidates, refine_work
 from vicinal.operators.stragglers import reverse_lists
 from vicinal.operators.topk import merge_counters, merge_graphs, merge_lists, to_adjacency, to_edges, top_k
 
@@ -138,6 +138,8 @@ def test_refine_replaces_a_far_neighbor(line, exact, edges):
     kept = [(r["src"], r["dst"], r["distance"]) for r in exact.collect() if (r["src"], r["dst"]) != (0, 2)]
     rough = edges([*kept, (0, 3, 36.0)])
     assert {r["dst"] for r in refine_candidates(rough).where("src = 0").collect()} == {2, 4}
+    # Only 0 -> 2 can be reached in two ways, by 1 and by 3.
+    assert refine_work(rough).first().asDict() == {"added": 16, "after_distinct": 15}
     assert neighbor_ids(refine(line, rough, 2)) == EXACT
     assert neighbor_ids(refine(line, rough, 2, rounds=2)) == EXACT
 

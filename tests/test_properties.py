@@ -9,7 +9,7 @@ from vicinal import Distance, KnnConfig, knn_graph
 from vicinal.functions.gaussian import Gaussian
 from vicinal.functions.stats import kth_smallest, median_lower, select_rank
 from vicinal.operators import cells
-from vicinal.operators.buckets import bucketize, knn_from_lists, knn_in_buckets, nearest_in_buckets, split_buckets
+from vicinal.operators.buckets import bucket_histogram, bucketize, knn_from_lists, knn_in_buckets, nearest_in_buckets, split_buckets
 from vicinal.operators.evaluate import recall
 from vicinal.operators.exact import knn_against, knn_exact
 from vicinal.operators.hashing import HashFamily, hash_points
@@ -208,6 +208,8 @@ def test_hashed_graph(clusters):
     counts = {r["count"] for r in result.edges.groupBy("src").count().collect()}
     assert counts == {5} and result.edges.select("src").distinct().count() == 500
     assert 0 < result.relative_cost < 1
+    sizes = bucket_histogram(result.buckets[0]).agg(F.sum(F.expr("buckets * size * (size - 1) / 2"))).first()[0]
+    assert sizes == result.steps[0]["comparisons"]
     # 0.716 was measured when this test was written, at 0.113 of the comparisons of brute force.
     assert recall(knn_exact(clusters, 5), result.edges, 5).first()["recall"] > 0.6
     again = knn_graph(clusters.repartition(7), config)

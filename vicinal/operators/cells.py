@@ -139,8 +139,15 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
 
 
 def _edge_batch(src, group_id, dst, distance) -> pa.RecordBatch:
-    arrays = [pa.array(src, pa.int64()), pa.array(group_id, pa.int32()), pa.array(dst, pa.int64()), pa.array(distance, pa.float64())]
-    return pa.RecordBatch.from_arrays(arrays, names=["src", "group_id", "dst", "distance"])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(src, pa.int64()),
+            pa.array(group_id, pa.int32()),
+            pa.array(dst, pa.int64()),
+            pa.array(distance, pa.float64()),
+        ],
+        names=["src", "group_id", "dst", "distance"],
+    )
 
 
 def _small_cells(x, ids, groups, rows, low, high, k):

@@ -14,11 +14,23 @@ from vicinal.sources.points import kernel_columns
 SOURCES_PER_CELL = 4096
 
 
-def refine_candidates(edges: DataFrame) -> DataFrame:
-    """Distinct pairs (a, c), a <> c, with c a neighbour of a neighbour of a."""
+def _paths(edges: DataFrame) -> DataFrame:
     first = edges.select(F.col("src"), F.col("dst").alias("_via"))
     second = edges.select(F.col("src").alias("_via"), F.col("dst"))
-    return first.join(second, "_via").select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+    return first.join(second, "_via").select("src", "dst").where(F.col("src") != F.col("dst"))
+
+
+def refine_candidates(edges: DataFrame) -> DataFrame:
+    """Distinct pairs (a, c), a <> c, with c a neighbour of a neighbour of a."""
+    return _paths(edges).distinct()
+
+
+def refine_work(edges: DataFrame) -> DataFrame:
+    """Candidate pairs one refinement looks at, with and without repeats."""
+    pairs = _paths(edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_times"))
+    return pairs.agg(
+        F.coalesce(F.sum("_times"), F.lit(0)).alias("added"), F.count(F.lit(1)).alias("after_distinct")
+    )
 
 
 def refine(
@@ -46,11 +58,17 @@ def refine(
 def _refine_once(points, edges, k, group_col, distance, most):
     spark = points.sparkSession
     links = edges.select("src", "dst").distinct()
-    indegree = links.groupBy(F.col("dst").alias("_via")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts"))
+    parts = F.ceil(F.count(F.lit(1)) / most).cast("int")
+    indegree = links.groupBy(F.col("dst").alias("_via")).agg(parts.alias("_parts"))
     sources = (
         links.withColumnRenamed("dst", "_via")
         .join(indegree, "_via")
-        .select(F.col("src").alias("id"), "_via", block_of(F.col("src"), F.col("_parts")).alias("_part"), F.lit(SOURCE).alias("side"))
+        .select(
+            F.col("src").alias("id"),
+            "_via",
+            block_of(F.col("src"), F.col("_parts")).alias("_part"),
+            F.lit(SOURCE).alias("side"),
+        )
     )
     targets = (
         links.withColumnRenamed("src", "_via")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from vicinal.config import KnnConfig
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.operators.buckets import (
-    BUCKET,
     bucket_tasks,
     bucket_viewed,
     bucketize,
@@ -32,7 +31,10 @@ MAX_SPLITS = 4
 
 @dataclass
 class KnnResult:
-    """A graph, each node's comparisons, the settings used and one record per step."""
+    """A graph, each node's comparisons, the settings used and one record per step.
+
+    `buckets` holds the members of each round's buckets, for `bucket_histogram` and the like.
+    """
 
     edges: DataFrame
     viewed: DataFrame | None
@@ -40,6 +42,7 @@ class KnnResult:
     steps: list[dict] = field(default_factory=list)
     comparisons: int = 0
     all_pairs: int = 0
+    buckets: list[DataFrame] = field(default_factory=list)
 
     @property
     def relative_cost(self) -> float:
@@ -55,7 +58,7 @@ def knn_graph(
 ) -> KnnResult:
     """The k-nearest-neighbour graph of a point table; with `group_col`, k from each group of neighbours."""
     stats = describe(points, count_copies=True)
-    if stats.copies <= config.copies_above:
+    if stats.copies <= config.copies_above or distance is not SQUARED_EUCLIDEAN:
         return _build(points, stats, config, group_col, distance)
     # Long runs of identical vectors would be compared with each other for nothing.
     scratch = Scratch(points.sparkSession)
@@ -67,13 +70,14 @@ def knn_graph(
     viewed = None
     if built.viewed is not None:
         viewed = copies.join(built.viewed.withColumnRenamed("id", "rep"), "rep").select("id", "viewed")
-    return KnnResult(edges, viewed, built.config, built.steps, built.comparisons, built.all_pairs)
+    return replace(built, edges=edges, viewed=viewed)
 
 
 def _build(points, stats, config, group_col, distance) -> KnnResult:
     if config.method == "brute":
         pairs = stats.n * (stats.n - 1) // 2
-        return KnnResult(knn_exact(points, config.k, group_col, distance=distance, stats=stats), None, config, [], pairs, pairs)
+        edges = knn_exact(points, config.k, group_col, distance=distance, stats=stats)
+        return KnnResult(edges, None, config, comparisons=pairs, all_pairs=pairs)
     return _hashed(points, stats, config, group_col, distance)
 
 
@@ -103,6 +107,7 @@ def _hashed(
             buckets, seen = _split(points, buckets, family, radius, config, scratch, seen)
         if seen["rows"]:
             buckets_in_a_table = seen["buckets_in_a_table"]
+            result.buckets.append(buckets)
             result.comparisons += seen["comparisons"]
             tasks = bucket_tasks(points, seen["rows"], seen["comparisons"], stats.dim)
             found = knn_in_buckets(remaining, buckets, k, group_col, distance=distance, tasks=tasks)

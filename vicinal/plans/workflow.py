@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vicinal.config import KnnConfig
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.operators.evaluate import degree_stats, missed_edges, positional, recall
-from vicinal.operators.refine import refine
+from vicinal.operators.refine import refine, refine_work
 from vicinal.plans.graph import knn_graph
 from vicinal.sources.edges import read_edges, write_edges
 from vicinal.sources.points import read_points
@@ -62,6 +62,7 @@ def run(
     if config.method == "lsh":
         graph = built.edges
         for turn in range(refine_rounds):
+            work = refine_work(graph).first().asDict()
             start = time.time()
             graph = refine(points, graph, config.k, group_col, distance=distance)
             where = write_edges(graph, f"{path}refined{turn}", format)
@@ -69,6 +70,7 @@ def run(
                 {
                     "path": where,
                     "seconds": time.time() - start,
+                    "candidates": work,
                     "comparison": compare_graphs(exact, read(where), config.k),
                 }
             )
