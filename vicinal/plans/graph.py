@@ -96,6 +96,7 @@ def _hashed(
 
     edges = viewed = None
     remaining, left = points, n
+    stored, stored_count = points, n
     radius, buckets_in_a_table = config.radius, 2
     for turn in range(config.max_rounds):
         if not ((buckets_in_a_table > 1 or left > k) and left > 1):
@@ -110,16 +111,17 @@ def _hashed(
             result.buckets.append(buckets)
             result.comparisons += seen["comparisons"]
             tasks = bucket_tasks(points, seen["rows"], seen["comparisons"], stats.dim)
-            found = knn_in_buckets(remaining, buckets, k, group_col, distance=distance, tasks=tasks)
+            found = knn_in_buckets(stored, buckets, k, group_col, distance=distance, tasks=tasks)
             edges = scratch.save(merge_graphs([edges, found], k), f"edges{turn}")
             viewed = scratch.save(merge_counters([viewed, bucket_viewed(buckets)]), f"viewed{turn}")
             done = completed_ids(edges, viewed, k, config.max_comparisons, groups)
             now_left = n - done.count()
             if now_left < left:
-                remaining = points.join(done, "id", "left_anti")
-                if now_left:
-                    remaining = scratch.save(remaining, f"remaining{turn}")
-                left = now_left
+                remaining, left = stored.join(done, "id", "left_anti"), now_left
+                if 0 < left <= stored_count / 2:
+                    # Halving at least each time, these tables add up to no more than the points.
+                    stored = remaining = scratch.save(remaining, f"remaining{turn}")
+                    stored_count = left
         result.steps.append({"step": "round", "radius": radius, **seen, "left": left})
         radius *= 2
 
@@ -129,7 +131,7 @@ def _hashed(
         return result
     if left:
         edges, viewed, remaining, left = _from_holders(
-            points, remaining, edges, viewed, config, group_col, groups, distance, scratch, result, stats.dim, n
+            points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, stats.dim
         )
     if left:
         nodes = edges.select("src").distinct().count()
@@ -141,13 +143,14 @@ def _hashed(
     return result
 
 
-def _from_holders(points, remaining, edges, viewed, config, group_col, groups, distance, scratch, result, dim, n):
+def _from_holders(
+    points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, dim
+):
     """Compare each straggler with the nodes whose lists hold it, and with those lists."""
     lists = scratch.save(sized_reverse_lists(edges, remaining), "holder-lists")
     totals = lists.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("twice")
     ).first()
-    left = remaining.count()
     if totals["rows"]:
         # Work is counted as the square of each list's size, as users of the measure expect.
         work = totals["rows"] + totals["twice"]
