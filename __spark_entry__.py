@@ -55,7 +55,7 @@ from vicinal.operators.topk import (  # noqa: E402
     to_edges,
 )
 from vicinal.operators.tuning import best_key_length, default_key_length  # noqa: E402
-from vicinal.session import Scratch  # noqa: E402
+from vicinal.session import Scratch, local_checkpoints  # noqa: E402
 from vicinal.sources.edges import edges_listed, read_edges, vertices_listed, write_edges  # noqa: E402
 from vicinal.sources.points import (  # noqa: E402
     assign_ids,
@@ -66,6 +66,11 @@ from vicinal.sources.points import (  # noqa: E402
     read_libsvm,
 )
 
+try:
+    from vicinal.llm import queries as llm_queries
+except ImportError:  # the package also works without that folder
+    llm_queries = None
+
 DIM = 64
 FAMILY = HashFamily(DIM, key_length=2, tables=4, seed=7)
 FINER = HashFamily(DIM, key_length=1, tables=2, seed=8)
@@ -516,10 +521,19 @@ def _assign_ids(spark, sf_dir):
     return assign_ids(_table(spark, sf_dir, "lineitem").select("l_orderkey")).select("id")
 
 
+def _registered(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    query = globals()["_" + name]
+
+    def run(spark, sf_dir):
+        local_checkpoints(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; every one reads whole tables."""
-    prefix = "_"
-    return {name: globals()[prefix + name] for name in QUERY_NAMES}
+    return {name: _registered(name) for name in QUERY_NAMES} | (llm_queries.queries() if llm_queries else {})
 
 
 QUERY_NAMES = """
@@ -651,7 +665,12 @@ def _rank_sql(group: str, rank: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for every query that has one; adaptive loops and random draws have none."""
+    """SQL for every query that has one."""
+    return _core_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def _core_sql() -> dict[str, str]:
+    """SQL of the graph queries; adaptive loops and random draws have none."""
     key = "array_to_string(key, ',') AS key"
     shared = (
         "u AS (SELECT DISTINCT id, key FROM h), "

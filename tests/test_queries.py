@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as registered
@@ -16,7 +18,7 @@ def con():
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {
+    assert {q for q in set(QUERIES) - set(SQL) if not re.fullmatch(r"op\d+_.*|pipeline", q)} == {
         "lsh_parameters",
         "lsh_adaptive",
         "lsh_adaptive_grouped",

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only in local mode with none set."""
+    """The shared folder that the session names for checkpoints."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vicinal-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor can reach")
+    return root.rstrip("/")
+
+
+def local_checkpoints(spark: SparkSession) -> None:
+    """For tests and trials on one machine: name a temporary folder if the session names none."""
+    set_already = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_already and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vicinal-"))
 
 
 class Scratch:
