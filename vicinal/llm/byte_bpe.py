@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import BLOCK_CHARS, ChunkValues, arrow_type, blocks, only, ragged, read_file, rows_of, ship, sql_type
+from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, blocks, only, ragged, read_file, rows_of, sql_type
 from vicinal.llm.merges import NEVER, MergeTable, every_other, merge_one
 
 # Signs that the patterns of these files never join to a word before them; the pattern itself does the rest.
@@ -183,8 +183,8 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-#: A Python worker's encoders, kept from task to task.
-_encoders: dict[tuple[int, str], Encoder] = {}
+def encoder_of(vocabulary: tuple[dict[bytes, int], str]) -> Encoder:
+    return Encoder(*vocabulary)
 
 
 def encode_decode(
@@ -199,12 +199,11 @@ def encode_decode(
     A null or empty text gives no ids and no bytes; ids may be null or repeat, each row is encoded; an empty
     table gives no rows; other columns are ignored.
     """
-    ranks = ship(df.sparkSession, read_ranks(ranks_path))
+    vocabulary = Shipped(df.sparkSession, (read_ranks(ranks_path), pattern))
 
     def run(batches):
         gc.disable()  # nothing here makes cycles; tracing millions of strings takes longer than all else
-        encoder = _encoders.setdefault((ranks.id, pattern), None) or Encoder(ranks.value, pattern)
-        _encoders[ranks.id, pattern] = encoder
+        encoder = vocabulary.made(encoder_of)
         for held in blocks(((i, t or "") for i, t in rows_of(batches, "_id", "_text")), BLOCK_CHARS):
             ids = encoder.encode([t for _, t in held])
             decoded = [encoder.decode(np.frombuffer(x, "<i4")) for x in ids]
@@ -220,11 +219,11 @@ def encode_decode(
 
 def decode_ids(df: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes that an array of ids stands for; null for a null array, an error for an unknown id."""
-    ranks = ship(df.sparkSession, read_ranks(ranks_path))
+    ranks = Shipped(df.sparkSession, read_ranks(ranks_path))
     names = [c for c in df.columns if c != out]
 
     def run(batches):
-        tokens = {rank: token for token, rank in ranks.value.items()}
+        tokens = {rank: token for token, rank in ranks.broadcast.value.items()}
         for batch in batches:
             decoded = [None if x is None else b"".join([tokens[i] for i in x]) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -98,9 +99,21 @@ def read_file(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def ship(spark: SparkSession, content: object):
-    """Send a model or vocabulary of bounded size to every executor once."""
-    return spark.sparkContext.broadcast(content)
+class Shipped:
+    """A model or vocabulary of bounded size, sent to every executor once."""
+
+    def __init__(self, spark: SparkSession, content: object):
+        self.broadcast = spark.sparkContext.broadcast(content)
+        self.key = uuid.uuid4().hex
+
+    def made(self, make):
+        """`make(content)`, made once in each Python worker and kept from task to task."""
+        if _made.get(make.__qualname__, (None,))[0] != self.key:
+            _made[make.__qualname__] = (self.key, make(self.broadcast.value))
+        return _made[make.__qualname__][1]
+
+
+_made: dict[str, tuple[str, object]] = {}
 
 
 def shuffle_width(spark: SparkSession, byte_count: float, per_task: int = 64 << 20) -> int:

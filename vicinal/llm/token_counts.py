@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import BLOCK_CHARS, ChunkValues, arrow_type, blocks, only, read_file, rows_of, ship, sql_type
+from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, blocks, only, read_file, rows_of, sql_type
 from vicinal.llm.merges import NEVER, MergeTable, every_other, merge_one
 
 # Fixed value: what the model's files write for a space.
@@ -123,10 +123,6 @@ class PieceCounter:
         return [sum(parts) for parts in self.chunks.of(texts, sum)]
 
 
-#: A Python worker's counters, kept from task to task.
-_counters: dict[int, PieceCounter] = {}
-
-
 def token_counts(
     df: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -138,7 +134,7 @@ def token_counts(
     A null or empty text has no tokens; ids may be null or repeat, each row is counted; an empty table gives
     no rows; other columns are ignored.
     """
-    model = ship(df.sparkSession, read_file(model_path))
+    model = Shipped(df.sparkSession, read_file(model_path))
     source = only(df, _id=id_col, _text=text_col).select(
         "_id", "_text", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("_bytes")
     )
@@ -146,9 +142,7 @@ def token_counts(
 
     def run(batches):
         gc.disable()
-        if model.id not in _counters:
-            _counters[model.id] = PieceCounter(model.value)
-        counter = _counters[model.id]
+        counter = model.made(PieceCounter)
         for held in blocks(((i, t or "", b) for i, t, b in rows_of(batches, "_id", "_text", "_bytes")), BLOCK_CHARS):
             yield pa.RecordBatch.from_arrays(
                 [

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import BLOCK_CHARS, ChunkValues, arrow_type, blocks, only, read_file, rows_of, ship, shuffle_width
+from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, blocks, only, read_file, rows_of, shuffle_width
 
 # Ids in a word of each selector 0 to 13; each gets 60 // count bits.
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -114,10 +114,6 @@ class LibraryEncoder:
         return [b"".join(parts) for parts in self.chunks.of(texts, b"".join)]
 
 
-#: A Python worker's encoders, kept from task to task.
-_encoders: dict[int, LibraryEncoder] = {}
-
-
 def byte_level(tokenizer: str) -> bool:
     """Whether texts may be encoded chunk by chunk: a byte-level pattern, nothing that looks across chunks."""
     import json
@@ -147,7 +143,7 @@ def write_tokens(
     content = read_file(tokenizer_path).decode()
     if not byte_level(content):
         raise ValueError("only byte-level tokenizers without normaliser can be encoded word by word")
-    tokenizer = ship(spark, content)
+    tokenizer = Shipped(spark, content)
     source = only(df, _id=id_col, _text=text_col)
     kind = source.schema["_id"].dataType
     arrow_kind = arrow_type(source, "_id")
@@ -167,9 +163,7 @@ def write_tokens(
 
     def run(batches):
         gc.disable()
-        if tokenizer.id not in _encoders:
-            _encoders[tokenizer.id] = LibraryEncoder(tokenizer.value)
-        encoder = _encoders[tokenizer.id]
+        encoder = tokenizer.made(LibraryEncoder)
         shard, block = TaskContext.get().partitionId(), 0
         names, parts, size = [], [], 0
 
