@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vicinal.llm.byte_bpe import encode_decode, encoding_digest
 from vicinal.llm.exact_dedup import exact_dedup
+from vicinal.llm.language import fit_languages, identify
+from vicinal.llm.quality import fit_quality, score_quality
 from vicinal.llm.token_counts import token_counts
 from vicinal.llm.token_files import read_digests, write_tokens
+from vicinal.llm.toxicity import fit_toxicity, score_toxicity
 from vicinal.session import Scratch, local_checkpoints
 
 #: Where the vocabulary files lie; a parameter of the operators.
@@ -25,12 +28,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_toxicity(documents, fit_toxicity(documents, _table(spark, sf_dir, "labels")))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).new_path("tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path, TOKENIZERS("byte_bpe_50k.json"), end_id=2)
     return read_digests(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_quality(documents, _table(spark, sf_dir, "labels")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return encoding_digest(encode_decode(documents, TOKENIZERS("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -40,7 +53,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), TOKENIZERS("piece_bpe_32k.model"))
 
 
-QUERIES = (op1_exact_dedup, op3_token_files, op6_byte_bpe, op7_token_counts)
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return identify(documents, fit_languages(documents))
+
+
+QUERIES = (
+    op1_exact_dedup,
+    op2_toxicity,
+    op3_token_files,
+    op4_quality,
+    op6_byte_bpe,
+    op7_token_counts,
+    op10_language,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
