@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from vicinal.llm.byte_bpe import encode_decode, encoding_digest
 from vicinal.llm.exact_dedup import exact_dedup
 from vicinal.llm.language import fit_languages, identify
+from vicinal.llm.mixing import mix
 from vicinal.llm.quality import fit_quality, score_quality
+from vicinal.llm.simhash import simhash_groups
 from vicinal.llm.token_counts import token_counts
 from vicinal.llm.token_files import read_digests, write_tokens
 from vicinal.llm.toxicity import fit_toxicity, score_toxicity
@@ -44,6 +46,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, fit_quality(documents, _table(spark, sf_dir, "labels")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"), words=4, bits=4)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return encoding_digest(encode_decode(documents, TOKENIZERS("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
@@ -53,6 +59,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), TOKENIZERS("piece_bpe_32k.model"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return identify(documents, fit_languages(documents))
@@ -63,8 +73,10 @@ QUERIES = (
     op2_toxicity,
     op3_token_files,
     op4_quality,
+    op5_simhash,
     op6_byte_bpe,
     op7_token_counts,
+    op9_mixing,
     op10_language,
 )
 
