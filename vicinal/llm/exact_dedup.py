@@ -10,6 +10,8 @@ from vicinal.session import Scratch
 
 #: A group of copies gets a range of its own for about so many of its rows.
 LEAST_SALTED = 64
+#: Characters of a normalised text that ranges are split by; texts that share them are told apart by a hash.
+SPLIT_BY = 32
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,7 +20,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Returns one row per document: the id, `keep_id` (of the group's longest original text in code points,
     then the smallest id), `group_size`, `kept`, and `text_sha256` of the normalised text.
 
-    The normalised texts are range-partitioned by splitters that Spark samples, sorted externally, and
+    The normalised texts are range-partitioned by splitters that Spark samples, sorted externally in whole, and
     equal neighbours are found by full comparison. A text with more than its share of rows is salted over
     several ranges; the ranges' heads, a few rows for each such text, are merged afterwards by digest.
     Which texts are salted changes no result.
@@ -53,10 +55,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         work.withColumn("_hash", F.xxhash64("_norm"))
         .join(F.broadcast(frequent), "_hash", "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_salts")), F.lit(-1)))
-        .select("_id", "_norm", "_points", "_salt")
-        .repartitionByRange(width, "_norm", "_salt")
+        # Splitters are made from a beginning and a hash, so that no sample of whole texts goes to the driver.
+        .withColumn("_begin", F.substring("_norm", 1, SPLIT_BY))
+        .select("_begin", "_hash", "_salt", "_norm", "_points", "_id")
+        .repartitionByRange(width, "_begin", "_hash", "_salt")
     )
-    equal = Window.partitionBy("_norm", "_salt")
+    equal = Window.partitionBy("_begin", "_hash", "_salt", "_norm")
     ordered = equal.orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
     ranges = scratch.save(
         salted.select(
