@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinal.llm.byte_bpe import encode_decode, encoding_digest
+from vicinal.llm.embedding_dedup import embedding_links
 from vicinal.llm.exact_dedup import exact_dedup
 from vicinal.llm.language import fit_languages, identify
 from vicinal.llm.mixing import mix
@@ -59,6 +60,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), TOKENIZERS("piece_bpe_32k.model"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES = (
     op5_simhash,
     op6_byte_bpe,
     op7_token_counts,
+    op8_embedding_dedup,
     op9_mixing,
     op10_language,
 )
