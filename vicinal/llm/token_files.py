@@ -8,7 +8,7 @@ Format. A token table is a folder of Parquet files, one row for each block:
     escapes         64-bit ids that no selector holds; stand where a word of one id has all its bits set
     doc_ids         documents of the block, in order; a document never leaves its block
     doc_ends        where each document's ids end in the block
-    marks           ids before every 1024th word, to start decoding inside a large block
+    marks           words before every LANE ids; decoding can start at each, and does at all of them together
 
 The order of documents is that of (shard, block, place).
 """
@@ -32,65 +32,93 @@ from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, bl
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BITS = 60 // COUNTS
 ESCAPED = np.uint64((1 << 60) - 1)
-MARK_EVERY = 1024
+#: Ids packed by themselves; a word doesn't go beyond.
+LANE = 1024
 #: A block closes with the document that takes it to so many ids.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 20
 
 
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escapes for unsigned ids; each word takes as many of the next ids as fit."""
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """Bits that each id needs, 60 at most; one too many for some ids over 2**53."""
+    if ids.max(initial=0) < len(_BITS_OF):
+        return _BITS_OF[ids.astype(np.int64)]
+    return np.minimum(np.frexp(ids.astype(np.float64))[1], 60).astype(np.uint8)
+
+
+_BITS_OF = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, escapes, and the number of words before each lane, for unsigned ids.
+
+    Every LANE ids are packed by themselves, all such lanes together: each word takes as many of the lane's
+    next ids as fit, and a lane's last word is filled up with zeros.
+    """
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
+    lanes = -(-n // LANE)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     escapes = ids[ids >= ESCAPED]
-    held = np.minimum(ids, ESCAPED)
-    # The largest count of ids from each place on whose bits hold them all; the last word is filled up with zeros.
-    bits = np.append(np.minimum(np.frexp(held.astype(np.float64))[1], 60), np.zeros(60)).astype(np.uint8)
-    choice = np.zeros(n, np.uint8)
-    widest = {1: bits}
+    held = np.zeros((lanes, LANE + 60), np.uint64)
+    whole = np.zeros(lanes * LANE, np.uint64)
+    whole[:n] = np.minimum(ids, ESCAPED)
+    held[:, :LANE] = whole.reshape(lanes, LANE)
+    # Selectors whose bits hold the ids from each place on; if one does, so do all of fewer ids.
+    widest = {1: _bits(held)}
+    choice = np.zeros((lanes, LANE), np.uint8)
     for selector in range(1, len(COUNTS)):
         count = int(COUNTS[selector])
-        # The most bits among `count` ids from each place on, from what two shorter runs that cover them need.
+        # The most bits among `count` ids from each place on, from two shorter runs that cover them.
         part = max(c for c in widest if c < count)
-        run = widest[part]
-        widest[count] = np.maximum(run[: len(bits) - count + 1], run[count - part : len(bits) - part + 1])
-        fits = widest[count][:n] <= BITS[selector]
+        run, size = widest[part], LANE + 60 - count + 1
+        widest[count] = np.maximum(run[:, :size], run[:, count - part : count - part + size])
+        fits = widest[count][:, :LANE] <= BITS[selector]
         if not fits.any():
             break
-        choice[fits] = selector
-    step = COUNTS[choice]
-    starts, i, steps = [], 0, step.tolist()
-    while i < n:
-        starts.append(i)
-        i += steps[i]
-    starts = np.array(starts, np.int64)
-    chosen = choice[starts]
+        choice += fits
+    flat = choice.ravel()
+    step = COUNTS[flat]
+    ends = np.minimum(np.arange(1, lanes + 1) * LANE, n)
+    at, open_, found = np.arange(lanes) * LANE, np.arange(lanes), []
+    while len(at):
+        found.append(at)
+        at = at + step[at]
+        more = at < ends[open_]
+        at, open_ = at[more], open_[more]
+    starts = np.sort(np.concatenate(found))
+    chosen = flat[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.append(held, np.zeros(60, np.uint64))
+    place = starts + starts // LANE * 60
+    values = held.ravel()
     for selector in np.unique(chosen):
-        mine = chosen == selector
-        shift = np.uint64(BITS[selector])
+        mine = np.flatnonzero(chosen == selector)
+        bits, base, packed = int(BITS[selector]), place[mine], words[mine]
         for k in range(COUNTS[selector]):
-            words[mine] |= padded[starts[mine] + k] << (np.uint64(k) * shift)
-    return words, escapes
+            packed |= values[base + k] << np.uint64(k * bits)
+        words[mine] = packed
+    return words, escapes, np.searchsorted(starts, np.arange(lanes) * LANE)
 
 
-def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
-    """The `n` ids that `pack` was given."""
-    words = np.asarray(words, np.uint64)
+def unpack(words: np.ndarray, escapes: np.ndarray, marks: np.ndarray, n: int) -> np.ndarray:
+    """The `n` ids that `pack` was given; all words of a selector are taken apart together."""
+    words, marks = np.asarray(words, np.uint64), np.asarray(marks, np.int64)
+    out = np.zeros((len(marks), LANE + 60), np.uint64)
     chosen = (words >> np.uint64(60)).astype(np.int64)
-    counts = COUNTS[chosen]
-    starts = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()) if len(counts) else 0, np.uint64)
+    before = np.cumsum(COUNTS[chosen]) - COUNTS[chosen]
+    lane = np.repeat(np.arange(len(marks)), np.diff(np.append(marks, len(words))))
+    place = lane * (LANE + 60) + before - before[marks][lane] if len(words) else before
+    flat = out.reshape(-1)
     for selector in np.unique(chosen):
         mine = np.flatnonzero(chosen == selector)
         bits = np.uint64(BITS[selector])
         shifts = np.arange(COUNTS[selector], dtype=np.uint64) * bits
         mask = (np.uint64(1) << bits) - np.uint64(1)
-        out[starts[mine, None] + np.arange(COUNTS[selector])] = (words[mine, None] >> shifts) & mask
-    out = out[:n]
+        flat[place[mine, None] + np.arange(COUNTS[selector])] = (words[mine, None] >> shifts) & mask
+    ids = np.ascontiguousarray(out[:, :LANE]).reshape(-1)[:n]
     if len(escapes):
-        out[out == ESCAPED] = escapes
-    return out
+        ids[ids == ESCAPED] = escapes
+    return ids
 
 
 class LibraryEncoder:
@@ -104,11 +132,32 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer)
+        # Byte-level tokens have a character for each byte; special ones stand for their own text.
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(self.library.get_vocab().values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
+        for number, token in self.library.get_added_tokens_decoder().items():
+            self.bytes_of[number] = len(token.content.encode())
         self.chunks = ChunkValues(self._learn)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Ids of each chunk. Those that begin with a space and end with none are given together: their tokens
+        end where they do."""
+        out: list[bytes] = [b""] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c[0] == " " and not c[-1].isspace()]
+        others = [i for i, c in enumerate(chunks) if c[0] != " " or c[-1].isspace()]
+        for at in range(0, len(plain), self.TOGETHER):
+            group = [chunks[i] for i in plain[at : at + self.TOGETHER]]
+            ids = np.array(self.library.encode("".join(group), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(c.encode()) for c in group])
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            raw, start = ids.tobytes(), 0
+            for i, cut in zip(plain[at : at + self.TOGETHER], (4 * cuts).tolist(), strict=True):
+                out[i] = raw[start:cut]
+                start = cut
+        for i, e in zip(others, self.library.encode_batch([chunks[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(parts) for parts in self.chunks.of(texts, b"".join)]
@@ -170,9 +219,7 @@ def write_tokens(
         def close():
             nonlocal names, parts, size, block
             ids = np.frombuffer(b"".join(parts), "<u4")
-            words, escapes = pack(ids)
-            before = np.cumsum(COUNTS[(words >> np.uint64(60)).astype(np.int64)])
-            marks = np.append(0, before[MARK_EVERY - 1 : -1 : MARK_EVERY])
+            words, escapes, marks = pack(ids)
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard], pa.int32()),
@@ -233,7 +280,10 @@ def _read(spark: SparkSession, path: str, id_col: str, column: str, value, value
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"), row["ids"])
+                words, escapes, marks = (
+                    np.frombuffer(row[c], t) for c, t in (("words", "<u8"), ("escapes", "<u8"), ("marks", "<u4"))
+                )
+                ids = unpack(words, escapes, marks, row["ids"])
                 ends = row["doc_ends"]
                 starts = [0, *ends[:-1]]
                 yield pa.RecordBatch.from_arrays(
@@ -250,7 +300,7 @@ def _read(spark: SparkSession, path: str, id_col: str, column: str, value, value
 
     schema = f"_id {kind.simpleString()}, shard int, block int, _at long, n_tokens long, {column}"
     return (
-        table.select("shard", "block", "ids", "words", "escapes", "doc_ids", "doc_ends")
+        table.select("shard", "block", "ids", "words", "escapes", "doc_ids", "doc_ends", "marks")
         .mapInArrow(run, schema)
         .join(within, ["shard", "block"])
         .join(F.broadcast(shards), "shard")
