@@ -67,8 +67,9 @@ from vicinal.sources.points import (  # noqa: E402
 )
 
 try:
+    import corpus_pipeline
     from vicinal.llm import queries as llm_queries
-except ImportError:  # the package also works without that folder
+except ImportError:  # the package also works without these
     llm_queries = None
 
 DIM = 64
@@ -533,7 +534,9 @@ def _registered(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; every one reads whole tables."""
-    return {name: _registered(name) for name in QUERY_NAMES} | (llm_queries.queries() if llm_queries else {})
+    return {name: _registered(name) for name in QUERY_NAMES} | (
+        llm_queries.queries() | {"pipeline": corpus_pipeline.run} if llm_queries else {}
+    )
 
 
 QUERY_NAMES = """
