@@ -124,6 +124,10 @@ class Replay:
                 at = at[every_other(follows)]
             gone = nxt[at]
             after = nxt[gone]
+            # A merge that makes an earlier one possible, if only until the next symbol is merged too: such a word
+            # is done one merge at a time.
+            beside, _ = self.table.find(np.full(len(at), rank), sym[after])
+            doubtful.update(word_of[at[(beside <= rank) & (after < n)]].tolist())
             sym[at], sym[gone], ranks[gone] = rank, -1, NEVER
             nxt[at], prv[after] = after, at
             before = prv[at]
@@ -132,9 +136,7 @@ class Replay:
             fresh = found < NEVER
             if fresh.any():
                 touched, found = touched[fresh], found[fresh]
-                # A merge that makes an earlier one possible: do that word one merge at a time.
                 early = found <= rank
-                early[ranks[touched] == rank] &= ~np.isin(touched[ranks[touched] == rank], before)
                 if early.any():
                     doubtful.update(word_of[touched[early]].tolist())
                 post(touched, found, False)

@@ -87,7 +87,7 @@ class PieceCounter:
             rank[~inside] = NEVER
             renewed = np.flatnonzero(stale & inside)
             rank[renewed], made[renewed] = self.table.find(sym[renewed], sym[renewed + 1])
-            # A pair made by a merge should have come before it or with it: do that word one merge at a time.
+            # A merge made a pair that should have come before it or with it: do that word one merge at a time.
             early = renewed[rank[renewed] <= low[word[renewed]]]
             if len(early):
                 doubtful.update(word[early].tolist())
@@ -106,6 +106,11 @@ class PieceCounter:
             follows = np.append(False, at[1:] == at[:-1] + 1)
             if follows.any():
                 at = at[every_other(follows)]
+            # The same if that pair is there only until the next symbol is merged too.
+            near = at[(at + 2 < len(sym))]
+            near = near[word[near + 2] == word[near]]
+            beside, _ = self.table.find(made[near], sym[near + 2])
+            doubtful.update(word[near[beside <= lowest[near]]].tolist())
             sym[at] = made[at]
             stale = np.zeros(len(sym), bool)
             stale[at] = True
