@@ -183,9 +183,9 @@ def test_full_filters_are_cut_into_cells(spark, monkeypatch):
 def test_filters_reach_as_far_as_planned():
     x = np.random.default_rng(7).standard_normal((300, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = x + np.random.default_rng(8).standard_normal((300, 64)) * 0.0605
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    assert (x * y).sum(axis=1).min() > 0.85
+    y = np.random.default_rng(8).standard_normal((300, 64))
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
     for n in (500, 50_000):
         caps = Caps.plan(64, n, 0.9)
         met = [bool(set(a) & set(b)) for a, b in zip(caps.filters(x), caps.filters(y), strict=True)]

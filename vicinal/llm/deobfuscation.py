@@ -139,7 +139,10 @@ class Deobfuscator:
         if DISGUISED.search(folded):
             for part in folded.split():
                 if DISGUISED.search(part):
-                    found += self(part.strip(".,;:?\"'()[]{}<>")).split()
+                    core = part.strip(".,;:?\"'()[]{}<>")
+                    # A sign at the end may be a letter or just a sign.
+                    for form in {core, core.rstrip("!|+*#%$@£€")}:
+                        found += self(form).split()
         return found
 
     def spaced_words(self, text: str) -> list[str]:
