@@ -17,8 +17,9 @@ WHITE = "\t-\r \x85\xa0" + "{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000,
 # Characters of a text split at a time, and of documents held together; bounds memory for texts of any length.
 SEGMENT_CHARS = 1 << 20
 BLOCK_CHARS = 4 << 20
-# Chunks a Python worker remembers; beyond it, it forgets them all and goes on.
+# Chunks a Python worker remembers; beyond it, it forgets most and goes on.
 CHUNKS_HELD = 400_000
+SHORT = 8
 # Fixed value: what the contracts take for white space.
 SPACES = r"[\x20\x09-\x0D]"
 
@@ -37,7 +38,7 @@ class ChunkValues:
 
     A chunk is a run of `white` characters with the word after it. Tokenizer patterns end a match where a
     chunk ends, and look no further than the first character after white space, so chunks can be encoded by
-    themselves. `learn` takes a list of chunks and returns a list of values; forgetting chunks changes no
+    themselves. `learn` takes a list of chunks and returns a list of values, none of them None; forgetting chunks changes no
     value. `lead`: a space is put before every text.
     """
 
@@ -66,18 +67,13 @@ class ChunkValues:
         first, *words = text.split(" ")
         return ([first] if first else []), words
 
-    def _fill(self, parts) -> None:
+    def _forget(self) -> None:
+        """If too many chunks are held, keep short ones, which come again most; if those are too many, none."""
         if len(self.exact) + len(self.spaced) > CHUNKS_HELD:
             self.exact.clear()
-            self.spaced.clear()
-        exact, spaced = set(), set()
-        for heads, words in parts:
-            exact.update(set(heads).difference(self.exact))
-            spaced.update(set(words).difference(self.spaced))
-        exact, spaced = list(exact), list(spaced)
-        values = self.learn(exact + [" " + w for w in spaced])
-        self.exact.update(zip(exact, values))
-        self.spaced.update(zip(spaced, values[len(exact) :]))
+            self.spaced = {c: v for c, v in self.spaced.items() if len(c) <= SHORT}
+            if len(self.spaced) > CHUNKS_HELD // 2:
+                self.spaced.clear()
 
     def of(self, texts: list[str], combine) -> list[list]:
         """For each text the list of `combine(values of a part)`."""
@@ -86,11 +82,25 @@ class ChunkValues:
             (i, part) for i, text in enumerate(texts) if text for part in self._segments(" " + text if self.lead else text)
         )
         for held in blocks(queue, BLOCK_CHARS):
+            self._forget()
+            # Every chunk is looked up once; those not met before are learned together and filled in.
             parts = [self._split(part) for _, part in held]
-            self._fill(parts)
-            exact, spaced = self.exact.__getitem__, self.spaced.__getitem__
-            for (i, _), (heads, words) in zip(held, parts, strict=True):
-                out[i].append(combine([*map(exact, heads), *map(spaced, words)]))
+            found = [([*map(self.exact.get, heads)], [*map(self.spaced.get, words)]) for heads, words in parts]
+            exact, spaced = set(), set()
+            for (heads, words), (known_heads, known_words) in zip(parts, found, strict=True):
+                exact.update([c for c, v in zip(heads, known_heads, strict=True) if v is None])
+                spaced.update([w for w, v in zip(words, known_words, strict=True) if v is None])
+            exact, spaced = list(exact), list(spaced)
+            values = self.learn(exact + [" " + w for w in spaced])
+            self.exact.update(zip(exact, values))
+            self.spaced.update(zip(spaced, values[len(exact) :]))
+            for (i, _), pair, known in zip(held, parts, found, strict=True):
+                filled = [
+                    v if v is not None else table[c]
+                    for table, chunks, had in zip((self.exact, self.spaced), pair, known, strict=True)
+                    for c, v in zip(chunks, had, strict=True)
+                ]
+                out[i].append(combine(filled))
         return out
 
 

@@ -49,7 +49,7 @@ class Evidence:
         out = []
         for chunk in chunks:
             hits = [(w, v) for w in self.restore.words(chunk) if (v := self._weight(w))]
-            out.append(hits or None)
+            out.append(hits or False)
         return out
 
     @staticmethod
