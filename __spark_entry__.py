@@ -96,14 +96,16 @@ def _points(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers that were ordered together, as pairs of ids."""
-    lines = _table(spark, sf_dir, "lineitem")
-    return lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    """Parts and suppliers that were ordered together, as pairs of ids of vectors: every line counts."""
+    lines, n = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "embeddings").count()
+    return lines.select((F.col("l_partkey") % n).alias("src"), (F.col("l_suppkey") % n).alias("dst")).distinct()
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each order, as a list of ids."""
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("id"))
+    n = _table(spark, sf_dir, "embeddings").count()
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_orderkey").alias("list_id"), (F.col("l_partkey") % n).alias("id"))
 
 
 def _buckets(points: DataFrame) -> DataFrame:
@@ -556,8 +558,9 @@ edge_lookup vertex_lookup neighbor_labels assign_ids
 # ---------------------------------------------------------------- the same in SQL
 
 POINTS = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label AS group_id FROM embeddings)"
-PAIRS = "pairs AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
-LISTS = "lists AS (SELECT DISTINCT l_orderkey AS list_id, l_partkey AS id FROM lineitem)"
+VECTORS = "(SELECT count(*) FROM embeddings)"
+PAIRS = f"pairs AS (SELECT DISTINCT l_partkey % {VECTORS} AS src, l_suppkey % {VECTORS} AS dst FROM lineitem)"
+LISTS = f"lists AS (SELECT DISTINCT l_orderkey AS list_id, l_partkey % {VECTORS} AS id FROM lineitem)"
 SIZED_LISTS = "sl AS (SELECT *, count(*) OVER (PARTITION BY list_id) AS size FROM lists)"
 SQUARED = "power(list_distance(a.f, b.f), 2)"
 

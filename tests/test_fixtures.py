@@ -182,7 +182,9 @@ def test_hash_formula(make_points):
 
 def test_hash_ignores_positions_beyond_its_dimension(make_points):
     family = GivenFamily.of([[[1.0]]], [[1.0]])
-    assert hash_points(make_points([[3, 99]]), family, 0.5).first()["key"] == [1]
+    assert hash_points(make_points([[3, 99]]), family, 0.5, leading=True).first()["key"] == [1]
+    with pytest.raises(Exception, match="hashing needs 1"):
+        hash_points(make_points([[3, 99]]), family, 0.5).collect()
     with pytest.raises(Exception, match="hashing needs 2"):
         hash_points(make_points([[3]]), GivenFamily.of([[[1.0, 1.0]]], [[1.0]]), 0.5).collect()
 
@@ -207,7 +209,7 @@ def test_vector_columns(spark):
 
 def test_dot_product_skips_what_the_other_lacks(spark):
     row = spark.createDataFrame([([1.0, 2.0, 9.0], [3.0, 5.0])], "a array<double>, b array<double>")
-    assert row.select(dot_product(F.col("a"), F.col("b"))).first()[0] == 13.0
+    assert row.select(dot_product(F.col("a"), F.col("b"), shared=True)).first()[0] == 13.0
 
 
 def test_dimension(line):

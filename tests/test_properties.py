@@ -255,10 +255,9 @@ def test_a_third_of_all_rows_are_copies(make_points, method, group_col):
     vectors[40:44] = vectors[0]
     groups = draw.integers(0, 2, 60)
     points = make_points(vectors, ids=draw.permutation(60), groups=groups)
-    assert describe(points, count_copies=True).copies == 20
     ids = [r["id"] for r in points.collect()]
     # One bucket for all, so that hashing is exact too.
-    config = KnnConfig(k=4, method=method, copies_above=10, radius=1e6, tables=1, key_length=1, max_comparisons=1)
+    config = KnnConfig(k=4, method=method, collapse_copies=True, radius=1e6, tables=1, key_length=1, max_comparisons=1)
     result = knn_graph(points, config, group_col=group_col)
     assert lists(result.edges) == brute(vectors, 4, ids, groups if group_col else None)
     if method == "lsh":

@@ -24,13 +24,14 @@ class KnnConfig:
     max_comparisons: int = -1
     factor: float = 1.0
     seed: int = 0
-    max_rounds: int = 40
+    # Stop hashing after so many rounds; None: when few points or one bucket are left.
+    max_rounds: int | None = None
     share_tables: bool = False
     # Buckets this large are re-hashed at a smaller radius before any distance is computed.
     split_above: int | None = None
     split_step: float = 2.5
-    # More copies of one vector than this, and the graph is built over distinct vectors.
-    copies_above: int = 1024
+    # Build the graph over distinct vectors and expand it. For squared distances; counters then count those.
+    collapse_copies: bool = False
 
     def __post_init__(self):
         if self.k < 1:

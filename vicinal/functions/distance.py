@@ -49,7 +49,13 @@ def fold_squares(left: np.ndarray, right: np.ndarray, i=slice(None), j=slice(Non
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two array columns, as a native expression."""
     gaps = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-    return F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap)
+    return _of_one_length(a, b, F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap))
+
+
+def _of_one_length(a: Column, b: Column, value: Column) -> Column:
+    """`value`, or a failure where the arrays differ in length; null where one is null."""
+    told = F.concat(F.lit("feature vectors differ in length: "), F.size(a), F.lit(" and "), F.size(b))
+    return F.when(F.size(a) != F.size(b), F.raise_error(told)).otherwise(value)
 
 
 @F.arrow_udf(T.DoubleType())
@@ -62,11 +68,13 @@ def _squared_distance_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(fold_squares(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)))
 
 
-def dot_product(a: Column, b: Column) -> Column:
-    """Dot product over the positions both arrays have."""
-    size = F.least(F.size(a), F.size(b))
-    products = F.zip_with(F.slice(a, 1, size), F.slice(b, 1, size), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+def dot_product(a: Column, b: Column, shared: bool = False) -> Column:
+    """Dot product of two arrays of one length; with `shared` over the positions both have."""
+    if shared:
+        size = F.least(F.size(a), F.size(b))
+        a, b = F.slice(a, 1, size), F.slice(b, 1, size)
+    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return _of_one_length(a, b, F.aggregate(products, F.lit(0.0), lambda total, x: total + x))
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,6 @@ from vicinal.functions.distance import matrix
 from vicinal.functions.stats import dim_stats
 
 ROWS_PER_DRAW = 1024
-LARGEST_DIM = 1024  # a covariance goes to every task; this bounds it to 8 MB
 
 
 @dataclass(frozen=True)
@@ -28,8 +27,6 @@ class Gaussian:
         covariance = np.atleast_2d(np.asarray(self.covariance, dtype=float))
         if covariance.shape != (len(mean), len(mean)):
             raise ValueError(f"mean has {len(mean)} dimensions, covariance is {covariance.shape}")
-        if len(mean) > LARGEST_DIM:
-            raise ValueError(f"at most {LARGEST_DIM} dimensions, got {len(mean)}")
         object.__setattr__(self, "mean", mean)
         object.__setattr__(self, "covariance", covariance)
 
@@ -47,8 +44,6 @@ class Gaussian:
         means = {row["dim"]: row["mean"] for row in dim_stats(points).select("dim", "mean").toLocalIterator()}
         mean = np.array([means[i] for i in range(len(means))])
         dim = len(mean)
-        if dim > LARGEST_DIM:
-            raise ValueError(f"at most {LARGEST_DIM} dimensions, got {dim}")
 
         def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = 0, np.zeros((dim, dim))
@@ -65,23 +60,29 @@ class Gaussian:
         return cls(mean, cells.sort_values("at")["v"].to_numpy().reshape(dim, dim))
 
     def density(self, features: Column | str) -> Column:
-        """Probability density at each vector (or number) of a column."""
-        dim, mean = len(self.mean), self.mean
-        inverse = np.linalg.inv(self.covariance)
-        scale = 1.0 / ((2 * np.pi) ** (dim / 2) * np.sqrt(np.linalg.det(self.covariance)))
+        """Probability density at each vector (or number) of a column; 0 or infinite where no double holds it."""
+        return F.exp(self.log_density(features))
+
+    def log_density(self, features: Column | str) -> Column:
+        """Logarithm of the density, which is finite in any number of dimensions.
+
+        The covariance's triangular factor, d * d numbers, goes to every task.
+        """
+        mean, factor = self.mean, np.linalg.cholesky(self.covariance)
+        constant = -0.5 * len(mean) * np.log(2 * np.pi) - np.log(np.diag(factor)).sum()
 
         @F.arrow_udf(T.DoubleType())
-        def pdf(column: pa.Array) -> pa.Array:
+        def log_pdf(column: pa.Array) -> pa.Array:
             if len(column) == 0:
                 return pa.array([], pa.float64())
             if pa.types.is_floating(column.type) or pa.types.is_integer(column.type):
                 x = column.to_numpy(zero_copy_only=False).astype(float)[:, None]
             else:
                 x = matrix(column)
-            gap = x - mean
-            return pa.array(scale * np.exp(-0.5 * np.einsum("ij,ij->i", gap @ inverse, gap)))
+            even = np.linalg.solve(factor, (x - mean).T)
+            return pa.array(constant - 0.5 * np.einsum("ji,ji->i", even, even))
 
-        return pdf(features)
+        return log_pdf(features)
 
     def sample(self, spark: SparkSession, n: int, seed: int) -> DataFrame:
         """Draw n points with ids 0 to n-1. Rows depend on the seed and their id, not on partitions."""

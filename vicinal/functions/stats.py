@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vicinal.session import Scratch
 
-# Below this rank the head of each group is small enough to be ranked as it is.
+# Below this rank the head of each group is small enough to be ranked as it is. Either way gives the same rows.
 SHALLOW = 1000
 
 
@@ -30,7 +30,10 @@ def deviation_summary(stats: DataFrame) -> DataFrame:
 
 
 def kth_smallest(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
-    """The k-th smallest value of each group, from 1, repeats counted; groups with fewer have no row."""
+    """The k-th smallest value of each group, from 1, repeats counted; groups with fewer have no row.
+
+    Null is a group; null values are left out.
+    """
     if k < 1:
         raise ValueError(f"k must be at least 1, got {k}")
     if k >= SHALLOW:
@@ -42,7 +45,7 @@ def kth_smallest(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
 
 
 def median_lower(rows: DataFrame, group: str, value: str, compat: bool = False) -> DataFrame:
-    """The lower median of each group. With `compat` the value at rank (n - 1) div 2, at least 1."""
+    """The lower median of each group, null being one. With `compat` the value at rank (n - 1) div 2, at least 1."""
     n = F.col("_n")
     rank = F.greatest(F.floor((n - 1) / 2), F.lit(1)) if compat else F.ceil(n / 2)
     return select_rank(rows, group, value, rank)
@@ -67,7 +70,7 @@ def select_rank(rows: DataFrame, group: str, value: str, rank: Column) -> DataFr
         .groupBy("_g", "_x")
         .agg(F.count(F.lit(1)).alias("_times"))
     )
-    ordered = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_g", "_x")
+    ordered = counted.repartitionByRange("_g", "_x")
     placed = Scratch(spark).save(ordered.withColumn("_part", F.spark_partition_id()), "placed")
 
     of_group = Window.partitionBy("_g")
@@ -81,6 +84,8 @@ def select_rank(rows: DataFrame, group: str, value: str, rank: Column) -> DataFr
         .select("_g", "_part", "_left")
     )
     running = F.sum("_times").over(of_group.orderBy("_x"))
-    found = placed.join(target, ["_g", "_part"]).withColumn("_upto", running)
+    target = target.select(F.col("_g").alias("_tg"), F.col("_part").alias("_tpart"), "_left")
+    here = F.col("_g").eqNullSafe(F.col("_tg")) & (F.col("_part") == F.col("_tpart"))
+    found = placed.join(target, here).withColumn("_upto", running)
     found = found.where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_times") < F.col("_left")))
     return found.select(F.col("_g").alias(group), F.col("_x").alias(value))

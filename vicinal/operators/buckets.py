@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.functions.keys import key_concat
-from vicinal.operators.cells import block_rows_column, cell_edges, split_into_cells
+from vicinal.operators.cells import FEWEST_ROWS, block_rows_column, cell_edges, repeats_of, split_into_cells
 from vicinal.operators.hashing import HashFamily, hash_points
 from vicinal.operators.topk import top_k
-from vicinal.session import tasks_for
-from vicinal.sources.points import kernel_columns
+from vicinal.session import Scratch, tasks_for
+from vicinal.sources.points import found_or, join_kind, kernel_columns
 
 BUCKET = ["table_id", "key"]
 
 
-def bucketize(members: DataFrame, by: list[str] = BUCKET, distinct: bool = False) -> DataFrame:
+def bucketize(
+    members: DataFrame, by: list[str] = BUCKET, distinct: bool = False, scratch: Scratch | None = None
+) -> DataFrame:
     """Members of buckets that hold at least two ids, with the bucket's `size`.
 
     Sizes are an aggregate joined back, not a window, so a bucket with most of the rows is counted
     map-side and its members stay spread. `distinct` first drops repeated members. The hash put before
-    the key spares the join's sort from comparing arrays.
+    the key spares the join's sort from comparing arrays. Members are read twice, to count and to join: with
+    `scratch` they are written first, so that what makes them runs once.
     """
     rows = members.select(*by, "id")
     if distinct:
         rows = rows.distinct()
     rows = rows.withColumn("_hash", F.xxhash64(*by))
+    if scratch:
+        rows = scratch.save(rows, "members")
     sizes = rows.groupBy("_hash", *by).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
     return rows.join(sizes, ["_hash", *by]).drop("_hash")
 
@@ -78,20 +83,30 @@ def knn_in_buckets(
     distance: Distance = SQUARED_EUCLIDEAN,
     block_rows: int | None = None,
     tasks: int | None = None,
+    missing: str = "error",
 ) -> DataFrame:
     """The k nearest of each id among the ids it shares a bucket with, over all its buckets.
 
     `buckets` is what `bucketize` returns. A bucket beyond `block_rows` becomes several cells, one for
     each pair of its blocks; the outcome is the same and no task holds the bucket whole. Only members
-    of buckets that survived get a vector.
+    of buckets that survived get a vector. A member without a point fails the job, or with `missing="drop"`
+    is left out.
     """
     spark = points.sparkSession
     members = buckets.select(F.concat_ws("|", *[F.col(c).cast("string") for c in by]).alias("bucket"), "id", "size")
-    vectors = members.join(kernel_columns(points, group_col), "id")
+    vectors = members.join(kernel_columns(points, group_col), "id", join_kind(missing)).withColumn(
+        "features", found_or(missing, F.col("features"), F.col("id"))
+    )
     cells = split_into_cells(vectors, F.ceil(F.col("size") / (F.lit(block_rows) if block_rows else block_rows_column())))
-    width = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if not tasks:
+        # Vectors of b blocks travel b times, so rows times blocks bound what is shuffled.
+        blocks = F.greatest(F.lit(1.0), F.col("size") / (F.lit(block_rows) if block_rows else F.lit(FEWEST_ROWS)))
+        told = buckets.agg(F.sum(blocks).alias("rows"), F.sum(F.col("size") - 1).alias("pairs")).first()
+        size = points.agg(F.max(F.size("features"))).first()[0] or 1
+        tasks = tasks_for(spark, (told["rows"] or 0) * 8.0 * size, 2.0 * (told["pairs"] or 0) * size)
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
     edges = cell_edges(cells, k, distance, width)
-    return top_k(edges if group_col else edges.drop("group_id"), k)
+    return top_k(edges if group_col else edges.drop("group_id"), k, repeats=repeats_of(distance))
 
 
 def knn_from_lists(
@@ -102,10 +117,11 @@ def knn_from_lists(
     distance: Distance = SQUARED_EUCLIDEAN,
     block_rows: int | None = None,
     tasks: int | None = None,
+    missing: str = "error",
 ) -> DataFrame:
     """The same over lists of ids (list_id, id); an id named twice in a list counts once."""
     sized = bucketize(lists, by=["list_id"], distinct=True)
-    return knn_in_buckets(points, sized, k, group_col, ["list_id"], distance, block_rows, tasks)
+    return knn_in_buckets(points, sized, k, group_col, ["list_id"], distance, block_rows, tasks, missing)
 
 
 def nearest_in_buckets(

@@ -23,13 +23,20 @@ from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance, fold_squares
 
 BOTH, LEFT, RIGHT, SOURCE, TARGET = range(5)
 
-SMALL_CELL = 32  # rows up to which cells are compared together, not one by one
+SMALL_CELL = 1 << 14  # pairs up to which cells are compared together, not one by one; either way gives the same edges
+EDGES_TOGETHER = 1 << 14  # edges in a batch that leaves a task
+NO_GROUP = np.iinfo(np.int64).min  # stands for a null group, which is a group like others
 PAIRS_AT_ONCE = 1 << 20  # bounds the temporary arrays of a task
 BLOCK_BYTES = 16 << 20
 FEWEST_ROWS, MOST_ROWS = 256, 16384
 EDGE_SCHEMA = "src bigint, group_id int, dst bigint, distance double"
 
 
+def repeats_of(distance: Distance) -> int | None:
+    """For `top_k`: whether cells give one distance for a pair, or any, as a block function may round as it likes."""
+    return 1 if distance is SQUARED_EUCLIDEAN else None
+
+
 def block_rows_for(dim: int) -> int:
     """Rows per block, so that a block stays within BLOCK_BYTES."""
     return int(min(max(BLOCK_BYTES // (8 * max(dim, 1)), FEWEST_ROWS), MOST_ROWS))
@@ -80,7 +87,7 @@ def cell_edges(cells: DataFrame, k: int, distance: Distance, tasks: int, place:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _whole_cells(batches):
-            yield from _compare_cells(piece, k, block)
+            yield from _gathered(_compare_cells(piece, k, block))
 
     return rows.mapInArrow(compare, EDGE_SCHEMA)
 
@@ -111,10 +118,24 @@ def _changes(values: pa.Array) -> np.ndarray:
     return np.flatnonzero(differs.to_numpy(zero_copy_only=False)) + 1
 
 
-def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[pa.RecordBatch]:
+def _gathered(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Edges of many cells in batches of a useful size."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= EDGES_TOGETHER:
+            yield _edge_batch(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _edge_batch(*map(np.concatenate, zip(*held)))
+
+
+def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[tuple]:
     piece = piece.combine_chunks()
     column = {name: piece.column(name).chunk(0) for name in piece.column_names}
-    ids, groups, sides = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "group_id", "side"))
+    ids, sides = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "side"))
+    groups = pc.fill_null(column["group_id"].cast(pa.int64()), NO_GROUP).to_numpy(zero_copy_only=False)
     x = matrix(column["features"])
     starts = np.concatenate([[0], _changes(column["cell"])])
     sizes = np.diff(np.append(starts, len(ids)))
@@ -125,9 +146,9 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
     low = np.select([(sides == BOTH) | (sides == RIGHT), sides == TARGET], [start, end], middle)
     high = np.where(sides == RIGHT, middle, end)
 
-    together = sizes <= (SMALL_CELL if block is None else 0)
+    together = np.add.reduceat(high - low, starts) <= (SMALL_CELL if block is None else 0)
     for src, dst, d in _small_cells(x, ids, groups, np.flatnonzero(np.repeat(together, sizes)), low, high, k):
-        yield _edge_batch(ids[src], groups[dst], ids[dst], d)
+        yield ids[src], groups[dst], ids[dst], d
     for first, size in zip(starts[~together], sizes[~together]):
         rows = np.arange(first, first + size)
         for span in np.unique(np.stack([low[rows], high[rows]], axis=1), axis=0):
@@ -135,14 +156,14 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
             for group in np.unique(groups[span[0] : span[1]]):
                 targets = np.arange(*span)[groups[span[0] : span[1]] == group]
                 for src, dst, d in _block(x, ids, sources, targets, k, block):
-                    yield _edge_batch(ids[src], groups[dst], ids[dst], d)
+                    yield ids[src], groups[dst], ids[dst], d
 
 
 def _edge_batch(src, group_id, dst, distance) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(src, pa.int64()),
-            pa.array(group_id, pa.int32()),
+            pa.array(np.where(group_id == NO_GROUP, 0, group_id), pa.int32(), mask=group_id == NO_GROUP),
             pa.array(dst, pa.int64()),
             pa.array(distance, pa.float64()),
         ],
@@ -231,14 +252,16 @@ def _block(x, ids, sources, targets, k, block):
             d += b_norms
             d += a_norms[:, None]
             slack = rounding * (np.sqrt(a_norms) + np.sqrt(b_norms.max())) ** 2
-        spot = np.minimum(np.searchsorted(sorted_ids, ids[part]), len(targets) - 1)
-        same = np.flatnonzero(sorted_ids[spot] == ids[part])
-        d[same, by_id[spot[same]]] = np.inf
+        # Every target that bears the source's id, however many.
+        begin, end = (np.searchsorted(sorted_ids, ids[part], side=side) for side in ("left", "right"))
+        same = np.repeat(np.arange(len(part)), end - begin)
+        own = by_id[np.arange(len(same)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)]
+        d[same, own] = np.inf
         if len(targets) > k:
             near = d <= (_bound(d, k) + slack)[:, None]
         else:
             near = np.ones(d.shape, dtype=bool)
-        near[same, by_id[spot[same]]] = False
+        near[same, own] = False
         i, j = np.divmod(np.flatnonzero(near), len(targets))
         if len(i) == 0:
             continue

@@ -68,10 +68,12 @@ class GivenFamily(HashFamily):
         return np.reshape(self.directions, (*shape, self.dim)), np.reshape(self.offsets, shape)
 
 
-def hash_points(points: DataFrame, family: HashFamily, radius: float) -> DataFrame:
+def hash_points(points: DataFrame, family: HashFamily, radius: float, leading: bool = False) -> DataFrame:
     """One row per point and table: `id, table_id, key`. Runs inside the scan's partitions.
 
-    Positions of a vector beyond the family's dimension are left out.
+    Vectors must have the family's dimension; with `leading` they may be longer, and only their first positions
+    are hashed. Keys beyond 32 bits are set to the nearest that fits, so very far
+    buckets at a very small radius meet there.
     """
     if not radius > 0:
         raise ValueError(f"radius must be positive, got {radius}")
@@ -85,7 +87,7 @@ def hash_points(points: DataFrame, family: HashFamily, radius: float) -> DataFra
             if batch.num_rows == 0:
                 continue
             x = matrix(batch.column(1))
-            if x.shape[1] < family.dim:
+            if x.shape[1] < family.dim or (x.shape[1] > family.dim and not leading):
                 raise ValueError(f"feature vectors have length {x.shape[1]}, hashing needs {family.dim}")
             values = np.floor((x[:, : family.dim] @ flat / radius + b.ravel()) / WIDTH)
             keys = np.clip(values, int_range.min, int_range.max).astype(np.int32).ravel()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.operators.topk import top_k
+from vicinal.sources.points import found_or, join_kind
 
 
 def pair_distances(
@@ -15,21 +16,25 @@ def pair_distances(
     group_col: str | None = None,
     distance: Distance = SQUARED_EUCLIDEAN,
     first: str = "src",
+    missing: str = "error",
 ) -> DataFrame:
     """The distance of every pair (src, dst), with the group of dst if wanted.
 
     The narrow pairs meet the vectors of their `first` end first, so vectors travel with pairs in one
     shuffle only. Have it be the end results are kept for: neither join then has the partitioning of
-    what follows, and Spark may split the partition of an id that is in most pairs.
+    what follows, and Spark may split the partition of an id that is in most pairs. A pair of an id without
+    a point fails the job, or with `missing="drop"` is left out.
     """
     group = [] if group_col is None else [F.col(group_col).cast("int").alias("group_id")]
     sources = points.select(F.col("id").alias("src"), F.col("features").alias("_a"))
     targets = points.select(F.col("id").alias("dst"), F.col("features").alias("_b"), *group)
+    a = found_or(missing, F.col("_a"), F.col("src"))
+    b = found_or(missing, F.col("_b"), F.col("dst"))
     return (
         pairs.select("src", "dst")
-        .join(*((sources, "src") if first == "src" else (targets, "dst")))
-        .join(*((targets, "dst") if first == "src" else (sources, "src")))
-        .select("src", *(["group_id"] if group else []), "dst", distance.column(F.col("_a"), F.col("_b")).alias("distance"))
+        .join(*((sources, "src") if first == "src" else (targets, "dst")), join_kind(missing))
+        .join(*((targets, "dst") if first == "src" else (sources, "src")), join_kind(missing))
+        .select("src", *(["group_id"] if group else []), "dst", distance.column(a, b).alias("distance"))
     )
 
 
@@ -39,9 +44,10 @@ def knn_from_pairs(
     k: int,
     group_col: str | None = None,
     distance: Distance = SQUARED_EUCLIDEAN,
+    missing: str = "error",
 ) -> DataFrame:
     """Of the pairs given for each source, the k nearest (per group of the neighbour)."""
-    return top_k(pair_distances(points, pairs, group_col, distance), k)
+    return top_k(pair_distances(points, pairs, group_col, distance, missing=missing), k)
 
 
 def pairs_viewed(pairs: DataFrame) -> DataFrame:
@@ -55,7 +61,8 @@ def knn_connections(
     k: int,
     keep_ties: bool = False,
     distance: Distance = SQUARED_EUCLIDEAN,
+    missing: str = "error",
 ) -> DataFrame:
     """Along given connections (src, dst), the k nearest sources of each dst."""
-    measured = pair_distances(points, connections, None, distance, first="dst")
+    measured = pair_distances(points, connections, None, distance, first="dst", missing=missing)
     return top_k(measured, k, node="dst", keep_ties=keep_ties)

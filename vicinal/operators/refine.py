@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.operators.cells import SOURCE, TARGET, block_of, cell_edges
-from vicinal.operators.topk import merge_graphs
-from vicinal.session import Scratch
+from vicinal.operators.topk import merge_graphs, top_k
+from vicinal.session import Scratch, tasks_for
 from vicinal.sources.points import kernel_columns
 
 SOURCES_PER_CELL = 4096
@@ -86,6 +86,15 @@ def _refine_once(points, edges, k, group_col, distance, most):
         .withColumn("cell", F.concat_ws("/", "_via", "_part"))
         .withColumn("side", F.col("side").cast("tinyint"))
     )
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # A vector goes to its node's cell once for each edge, and to one for each part of a hub it is a target of.
+    told = links.agg(F.count(F.lit(1))).first()
+    size = points.agg(F.max(F.size("features"))).first()[0] or 1
+    width = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        tasks_for(spark, 16.0 * size * (told[0] or 0), 2.0 * size * k * (told[0] or 0)),
+    )
     found = cell_edges(cells, k, distance, width)
-    return merge_graphs([edges, found if group_col else found.drop("group_id")], k)
+    found = found if group_col else found.drop("group_id")
+    if distance is not SQUARED_EUCLIDEAN:
+        found = top_k(found, k, repeats=None).drop("rank")
+    return merge_graphs([edges, found], k)

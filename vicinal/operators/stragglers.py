@@ -38,8 +38,12 @@ def straggler_exhaustive(
     k: int,
     group_col: str | None = None,
     distance: Distance = SQUARED_EUCLIDEAN,
+    each_other: bool = False,
 ) -> DataFrame:
-    """The k nearest of each straggler among all nodes of the graph."""
-    nodes = points.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    """The k nearest of each straggler among all nodes of the graph, and with `each_other` among stragglers."""
+    ids = edges.select(F.col("src").alias("id"))
+    if each_other:
+        ids = ids.unionByName(stragglers.select("id"))
+    nodes = points.join(ids.distinct(), "id", "left_semi")
     sources = points.join(stragglers.select("id").distinct(), "id", "left_semi")
     return knn_against(sources, nodes, k, group_col, distance)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -104,7 +105,8 @@ def best_key_length(points: DataFrame, family: HashFamily, radius: float) -> tup
             went_up = again = True
             drawn = drawn.update(length, drawn.tables)
         if not again:
-            break
+            return max(length, 1), radius
+    warnings.warn(f"no good key length in {MAX_PROBES} looks at the data; going on with the last", stacklevel=2)
     return max(length, 1), radius
 
 

@@ -26,8 +26,6 @@ from vicinal.operators.tuning import choose_parameters, with_parameters
 from vicinal.session import Scratch
 from vicinal.sources.points import PointStats, describe
 
-MAX_SPLITS = 4
-
 
 @dataclass
 class KnnResult:
@@ -57,10 +55,11 @@ def knn_graph(
     distance: Distance = SQUARED_EUCLIDEAN,
 ) -> KnnResult:
     """The k-nearest-neighbour graph of a point table; with `group_col`, k from each group of neighbours."""
-    stats = describe(points, count_copies=True)
-    if stats.copies <= config.copies_above or distance is not SQUARED_EUCLIDEAN:
+    stats = describe(points)
+    if not config.collapse_copies:
         return _build(points, stats, config, group_col, distance)
-    # Long runs of identical vectors would be compared with each other for nothing.
+    if distance is not SQUARED_EUCLIDEAN:
+        raise ValueError("collapse_copies needs squared distances")
     scratch = Scratch(points.sparkSession)
     reps, first = distinct_vectors(points, config.k, group_col)
     reps = scratch.save(reps, "distinct-vectors")
@@ -98,11 +97,10 @@ def _hashed(
     remaining, left = points, n
     stored, stored_count = points, n
     radius, buckets_in_a_table = config.radius, 2
-    for turn in range(config.max_rounds):
-        if not ((buckets_in_a_table > 1 or left > k) and left > 1):
-            break
+    turn = 0
+    while (buckets_in_a_table > 1 or left > k) and left > 1 and (config.max_rounds is None or turn < config.max_rounds):
         hashed = hash_points(remaining, family, radius)
-        buckets = scratch.save(bucketize(hashed, distinct=config.share_tables), f"buckets{turn}")
+        buckets = scratch.save(bucketize(hashed, distinct=config.share_tables, scratch=scratch), f"buckets{turn}")
         seen = _bucket_totals(buckets)
         if seen["rows"] and config.split_above:
             buckets, seen = _split(points, buckets, family, radius, config, scratch, seen)
@@ -124,6 +122,7 @@ def _hashed(
                     stored_count = left
         result.steps.append({"step": "round", "radius": radius, **seen, "left": left})
         radius *= 2
+        turn += 1
 
     if edges is None:
         result.edges = knn_exact(points, k, group_col, distance=distance, stats=stats)
@@ -134,10 +133,10 @@ def _hashed(
             points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, stats.dim
         )
     if left:
-        nodes = edges.select("src").distinct().count()
+        nodes = edges.select(F.col("src").alias("id")).union(remaining.select("id")).distinct().count()
         result.comparisons += left * nodes
         result.steps.append({"step": "exhaustive", "comparisons": left * nodes, "left": left})
-        found = straggler_exhaustive(points, remaining, edges, k, group_col, distance)
+        found = straggler_exhaustive(points, remaining, edges, k, group_col, distance, each_other=True)
         edges = scratch.save(merge_graphs([edges, found], k), "edges-exhaustive")
     result.edges, result.viewed = edges, viewed
     return result
@@ -182,14 +181,18 @@ def _bucket_totals(buckets: DataFrame) -> dict:
 
 
 def _split(points, buckets, family, radius, config, scratch, seen):
-    """Split buckets of `split_above` or more, at ever smaller radii, until few are left or it stops helping."""
-    for turn in range(MAX_SPLITS):
-        if seen["largest"] <= 1.5 * config.split_above:
-            break
+    """Split buckets of `split_above` or more, at ever smaller radii, until none is left or the largest stays.
+
+    Copies of one vector can't be split; `unsplit` in the step's record says how large a bucket was left.
+    """
+    turn, largest = 0, None
+    while seen["rows"] and seen["largest"] >= config.split_above and (largest is None or seen["largest"] < largest):
+        largest = seen["largest"]
         radius /= config.split_step
         parts = split_buckets(points, buckets, family, radius, config.split_above)
         buckets = scratch.save(parts, f"split{turn}")
         seen = _bucket_totals(buckets)
-        if not seen["rows"]:
-            break
+        turn += 1
+    if seen["largest"] >= config.split_above:
+        seen = {**seen, "unsplit": seen["largest"]}
     return buckets, seen

@@ -61,4 +61,4 @@ def tasks_for(spark: SparkSession, byte_count: float, work: float = 0.0) -> int:
     """Shuffle width for `byte_count` bytes and `work` multiply-adds: small enough tasks, enough of them."""
     by_size = int(byte_count / (128 << 20)) + 1
     by_work = int(work / 2e10) + 1
-    return max(spark.sparkContext.defaultParallelism, min(max(by_size, by_work), 200_000))
+    return max(spark.sparkContext.defaultParallelism, by_size, by_work)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinal.session import Scratch
@@ -16,36 +16,40 @@ from vicinal.session import Scratch
 
 @dataclass(frozen=True)
 class PointStats:
-    """Points, their dimension and, if counted, a bound on the copies of any one vector."""
+    """Points and their dimension."""
 
     n: int
     dim: int
-    copies: int | None = None
 
 
-def describe(points: DataFrame, count_copies: bool = False) -> PointStats:
-    """Count points and find their dimension; null, empty or unequal vectors are refused.
-
-    Copies are points per hash value of the vector, counted map-side: a bound, as values may collide.
-    """
+def describe(points: DataFrame) -> PointStats:
+    """Count points and find their dimension; null ids, null or unequal vectors are refused."""
     size = F.size("features")
-    rows = points.groupBy(F.xxhash64("features")) if count_copies else points
-    parts = rows.agg(
+    row = points.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("features").alias("present"),
         F.count("id").alias("named"),
         F.min(size).alias("low"),
         F.max(size).alias("high"),
-    )
-    if count_copies:
-        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "present", "named")]
-        parts = parts.agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("copies"))
-    row = parts.first()
+    ).first()
     if row["present"] != row["n"] or row["named"] != row["n"]:
         raise ValueError("a point has a null id or a null vector")
     if row["low"] != row["high"]:
         raise ValueError(f"feature vectors differ in length: {row['low']} and {row['high']}")
-    return PointStats(row["n"], row["high"] or 0, (row["copies"] or 0) if count_copies else None)
+    return PointStats(row["n"], row["high"] or 0)
+
+
+def found_or(missing: str, column: Column, name: Column) -> Column:
+    """`column` of an outer join: with "error" the job fails where it is null, naming the id."""
+    if missing == "drop":
+        return column
+    return F.coalesce(column, F.raise_error(F.concat(F.lit("no point with id "), name.cast("string"))))
+
+
+def join_kind(missing: str) -> str:
+    if missing not in ("error", "drop"):
+        raise ValueError(f"missing must be 'error' or 'drop', got {missing!r}")
+    return "left" if missing == "error" else "inner"
 
 
 def kernel_columns(points: DataFrame, group_col: str | None) -> DataFrame:
@@ -129,7 +133,11 @@ def assign_ids(rows: DataFrame, name: str = "id", order: list[str] | None = None
     return numbered.select(*rows.columns, name)
 
 
-def lookup(ids: DataFrame, points: DataFrame, id_col: str = "id") -> DataFrame:
-    """Attach each id's point; a join, so neither side has to fit anywhere whole."""
-    found = points.withColumnRenamed("id", id_col)
-    return ids.join(found, id_col)
+def lookup(ids: DataFrame, points: DataFrame, id_col: str = "id", missing: str = "error") -> DataFrame:
+    """Attach each id's point; a join, so neither side has to fit anywhere whole.
+
+    An id without a point fails the job, or with `missing="drop"` is left out.
+    """
+    found = points.withColumnRenamed("id", id_col).withColumn("_found", F.lit(True))
+    joined = ids.join(found, id_col, join_kind(missing))
+    return joined.where(found_or(missing, F.col("_found"), F.col(id_col))).drop("_found")
