@@ -153,15 +153,22 @@ def mix(
     summed = scratch.save(ranged.mapInArrow(_running, f"{fields}, _before long, _part int"), "sums")
 
     in_order = Window.partitionBy("_place").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    offsets = scratch.save(
         summed.groupBy("_place", "_part")
         .agg(F.sum("size").alias("_sum"))
-        .select("_place", "_part", F.coalesce(F.sum("_sum").over(in_order), F.lit(0)).alias("_offset"))
+        .select("_place", "_part", F.coalesce(F.sum("_sum").over(in_order), F.lit(0)).alias("_offset")),
+        "offsets",
     )
+
+    def by_range(of_source: DataFrame) -> DataFrame:
+        """A row per source as a row per source and range, so that documents never meet by source alone."""
+        return offsets.select("_place", "_part").join(of_source, "_place")
+
     epochs = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rest = F.col("target") - epochs * F.col("source_size")
     placed = summed.join(offsets, ["_place", "_part"]).select(
         "_place",
+        "_part",
         "_id",
         "size",
         "source_size",
@@ -174,7 +181,7 @@ def mix(
     gaps = left.groupBy("_place").agg((F.first("_rest") - F.min("_start")).alias("_gap"))
     misfit = F.abs(F.col("size") - F.col("_gap"))
     last = (
-        left.join(gaps, "_place")
+        left.join(by_range(gaps), ["_place", "_part"])
         .where(misfit < F.col("_gap"))
         .groupBy("_place")
         .agg(F.min(F.struct(misfit, F.col("_start"))).getField("_start").alias("_last"))
@@ -183,7 +190,7 @@ def mix(
         F.col("_start").eqNullSafe(F.col("_last")) & (F.col("size") > 0)
     )
     times = F.col("_epochs") + F.when(taken, 1).otherwise(0)
-    return placed.join(last, "_place", "left").select(
+    return placed.join(by_range(last), ["_place", "_part"], "left").select(
         F.col("_id").alias(id_col),
         "size",
         "source_size",
