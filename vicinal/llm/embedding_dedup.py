@@ -133,7 +133,7 @@ def _scale(values: np.ndarray, dims: np.ndarray) -> np.ndarray:
 
 
 class _Held:
-    """Rows of whole cells: filter, part bounds, own part, class, copies, unit vector, and other filters."""
+    """Rows of whole cells: filter, part bounds, own part, class, copies, unit vector, and smaller filters."""
 
     def __init__(self, batches: list[pa.RecordBatch]):
         table = pa.Table.from_batches(batches).combine_chunks()
@@ -161,14 +161,13 @@ class _Held:
         for at in range(0, len(i), 8192):
             a, b = i[at : at + 8192], j[at : at + 8192]
             one, two = self.lists[a], self.lists[b]
-            shared = ((one[:, :, None] == two[:, None, :]).any(axis=2) & (one >= 0) & (one < self.filter[a][:, None])).any(axis=1)
+            shared = ((one[:, :, None] == two[:, None, :]).any(axis=2) & (one >= 0)).any(axis=1)
             out[at : at + 8192] = ~shared
         return out
 
     def first_meeting_dense(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The same for many pairs among few rows (`i`, `j` count in `rows`), by bit sets of smaller filters."""
-        lists = self.lists[rows]
-        smaller = np.where(lists < self.filter[rows[0]], lists, -1)
+        smaller = self.lists[rows]
         names, counts = np.unique(smaller[smaller >= 0], return_counts=True)
         names = names[counts > 1]
         if not len(names):
@@ -288,7 +287,10 @@ def embedding_links(df: DataFrame, similarity: float = 0.9, id_col: str = "vec_i
         .mapInArrow(decode, f"_class long, copies long, vector {kind}, filters array<long>"),
         "filters",
     )
-    members = listed.select("_class", "copies", "vector", "filters", F.explode("filters").alias("filter"))
+    # With each filter go the smaller ones, which tell whether a pair has met before.
+    members = listed.select("_class", "copies", "vector", "filters", F.posexplode("filters").alias("_at", "filter")).withColumn(
+        "filters", F.slice("filters", F.lit(1), F.col("_at"))
+    )
     full = (
         listed.select(F.explode("filters").alias("filter"))
         .groupBy("filter")
