@@ -9,7 +9,7 @@ from vicinal.llm.boosting import fit
 from vicinal.llm.deobfuscation import Deobfuscator, LetterCounts
 from vicinal.llm.language import fit_languages, identify
 from vicinal.llm.quality import Statistics, fit_quality, score_quality
-from vicinal.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+from vicinal.llm.toxicity import Evidence, drop_toxic, fit_toxicity, score_toxicity
 
 
 def held_out_accuracy(scored, truth, label):
@@ -94,3 +94,19 @@ def test_restoring_words():
     assert "stupid" in restore.words("stuuuupid") and "clown" in restore.words("c.l.o.w.n")
     assert "idiot" in restore.spaced_words("an i d i o t here") and restore.spaced_words("plain text") == []
     assert restore.words("plain text, 1234") == ["plain", "text"]
+
+
+def test_every_form_the_lattice_knows_reaches_it():
+    counts = LetterCounts()(["idiot moron stupid clown nothing this is another plain text ass hate " * 50])
+    restore = Deobfuscator(counts)
+    apart = ["i d ! o t", "1 d ! 0 t", "i  d  i  o  t", "i,d,i,o,t", "i/d/i/o/t", "i - d - i - o - t", "i\td\ti\to\tt"]
+    for text in [*apart, "i\nd\ni\no\nt", "ii dd ii oo tt", "id io t", "an i d i o t here"]:
+        assert "idiot" in restore.spaced_words(text), text
+    assert "stupid" in restore.spaced_words("$ t u p i d")
+    for text, word in [("iiddiioott", "idiot"), ("@$$", "ass"), ("455", "ass"), ("#@+3", "hate"), ("(lown", "clown")]:
+        assert word in restore.words(text), text
+    assert any(len(w) == 3 for w in restore.words("id*"))
+    assert restore.words("2024 ****") == [] and restore.spaced_words("* * *") == []
+    evidence = Evidence(counts, {"stupid ": 2.0, "idiot ": 2.0})
+    assert evidence.split_words("so stu pid an id io t, stu") == ["stupid", "idiot"]
+    assert evidence.features(["so stu pid"])[0][0] == 2.0

@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from vicinal.llm.common import WHITE
+
 # The letters that signs commonly stand for.
 STANDS_FOR = {
     "0": "o",
@@ -30,7 +32,7 @@ STANDS_FOR = {
     "<": "c",
 }
 ANY_LETTER = "*#%"
-SEPARATORS = " .-_~'’·,​‌‍­"
+SEPARATORS = " .-_~'’·,​‌‍­/\\:;=^"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(p) for p in range(0xDF, 0x100) if chr(p).isalpha())
 #: Symbol 0 is the edge of a word, the last one any letter not in LETTERS.
 SYMBOLS = len(LETTERS) + 2
@@ -40,12 +42,21 @@ _NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
 SUBSTITUTE, HIDE, REPEAT, SEPARATE, KEEP_SIGN = -2.0, -5.0, -0.7, -1.0, -9.0
 
 WORD = re.compile(r"[^\W\d_]+")
-#: A letter beside a sign or digit inside a word, or a run of three.
-DISGUISED = re.compile(
-    r"[^\W\d_][0-9@$!|+€£¡(<*#%\-_.~'’·​-‍­]+[^\W_]|[0-9@$!|+€£¡(<][^\W\d_]|[^\W\d_][@$](?!\w)|([^\W\d_])\1\1"
-)
-#: Single characters, apart from each other.
-SPACED = re.compile(r"(?<![^\W_])[^\W_@$!|](?:[ .\-_*][^\W_@$!|]){2,}(?![^\W_])")
+_SIGNS = re.escape("".join(STANDS_FOR) + ANY_LETTER)
+_PIECE = rf"(?:[^\W_]|[{_SIGNS}])"
+_APART = f"[{re.escape(SEPARATORS)}{WHITE}]"
+#: What the lattice may read in another way: a sign, a doubled letter, or characters parted by separators.
+DISGUISED = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1|[^\W_][{re.escape(SEPARATORS)}]+[^\W_]")
+#: Pieces of one or two characters, signs among them, apart from each other.
+SPACED = re.compile(rf"(?<!{_PIECE}){_PIECE}{{1,2}}(?:{_APART}+{_PIECE}{{1,2}})+(?!{_PIECE})")
+#: Single characters among them, which shows where a word written apart begins.
+SINGLE = re.compile(rf"(?<!{_PIECE}){_PIECE}(?:{_APART}+{_PIECE}){{2,}}(?!{_PIECE})")
+PARTED = re.compile(f"{_APART}+")
+#: Something that says which letters are meant; signs for any letter alone say nothing.
+TELLING = re.compile(rf"[^\W_]|[{re.escape("".join(STANDS_FOR))}]")
+# Runs a Python worker remembers.
+RUNS_HELD = 200_000
+
 
 
 class LetterCounts:
@@ -79,10 +90,12 @@ class Deobfuscator:
         p1 = (one + 0.5) / (one.sum() + 0.5 * SYMBOLS)
         p2 = (two + 4 * p1) / (two.sum(axis=1, keepdims=True) + 4)
         p3 = (three + 4 * p2) / (three.sum(axis=2, keepdims=True) + 4)
-        self.log = np.log(p3).tolist()
+        self.table = np.log(p3)
+        self.log = self.table.tolist()
         self.any = [(c, SUBSTITUTE - np.log(26)) for c in LETTERS[:26]]
+        self.runs: dict[str, list[str]] = {}
 
-    def _arcs(self, text: str, i: int, spaced: bool):
+    def _arcs(self, text: str, i: int, spaced: bool, skip: bool):
         """(symbol or None, letter, cost) for the character at i."""
         c = text[i]
         arcs = []
@@ -95,7 +108,7 @@ class Deobfuscator:
             arcs.append((_NUMBER[letter], letter, SUBSTITUTE))
         if c in ANY_LETTER:
             arcs += [(_NUMBER[letter], letter, cost) for letter, cost in self.any]
-        if c in SEPARATORS or c in ANY_LETTER:
+        if c in SEPARATORS or (c in ANY_LETTER and skip) or c.isspace():
             arcs.append((None, "", SEPARATE))
             if spaced or c not in ANY_LETTER:
                 arcs.append((0, " ", SEPARATE))
@@ -105,14 +118,32 @@ class Deobfuscator:
             arcs.append((0, " ", KEEP_SIGN))
         return arcs
 
-    def __call__(self, text: str, spaced: bool = False) -> str:
-        """The likeliest plain text of a lower-case string; words of it are parted by spaces."""
+    def _any_letter(self, states: dict) -> dict:
+        """The states after one letter of any kind, many states at a time."""
+        groups: dict[int, list[tuple[int, float, tuple | None]]] = {}
+        for (a, b), (score, path) in states.items():
+            groups.setdefault(b, []).append((a, score, path))
+        new = {}
+        for b, group in groups.items():
+            totals = self.table[[a for a, _, _ in group], b, 1:27] + np.array([[score] for _, score, _ in group])
+            best = totals.argmax(axis=0)
+            for (letter, cost), g, total in zip(self.any, best.tolist(), totals.max(axis=0).tolist(), strict=True):
+                new[b, _NUMBER[letter]] = (total + cost, (group[g][2], letter))
+        return new
+
+    def __call__(self, text: str, spaced: bool = False, skip: bool = True) -> str:
+        """The likeliest plain text of a lower-case string; words of it are parted by spaces.
+
+        Without `skip` each sign for any letter is one.
+        """
         log = self.log
         # State: the last two symbols. Value: the score, and the letters as a linked list.
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i in range(len(text)):
-            arcs = self._arcs(text, i, spaced)
+            arcs = self._arcs(text, i, spaced, skip)
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            if text[i] in ANY_LETTER:
+                new, arcs = self._any_letter(states), arcs[26:]
             for (a, b), (score, path) in states.items():
                 for symbol, letter, cost in arcs:
                     if symbol is None:
@@ -132,6 +163,22 @@ class Deobfuscator:
             letters.append(letter)
         return "".join(reversed(letters))
 
+    def _likely(self, word: str) -> bool:
+        """Whether a word's letters are likelier under the model than letters at chance."""
+        a = b = 0
+        total = np.log(SYMBOLS) * (len(word) + 1)
+        for symbol in [*(_NUMBER.get(c, SYMBOLS - 1) for c in word), 0]:
+            total += self.log[a][b][symbol]
+            a, b = b, symbol
+        return total > 0
+
+    def _restored(self, run: str, spaced: bool = False, skip: bool = True) -> list[str]:
+        """The words of a run; of signs and digits only those that look like words, as most are numbers."""
+        if not TELLING.search(run):
+            return []
+        found = self(run, spaced, skip).split()
+        return found if WORD.search(run) else [w for w in found if self._likely(w)]
+
     def words(self, chunk: str) -> list[str]:
         """Lower-case words of a piece of text, disguised ones restored beside their plain parts."""
         folded = chunk.lower()
@@ -140,16 +187,31 @@ class Deobfuscator:
             for part in folded.split():
                 if DISGUISED.search(part):
                     core = part.strip(".,;:?\"'()[]{}<>")
-                    # A sign at the end may be a letter or just a sign.
-                    for form in {core, core.rstrip("!|+*#%$@£€")}:
-                        found += self(form).split()
+                    # A sign at either end may be a letter or just a sign.
+                    forms = {core, core.rstrip("!|+*#%$@£€"), part.strip(".,;:?\"')[]{}>")}
+                    restored = {w for form in forms for w in self._restored(form)}
+                    if core and (core[0] in ANY_LETTER or core[-1] in ANY_LETTER):
+                        restored.update(self._restored(core, skip=False))
+                    found += sorted(restored.difference(found))
         return found
 
+    def _run_words(self, run: str) -> list[str]:
+        # Whether as several words or as one.
+        found = {*self._restored(run, True), *self._restored(PARTED.sub("", run))}
+        for m in SINGLE.finditer(run):
+            if m.group() != run:
+                found |= {*self._restored(m.group(), True), *self._restored(PARTED.sub("", m.group()))}
+        # The pieces themselves are words of their chunks.
+        return sorted(found.difference(PARTED.split(run)))
+
     def spaced_words(self, text: str) -> list[str]:
-        """Words restored from letters that the text writes apart."""
+        """Words restored from characters and pairs that the text writes apart; each distinct run is decoded once."""
         found = []
-        for m in SPACED.finditer(text.lower()):
-            # Whether as several words or as one.
-            found += self(m.group(), True).split()
-            found += self("".join(c for c in m.group() if c not in SEPARATORS)).split()
+        for run in SPACED.findall(text.lower()):
+            run = PARTED.sub(" ", run)
+            if run not in self.runs:
+                if len(self.runs) >= RUNS_HELD:
+                    self.runs.clear()
+                self.runs[run] = self._run_words(run)
+            found += self.runs[run]
         return found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, blocks, only, remainder, rows_of, sql_type
-from vicinal.llm.deobfuscation import SYMBOLS, Deobfuscator, LetterCounts
+from vicinal.llm.deobfuscation import SYMBOLS, WORD, Deobfuscator, LetterCounts
 from vicinal.llm.labels import SAMPLE_ROWS, labelled_sample
 from vicinal.session import Scratch
 
@@ -40,6 +40,18 @@ class Evidence:
     def __init__(self, letter_counts: np.ndarray, weights: dict[str, float]):
         self.restore, self.weights = Deobfuscator(letter_counts), weights
         self.chunks = ChunkValues(self._learn)
+        self.begun = {f[:n] for f in weights if f.endswith(" ") for n in range(1, len(f) - 1)}
+
+    def split_words(self, text: str) -> list[str]:
+        """Words of the model that the text writes in parts; only whole words, as beginnings join by chance."""
+        words, found = WORD.findall(text.lower()), []
+        for i in [i for i, w in enumerate(words) if w in self.begun]:
+            joined = words[i]
+            while joined in self.begun and (i := i + 1) < len(words):
+                joined += words[i]
+                if joined + " " in self.weights:
+                    found.append(joined)
+        return found
 
     def _weight(self, word: str) -> float:
         get = self.weights.get
@@ -62,7 +74,8 @@ class Evidence:
         for text, parts in zip(texts, self.chunks.of(texts, self._gather), strict=True):
             words = sum(n for n, _ in parts)
             hits = [hit for _, found in parts for hit in found]
-            hits += [(w, v) for w in self.restore.spaced_words(text) if (v := self._weight(w))]
+            apart = dict.fromkeys(self.restore.spaced_words(text) + self.split_words(text))
+            hits += [(w, v) for w in apart if (v := self._weight(w))]
             best = sorted(dict(hits).values(), reverse=True)[:2] + [0.0, 0.0]
             rows.append([best[0], best[1], np.log1p(len(hits)), len(hits) / max(words, 1)])
         return np.array(rows).reshape(len(texts), 4)
