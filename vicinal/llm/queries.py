@@ -12,8 +12,10 @@ from vicinal.llm.embedding_dedup import embedding_links
 from vicinal.llm.exact_dedup import exact_dedup
 from vicinal.llm.language import fit_languages, identify
 from vicinal.llm.mixing import mix
+from vicinal.llm.packing import pack_sequences
 from vicinal.llm.quality import fit_quality, score_quality
 from vicinal.llm.simhash import simhash_groups
+from vicinal.llm.spelling import spelling_groups
 from vicinal.llm.token_counts import token_counts
 from vicinal.llm.token_files import read_digests, write_tokens
 from vicinal.llm.toxicity import fit_toxicity, score_toxicity
@@ -73,6 +75,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, fit_languages(documents))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"), end_id=1, digest=True)
+
+
 QUERIES = (
     op1_exact_dedup,
     op2_toxicity,
@@ -84,6 +94,8 @@ QUERIES = (
     op8_embedding_dedup,
     op9_mixing,
     op10_language,
+    op11_spelling,
+    op12_packing,
 )
 
 
