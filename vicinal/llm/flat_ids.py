@@ -14,6 +14,7 @@ from vicinal.llm.common import CHUNKS_HELD, WHITE
 ASCII_WHITE = np.zeros(256, bool)
 ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
 LONGER_WHITE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f"]
+_LONGER = tuple(LONGER_WHITE)
 #: Bytes of a text that are cut into chunks at a time.
 SLICE_BYTES = 8 << 20
 
@@ -170,7 +171,8 @@ class FlatEncoder:
     def ids_of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks one after the other, and how many each has."""
         # Chunks that begin with white space and end with none end a match where they do: many make one text.
-        edges = np.array([ASCII_WHITE[c[0]] and not (ASCII_WHITE[c[-1]] or c[-1] >= 0x80) for c in chunks], bool)
+        white = ASCII_WHITE.tolist()
+        edges = np.array([white[c[0]] and not (white[c[-1]] if c[-1] < 0x80 else c.endswith(_LONGER)) for c in chunks], bool)
         together, alone = np.flatnonzero(edges), np.flatnonzero(~edges)
         groups = [
             b"".join([chunks[i] for i in together[at : at + self.TOGETHER].tolist()]).decode()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from vicinal.llm.alignment import align_tokenizers
 from vicinal.llm.byte_bpe import encode_decode, encoding_digest
 from vicinal.llm.embedding_dedup import embedding_links
 from vicinal.llm.exact_dedup import exact_dedup
@@ -83,6 +84,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_table(spark, sf_dir, "documents"), TOKENIZERS("byte_bpe_50k.json"), end_id=1, digest=True)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = TOKENIZERS("byte_bpe_50k.json"), TOKENIZERS("piece_bpe_32k.model")
+    return align_tokenizers(_table(spark, sf_dir, "documents"), *paths, digest=True)
+
+
 QUERIES = (
     op1_exact_dedup,
     op2_toxicity,
@@ -96,6 +102,7 @@ QUERIES = (
     op10_language,
     op11_spelling,
     op12_packing,
+    op13_alignment,
 )
 
 
