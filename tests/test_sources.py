@@ -20,12 +20,14 @@ def test_delimited_text_counts_ids_from_one(spark, tmp_path):
     assert read_points(spark, str(path)).count() == 2
 
 
-def test_libsvm_is_made_dense_and_numbered(spark, tmp_path):
+def test_libsvm_is_sparse_or_dense_and_numbered(spark, tmp_path):
     path = tmp_path / "points.libsvm"
     path.write_text("0 1:0.5 3:2.0\n1 2:1.0\n")
-    rows = read_points(spark, str(path)).orderBy("id").collect()
+    rows = read_points(spark, str(path), dense=True).orderBy("id").collect()
     assert [(r["id"], r["label"], r["features"]) for r in rows] == [(0, 0.0, [0.5, 0.0, 2.0]), (1, 1.0, [0.0, 1.0, 0.0])]
-    assert len(read_libsvm(spark, str(path), dim=5).first()["features"]) == 5
+    rows = read_points(spark, str(path)).orderBy("id").collect()
+    assert [(r["id"], r["label"], tuple(r["features"])) for r in rows] == [(0, 0.0, (3, [0, 2], [0.5, 2.0])), (1, 1.0, (3, [1], [1.0]))]
+    assert len(read_libsvm(spark, str(path), dim=5, dense=True).first()["features"]) == 5
 
 
 def test_libsvm_ids_follow_files_and_lines(spark, tmp_path):

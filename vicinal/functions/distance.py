@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vicinal.functions.sparse import Rows, pair_squares, vector_size
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list column as a float64 matrix; rows must have one length and finite values."""
@@ -62,6 +64,12 @@ def _of_one_length(a: Column, b: Column, value: Column) -> Column:
 def _squared_distance_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
     if len(a) == 0:
         return pa.array([], pa.float64())
+    if pa.types.is_struct(a.type):
+        x, y = Rows.of(a), Rows.of(b)
+        if x.size != y.size:
+            raise ValueError(f"feature vectors differ in length: {x.size} and {y.size}")
+        every = np.arange(len(a))
+        return pa.array(pair_squares(x, every, y, every))
     x, y = matrix(a), matrix(b)
     if x.shape[1] != y.shape[1]:
         raise ValueError(f"feature vectors differ in length: {x.shape[1]} and {y.shape[1]}")
@@ -79,11 +87,13 @@ def dot_product(a: Column, b: Column, shared: bool = False) -> Column:
 
 @dataclass(frozen=True)
 class Distance:
-    """A distance: `column` for given pairs, `block` for all rows of one matrix against another."""
+    """A distance: `column` for given pairs, `block` for all rows of one matrix against another, and where vectors
+    are sparse `sparse_block` for all compressed rows against others."""
 
     name: str
     column: Callable[[Column, Column], Column]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    sparse_block: Callable[[Rows, Rows], np.ndarray] | None = None
 
 
 SQUARED_EUCLIDEAN = Distance(
@@ -95,4 +105,4 @@ SQUARED_EUCLIDEAN = Distance(
 
 def dimension(points: DataFrame) -> DataFrame:
     """The largest vector length, as one row."""
-    return points.agg(F.max(F.size("features")).alias("dimension"))
+    return points.agg(F.max(vector_size(points)).alias("dimension"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.functions.keys import key_concat
+from vicinal.functions.sparse import vector_entries
 from vicinal.operators.cells import FEWEST_ROWS, block_rows_column, cell_edges, repeats_of, split_into_cells
 from vicinal.operators.hashing import HashFamily, hash_points
 from vicinal.operators.topk import top_k
@@ -97,12 +98,12 @@ def knn_in_buckets(
     vectors = members.join(kernel_columns(points, group_col), "id", join_kind(missing)).withColumn(
         "features", found_or(missing, F.col("features"), F.col("id"))
     )
-    cells = split_into_cells(vectors, F.ceil(F.col("size") / (F.lit(block_rows) if block_rows else block_rows_column())))
+    cells = split_into_cells(vectors, F.ceil(F.col("size") / (F.lit(block_rows) if block_rows else block_rows_column(vectors))))
     if not tasks:
         # Vectors of b blocks travel b times, so rows times blocks bound what is shuffled.
         blocks = F.greatest(F.lit(1.0), F.col("size") / (F.lit(block_rows) if block_rows else F.lit(FEWEST_ROWS)))
         told = buckets.agg(F.sum(blocks).alias("rows"), F.sum(F.col("size") - 1).alias("pairs")).first()
-        size = points.agg(F.max(F.size("features"))).first()[0] or 1
+        size = points.agg(F.max(vector_entries(points))).first()[0] or 1
         tasks = tasks_for(spark, (told["rows"] or 0) * 8.0 * size, 2.0 * (told["pairs"] or 0) * size)
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks)
     edges = cell_edges(cells, k, distance, width)
@@ -140,6 +141,6 @@ def nearest_in_buckets(
     return found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance", "rank")
 
 
-def bucket_tasks(points: DataFrame, rows: int, comparisons: int, dim: int) -> int:
+def bucket_tasks(points: DataFrame, rows: int, comparisons: int, entries: int) -> int:
     """Shuffle width for the cells of buckets with that many member rows and comparisons."""
-    return tasks_for(points.sparkSession, rows * 8.0 * dim, 2.0 * comparisons * dim)
+    return tasks_for(points.sparkSession, rows * 8.0 * entries, 2.0 * comparisons * entries)

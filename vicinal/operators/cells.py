@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance, fold_squares, matrix
+from vicinal.functions.sparse import Postings, Rows, is_sparse, pair_squares
 
 BOTH, LEFT, RIGHT, SOURCE, TARGET = range(5)
 
@@ -37,14 +38,15 @@ def repeats_of(distance: Distance) -> int | None:
     return 1 if distance is SQUARED_EUCLIDEAN else None
 
 
-def block_rows_for(dim: int) -> int:
-    """Rows per block, so that a block stays within BLOCK_BYTES."""
-    return int(min(max(BLOCK_BYTES // (8 * max(dim, 1)), FEWEST_ROWS), MOST_ROWS))
+def block_rows_for(entries: float, entry_bytes: int = 8) -> int:
+    """Rows per block, so that a block stays within BLOCK_BYTES, for rows of so many numbers."""
+    return int(min(max(BLOCK_BYTES // (entry_bytes * max(entries, 1)), FEWEST_ROWS), MOST_ROWS))
 
 
-def block_rows_column() -> Column:
+def block_rows_column(rows: DataFrame) -> Column:
     """The same, from the vector a row carries."""
-    fitting = F.lit(BLOCK_BYTES) / (8 * F.greatest(F.size("features"), F.lit(1)))
+    carried = 12 * F.size("features.indices") if is_sparse(rows) else 8 * F.size("features")
+    fitting = F.lit(BLOCK_BYTES) / F.greatest(carried, F.lit(8))
     return F.floor(F.least(F.greatest(fitting, F.lit(FEWEST_ROWS)), F.lit(MOST_ROWS)))
 
 
@@ -84,6 +86,10 @@ def cell_edges(cells: DataFrame, k: int, distance: Distance, tasks: int, place:
     rows = rows.sortWithinPartitions(F.xxhash64("cell"), "cell", "side")
 
     block = None if distance is SQUARED_EUCLIDEAN else distance.block
+    if block is not None and is_sparse(rows):
+        block = distance.sparse_block
+        if block is None:
+            raise ValueError(f"the distance {distance.name} has no form for sparse vectors")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _whole_cells(batches):
@@ -136,7 +142,8 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
     column = {name: piece.column(name).chunk(0) for name in piece.column_names}
     ids, sides = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "side"))
     groups = pc.fill_null(column["group_id"].cast(pa.int64()), NO_GROUP).to_numpy(zero_copy_only=False)
-    x = matrix(column["features"])
+    vectors = column["features"]
+    x = Rows.of(vectors) if pa.types.is_struct(vectors.type) else matrix(vectors)
     starts = np.concatenate([[0], _changes(column["cell"])])
     sizes = np.diff(np.append(starts, len(ids)))
 
@@ -153,10 +160,10 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
         rows = np.arange(first, first + size)
         for span in np.unique(np.stack([low[rows], high[rows]], axis=1), axis=0):
             sources = rows[(low[rows] == span[0]) & (high[rows] == span[1])]
-            for group in np.unique(groups[span[0] : span[1]]):
-                targets = np.arange(*span)[groups[span[0] : span[1]] == group]
-                for src, dst, d in _block(x, ids, sources, targets, k, block):
-                    yield ids[src], groups[dst], ids[dst], d
+            targets = np.arange(*span)
+            targets = targets[np.argsort(groups[targets], kind="stable")]
+            for src, dst, d in _block(x, ids, groups, sources, targets, k, block):
+                yield ids[src], groups[dst], ids[dst], d
 
 
 def _edge_batch(src, group_id, dst, distance) -> pa.RecordBatch:
@@ -173,7 +180,7 @@ def _edge_batch(src, group_id, dst, distance) -> pa.RecordBatch:
 
 def _small_cells(x, ids, groups, rows, low, high, k):
     """Rows of many small cells, every pair of a cell at once."""
-    xt = np.ascontiguousarray(x.T)
+    xt = None if isinstance(x, Rows) else np.ascontiguousarray(x.T)
     counts = (high - low)[rows]
     chunk = np.cumsum(counts) // PAIRS_AT_ONCE
     for part in np.split(rows, np.flatnonzero(np.diff(chunk)) + 1):
@@ -183,7 +190,7 @@ def _small_cells(x, ids, groups, rows, low, high, k):
         other = ids[src] != ids[dst]
         src, dst = src[other], dst[other]
         if len(src):
-            d = fold_squares(xt, xt, src, dst)
+            d = pair_squares(x, src, x, dst) if xt is None else fold_squares(xt, xt, src, dst)
             crowded = (high - low)[src] > k
             if crowded.any():
                 kept = np.flatnonzero(crowded)
@@ -218,53 +225,117 @@ def _bound(d: np.ndarray, k: int) -> np.ndarray:
     return np.partition(least, k - 1, axis=1)[:, k - 1]
 
 
-def _block(x, ids, sources, targets, k, block):
-    """The k nearest targets of each source, in slices of the distance matrix.
+def _bounds(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """For each row and each run of columns, a value that at least k of the run's entries do not exceed.
 
-    `block` is the caller's own distance. For squared distances a matrix product gives approximate
-    values; all targets within its rounding error of the k-th are then measured exactly, so the choice
-    is that of the exact distances.
+    Runs of like size are cut out together and selected from in one step, whatever their number.
+    """
+    if len(sizes) == 1:
+        return _bound(d, k)[:, None] if sizes[0] > k else np.full((len(d), 1), np.inf)
+    out = np.full((len(d), len(sizes)), np.inf)
+    wide = np.column_stack([d, np.full(len(d), np.inf)])
+    width_of = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    for width in np.unique(width_of[sizes > k]).tolist():
+        runs = np.flatnonzero((width_of == width) & (sizes > k))
+        span = np.arange(sizes[runs].max())
+        at = np.where(span < sizes[runs, None], starts[runs, None] + span, d.shape[1])
+        out[:, runs] = np.partition(wide[:, at], k - 1, axis=2)[:, :, k - 1]
+    return out
+
+
+class _Squares:
+    """Squared distances to some rows: nearly, by a matrix product, with how far off it may be; and exactly."""
+
+    def __init__(self, x: np.ndarray, targets: np.ndarray):
+        self.x, b = x, x[targets]
+        self.center = b.mean(axis=0)
+        centered = b - self.center
+        self.norms = np.einsum("ij,ij->i", centered, centered)
+        self.rounding = 4 * (x.shape[1] + 8) * np.finfo(float).eps
+        self.bt = np.ascontiguousarray(b.T)
+        self.centered = np.ascontiguousarray(-2.0 * centered.T)
+
+    def nearly(self, part: np.ndarray):
+        a = self.x[part] - self.center
+        norms = np.einsum("ij,ij->i", a, a)
+        d = a @ self.centered
+        d += self.norms
+        d += norms[:, None]
+        return d, self.rounding * (np.sqrt(norms) + np.sqrt(self.norms.max())) ** 2
+
+    def exactly(self, part, i, j, d):
+        return fold_squares(np.ascontiguousarray(self.x[part].T), self.bt, i, j)
+
+
+class _SparseSquares:
+    """The same for compressed rows, by an inverted index from coordinates to rows."""
+
+    def __init__(self, x: Rows, targets: np.ndarray):
+        self.x, self.b = x, x.take(targets)
+        self.postings, self.norms = Postings(self.b), self.b.squares()
+        self.most = self.b.counts.max(initial=0)
+
+    def nearly(self, part: np.ndarray):
+        a = self.x.take(part)
+        norms = a.squares()
+        d = self.postings.products(a)
+        d *= -2.0
+        d += self.norms
+        d += norms[:, None]
+        rounding = 4 * (a.counts.max(initial=0) + self.most + 8) * np.finfo(float).eps
+        return d, rounding * (np.sqrt(norms) + np.sqrt(self.norms.max())) ** 2
+
+    def exactly(self, part, i, j, d):
+        return pair_squares(self.x, part[i], self.b, j)
+
+
+class _Own:
+    """The caller's own distance."""
+
+    def __init__(self, x, targets, block):
+        self.rows = x.take if isinstance(x, Rows) else x.__getitem__
+        self.b, self.block = self.rows(targets), block
+
+    def nearly(self, part: np.ndarray):
+        return np.array(self.block(self.rows(part), self.b), dtype=np.float64), np.zeros(len(part))
+
+    def exactly(self, part, i, j, d):
+        return d[i, j]
+
+
+def _block(x, ids, groups, sources, targets, k, block):
+    """The k nearest targets of each group for each source, in slices of the distance matrix.
+
+    `targets` are sorted by group. `block` is the caller's own distance. For squared distances a product gives
+    approximate values; all targets within its rounding error of their group's k-th are then measured exactly, so the
+    choice is that of the exact distances.
     """
     if len(sources) == 0 or len(targets) == 0:
         return
-    exact = block is not None
-    b = x[targets]
-    if not exact:
-        center = b.mean(axis=0)
-        b_centered = b - center
-        b_norms = np.einsum("ij,ij->i", b_centered, b_centered)
-        rounding = 4 * (x.shape[1] + 8) * np.finfo(float).eps
-        bt = np.ascontiguousarray(b.T)
-        bt_centered = np.ascontiguousarray(-2.0 * b_centered.T)
+    if block is not None:
+        measure = _Own(x, targets, block)
+    else:
+        measure = _SparseSquares(x, targets) if isinstance(x, Rows) else _Squares(x, targets)
+    group = groups[targets]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    sizes = np.diff(np.append(first, len(targets)))
     by_id = np.argsort(ids[targets], kind="stable")
     sorted_ids = ids[targets][by_id]
     step = max(1, PAIRS_AT_ONCE // len(targets))
     for at in range(0, len(sources), step):
         part = sources[at : at + step]
-        a = x[part]
-        if exact:
-            d = np.array(block(a, b), dtype=np.float64)
-            slack = 0.0
-        else:
-            a_centered = a - center
-            a_norms = np.einsum("ij,ij->i", a_centered, a_centered)
-            d = a_centered @ bt_centered
-            d += b_norms
-            d += a_norms[:, None]
-            slack = rounding * (np.sqrt(a_norms) + np.sqrt(b_norms.max())) ** 2
+        d, slack = measure.nearly(part)
         # Every target that bears the source's id, however many.
         begin, end = (np.searchsorted(sorted_ids, ids[part], side=side) for side in ("left", "right"))
         same = np.repeat(np.arange(len(part)), end - begin)
         own = by_id[np.arange(len(same)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)]
         d[same, own] = np.inf
-        if len(targets) > k:
-            near = d <= (_bound(d, k) + slack)[:, None]
-        else:
-            near = np.ones(d.shape, dtype=bool)
+        bound = _bounds(d, first, sizes, k) + np.reshape(slack, (-1, 1))
+        near = d <= (bound if len(sizes) == 1 else np.repeat(bound, sizes, axis=1))
         near[same, own] = False
         i, j = np.divmod(np.flatnonzero(near), len(targets))
         if len(i) == 0:
             continue
-        value = d[i, j] if exact else fold_squares(np.ascontiguousarray(a.T), bt, i, j)
-        best = _nearest(i, np.zeros_like(i), value, ids[targets[j]], k)
+        value = measure.exactly(part, i, j, d)
+        best = _nearest(i, group[j], value, ids[targets[j]], k)
         yield part[i[best]], targets[j[best]], value[best]

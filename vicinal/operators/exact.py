@@ -32,12 +32,12 @@ def knn_exact(
         points, stats = points.join(subset.select("id").distinct(), "id", "left_semi"), None
     stats = stats or describe(points)
     spark = points.sparkSession
-    most = block_rows or block_rows_for(stats.dim)
+    most = block_rows or block_rows_for(stats.entries, stats.entry_bytes)
     cores = spark.sparkContext.defaultParallelism
     blocks = max(math.ceil(stats.n / most), min(math.ceil(math.sqrt(2 * cores)), math.ceil(stats.n / 256)), 1)
     tasks = min(
         blocks * (blocks + 1) // 2,
-        tasks_for(spark, stats.n * blocks * 8.0 * stats.dim, 2.0 * stats.n * stats.n * stats.dim) * 4,
+        tasks_for(spark, stats.n * blocks * float(stats.entry_bytes) * stats.entries, 2.0 * stats.n * stats.n * stats.entries) * 4,
     )
 
     own = F.col("_own")
@@ -69,14 +69,15 @@ def knn_against(
     """The k nearest targets of every source, exactly; a point is never its own neighbour."""
     few, many = describe(sources), describe(targets)
     spark = sources.sparkSession
-    most = block_rows or block_rows_for(max(few.dim, many.dim))
+    entries = max(few.entries, many.entries)
+    most = block_rows or block_rows_for(entries, many.entry_bytes)
     cores = spark.sparkContext.defaultParallelism
     source_blocks = max(math.ceil(few.n / most), 1)
     target_blocks = max(math.ceil(many.n / most), min(2 * cores, math.ceil(many.n / 256)), 1)
     rows = few.n * target_blocks + many.n * source_blocks
     tasks = min(
         source_blocks * target_blocks,
-        tasks_for(spark, rows * 8.0 * many.dim, float(few.n) * many.n * many.dim) * 4,
+        tasks_for(spark, rows * float(many.entry_bytes) * entries, float(few.n) * many.n * entries) * 4,
     )
 
     def side(points, own_blocks, other_blocks, code, cell):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
+from vicinal.functions.sparse import vector_entries
 from vicinal.operators.cells import SOURCE, TARGET, block_of, cell_edges
 from vicinal.operators.topk import merge_graphs, top_k
 from vicinal.session import Scratch, tasks_for
@@ -88,7 +89,7 @@ def _refine_once(points, edges, k, group_col, distance, most):
     )
     # A vector goes to its node's cell once for each edge, and to one for each part of a hub it is a target of.
     told = links.agg(F.count(F.lit(1))).first()
-    size = points.agg(F.max(F.size("features"))).first()[0] or 1
+    size = points.agg(F.max(vector_entries(points))).first()[0] or 1
     width = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         tasks_for(spark, 16.0 * size * (told[0] or 0), 2.0 * size * k * (told[0] or 0)),

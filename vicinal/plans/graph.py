@@ -18,7 +18,7 @@ from vicinal.operators.buckets import (
 )
 from vicinal.operators.copies import copy_map, distinct_vectors, expand_copies
 from vicinal.operators.exact import knn_exact
-from vicinal.operators.hashing import HashFamily, hash_points
+from vicinal.operators.hashing import HashFamily, hash_projected, project_points
 from vicinal.operators.retire import completed_ids
 from vicinal.operators.stragglers import sized_reverse_lists, straggler_exhaustive
 from vicinal.operators.topk import merge_counters, merge_graphs
@@ -83,24 +83,28 @@ def _build(points, stats, config, group_col, distance) -> KnnResult:
 def _hashed(
     points: DataFrame, stats: PointStats, config: KnnConfig, group_col: str | None, distance: Distance
 ) -> KnnResult:
-    """Hash the remaining points, compare inside buckets, retire the well-compared, double the radius."""
+    """Hash the remaining points, compare inside buckets, retire the well-compared, double the radius.
+
+    Points are projected once and written with their projections, which give the keys of every radius.
+    """
     n, k = stats.n, config.k
     if n <= 1:
         return KnnResult(knn_exact(points, k, group_col, distance=distance, stats=stats), None, config)
-    config = with_parameters(config, choose_parameters(points, n, stats.dim, config))
+    scratch = Scratch(points.sparkSession)
+    config = with_parameters(config, choose_parameters(points, n, stats.dim, config, scratch))
     family = HashFamily(stats.dim, config.key_length, config.tables, config.seed, share_tables=config.share_tables)
     groups = points.select(group_col).distinct().count() if group_col else 1
-    scratch = Scratch(points.sparkSession)
     result = KnnResult(points, None, config, all_pairs=n * (n - 1) // 2)
 
     edges = viewed = None
-    remaining, left = points, n
-    stored, stored_count = points, n
+    columns = points.columns
+    stored, stored_count = scratch.save(project_points(points, family), "projected"), n
+    remaining, left = stored, n
     radius, buckets_in_a_table = config.radius, 2
     turn = 0
     while (buckets_in_a_table > 1 or left > k) and left > 1 and (config.max_rounds is None or turn < config.max_rounds):
-        hashed = hash_points(remaining, family, radius)
-        buckets = scratch.save(bucketize(hashed, distinct=config.share_tables, scratch=scratch), f"buckets{turn}")
+        hashed = hash_projected(remaining, family, radius)
+        buckets = scratch.save(bucketize(hashed, distinct=config.share_tables), f"buckets{turn}")
         seen = _bucket_totals(buckets)
         if seen["rows"] and config.split_above:
             buckets, seen = _split(points, buckets, family, radius, config, scratch, seen)
@@ -108,7 +112,7 @@ def _hashed(
             buckets_in_a_table = seen["buckets_in_a_table"]
             result.buckets.append(buckets)
             result.comparisons += seen["comparisons"]
-            tasks = bucket_tasks(points, seen["rows"], seen["comparisons"], stats.dim)
+            tasks = bucket_tasks(points, seen["rows"], seen["comparisons"], stats.entries)
             found = knn_in_buckets(stored, buckets, k, group_col, distance=distance, tasks=tasks)
             edges = scratch.save(merge_graphs([edges, found], k), f"edges{turn}")
             viewed = scratch.save(merge_counters([viewed, bucket_viewed(buckets)]), f"viewed{turn}")
@@ -130,7 +134,7 @@ def _hashed(
         return result
     if left:
         edges, viewed, remaining, left = _from_holders(
-            points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, stats.dim
+            points, remaining.select(columns), left, edges, viewed, config, group_col, groups, distance, scratch, result, stats.entries
         )
     if left:
         nodes = edges.select(F.col("src").alias("id")).union(remaining.select("id")).distinct().count()
@@ -143,7 +147,7 @@ def _hashed(
 
 
 def _from_holders(
-    points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, dim
+    points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, entries
 ):
     """Compare each straggler with the nodes whose lists hold it, and with those lists."""
     lists = scratch.save(sized_reverse_lists(edges, remaining), "holder-lists")
@@ -154,7 +158,7 @@ def _from_holders(
         # Work is counted as the square of each list's size, as users of the measure expect.
         work = totals["rows"] + totals["twice"]
         result.comparisons += work
-        tasks = bucket_tasks(points, totals["rows"], work, dim)
+        tasks = bucket_tasks(points, totals["rows"], work, entries)
         found = knn_in_buckets(points, lists, config.k, group_col, ["list_id"], distance, tasks=tasks)
         edges = scratch.save(merge_graphs([edges, found], config.k), "edges-holders")
         viewed = scratch.save(merge_counters([viewed, bucket_viewed(lists)]), "viewed-holders")

@@ -1,6 +1,7 @@
 """Point tables: `id BIGINT, label DOUBLE, features ARRAY<DOUBLE>` and, if wanted, `group_id INT`.
 
-Features may stay ARRAY<FLOAT>: they are widened where they are used, and take half the room in a shuffle.
+Features may also be sparse, `STRUCT<size, indices, values>` (functions/sparse.py). Arrays may stay ARRAY<FLOAT>: they
+are widened where they are used, and take half the room in a shuffle.
 """
 
 from __future__ import annotations
@@ -11,32 +12,36 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vicinal.functions.sparse import from_ml_vector, is_sparse, vector_entries, vector_size
 from vicinal.session import Scratch
 
 
 @dataclass(frozen=True)
 class PointStats:
-    """Points and their dimension."""
+    """Points, their dimension, and the most numbers one of them carries with the bytes of each."""
 
     n: int
     dim: int
+    entries: int
+    entry_bytes: int
 
 
 def describe(points: DataFrame) -> PointStats:
     """Count points and find their dimension; null ids, null or unequal vectors are refused."""
-    size = F.size("features")
+    size = vector_size(points)
     row = points.agg(
         F.count(F.lit(1)).alias("n"),
         F.count("features").alias("present"),
         F.count("id").alias("named"),
         F.min(size).alias("low"),
         F.max(size).alias("high"),
+        F.max(vector_entries(points)).alias("entries"),
     ).first()
     if row["present"] != row["n"] or row["named"] != row["n"]:
         raise ValueError("a point has a null id or a null vector")
     if row["low"] != row["high"]:
         raise ValueError(f"feature vectors differ in length: {row['low']} and {row['high']}")
-    return PointStats(row["n"], row["high"] or 0)
+    return PointStats(row["n"], row["high"] or 0, max(row["entries"] or 0, 1), 12 if is_sparse(points) else 8)
 
 
 def found_or(missing: str, column: Column, name: Column) -> Column:
@@ -82,33 +87,38 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def from_vectors(rows: DataFrame, id: str = "id", features: str = "features", label: str | None = None) -> DataFrame:
-    """Adapt a table with a column of ML vectors, dense or sparse."""
+def from_vectors(
+    rows: DataFrame, id: str = "id", features: str = "features", label: str | None = None, sparse: bool = False
+) -> DataFrame:
+    """Adapt a table with a column of ML vectors, dense or sparse; with `sparse` none is written out in full."""
     return rows.select(
         F.col(id).cast("bigint").alias("id"),
         (F.lit(0.0) if label is None else F.col(label).cast("double")).alias("label"),
-        vector_to_array(features).alias("features"),
+        (from_ml_vector(F.col(features)) if sparse else vector_to_array(features)).alias("features"),
     )
 
 
-def read_libsvm(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """Read a libsvm file into points with ids 0, 1, ... in the order of its files and lines."""
+def read_libsvm(spark: SparkSession, path: str, dim: int | None = None, dense: bool = False) -> DataFrame:
+    """Read a libsvm file into points with ids 0, 1, ... in the order of its files and lines.
+
+    Vectors stay sparse, as `STRUCT<size, indices, values>`, which all operators take; with `dense` they become arrays.
+    """
     reader = spark.read.format("libsvm")
     if dim is not None:
         reader = reader.option("numFeatures", str(dim))
     rows = reader.load(path).select(
         "label",
-        vector_to_array("features").alias("features"),
+        (vector_to_array("features") if dense else from_ml_vector(F.col("features"))).alias("features"),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_offset"),
     )
     return assign_ids(rows, order=["_path", "_offset"]).select("id", "label", "features")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """Pick the reader by suffix: `.libsvm`, `.parquet`, or delimited text."""
+def read_points(spark: SparkSession, path: str, dense: bool = False) -> DataFrame:
+    """Pick the reader by suffix: `.libsvm` (sparse unless `dense`), `.parquet`, or delimited text."""
     if path.endswith(".libsvm"):
-        return read_libsvm(spark, path)
+        return read_libsvm(spark, path, dense=dense)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     return read_delimited(spark, path)
