@@ -16,6 +16,7 @@ from vicinal import Distance, KnnConfig, knn_graph  # noqa: E402
 from vicinal.functions.distance import dimension, dot_product, squared_distance  # noqa: E402
 from vicinal.functions.gaussian import Gaussian  # noqa: E402
 from vicinal.functions.keys import key_concat, key_prefix  # noqa: E402
+from vicinal.functions.sparse import is_sparse, sparse_dot, to_sparse, vector_size  # noqa: E402
 from vicinal.functions.stats import (  # noqa: E402
     approx_median,
     deviation_summary,
@@ -42,8 +43,14 @@ from vicinal.operators.evaluate import (  # noqa: E402
     recall,
 )
 from vicinal.operators.exact import knn_exact  # noqa: E402
-from vicinal.operators.hashing import GivenFamily, HashFamily, hash_points  # noqa: E402
-from vicinal.operators.pairs import knn_connections, knn_from_pairs, pairs_viewed  # noqa: E402
+from vicinal.operators.hashing import (  # noqa: E402
+    GivenFamily,
+    HashFamily,
+    hash_points,
+    hash_projected,
+    project_points,
+)
+from vicinal.operators.pairs import knn_connections, knn_from_pairs, pair_distances, pairs_viewed  # noqa: E402
 from vicinal.operators.refine import refine, refine_candidates, refine_work  # noqa: E402
 from vicinal.operators.retire import drop_completed  # noqa: E402
 from vicinal.operators.stragglers import sized_reverse_lists, straggler_exhaustive  # noqa: E402
@@ -54,7 +61,7 @@ from vicinal.operators.topk import (  # noqa: E402
     to_adjacency,
     to_edges,
 )
-from vicinal.operators.tuning import best_key_length, default_key_length  # noqa: E402
+from vicinal.operators.tuning import LONGER, best_key_length, default_key_length  # noqa: E402
 from vicinal.session import Scratch, local_checkpoints  # noqa: E402
 from vicinal.sources.edges import edges_listed, read_edges, vertices_listed, write_edges  # noqa: E402
 from vicinal.sources.points import (  # noqa: E402
@@ -77,6 +84,10 @@ FAMILY = HashFamily(DIM, key_length=2, tables=4, seed=7)
 FINER = HashFamily(DIM, key_length=1, tables=2, seed=8)
 RADIUS = 0.2
 SPLIT_AT = 12
+THIN = 0.1
+#: Directions of whole numbers from -3 to 3, so that keys hardly depend on the order of adding.
+GIVEN = GivenFamily.of(np.array([(7 * i + i * i // 5) % 7 - 3.0 for i in range(6 * DIM)]).reshape(2, 3, DIM), np.arange(6).reshape(2, 3) / 2)
+ROUNDS = KnnConfig(k=5, seed=7, tables=4, key_length=2, radius=RADIUS / 2, max_comparisons=40, max_rounds=3)
 
 MANHATTAN = Distance(
     "manhattan",
@@ -95,6 +106,32 @@ def _points(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     return from_embeddings(_table(spark, sf_dir, "embeddings"), wide)
 
 
+def _thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings without their small components, as sparse vectors."""
+    points = _points(spark, sf_dir, wide=True)
+    large = F.transform("features", lambda x: F.when(F.abs(x) >= THIN, x).otherwise(0.0))
+    return points.withColumn("features", to_sparse(large))
+
+
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sparse vectors of the quantities they ordered, one dimension a part."""
+    lines, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
+    dim = lines.agg(F.max("l_partkey")).first()[0] + 1
+    bought = (
+        lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+        .groupBy("o_custkey", "l_partkey")
+        .agg(F.sum("l_quantity").cast("double").alias("x"))
+    )
+    entries = F.array_sort(F.collect_list(F.struct(F.col("l_partkey").cast("int").alias("i"), "x")))
+    vector = F.struct(
+        F.lit(dim).cast("int").alias("size"),
+        F.transform("e", lambda p: p["i"]).alias("indices"),
+        F.transform("e", lambda p: p["x"]).alias("values"),
+    )
+    held = bought.groupBy(F.col("o_custkey").cast("bigint").alias("id")).agg(entries.alias("e"))
+    return held.select("id", F.lit(0.0).alias("label"), vector.alias("features"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers that were ordered together, as pairs of ids of vectors: every line counts."""
     lines, n = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "embeddings").count()
@@ -134,6 +171,10 @@ def _knn_subset(spark, sf_dir):
     return _edges(knn_exact(_points(spark, sf_dir), 5, subset=good), "rank")
 
 
+def _knn_sparse(spark, sf_dir):
+    return _edges(knn_exact(Scratch(spark).save(_baskets(spark, sf_dir), "baskets"), 5), "rank")
+
+
 def _knn_grouped(spark, sf_dir):
     return _edges(knn_exact(_points(spark, sf_dir), 3, group_col="group_id"), "rank")
 
@@ -244,12 +285,23 @@ def _lsh_hash(spark, sf_dir):
 
 
 def _lsh_given_projections(spark, sf_dir):
-    """Projections that read single dimensions, so the key is plain arithmetic."""
-    family = GivenFamily.of(np.eye(DIM)[:6].reshape(2, 3, DIM), np.arange(6).reshape(2, 3) / 2)
-    hashed = hash_points(_points(spark, sf_dir), family, 0.03)
+    """Projections of small whole numbers over all dimensions."""
+    hashed = hash_points(_points(spark, sf_dir), GIVEN, 0.3)
     return hashed.select("id", "table_id", F.array_join("key", ",").alias("key"))
 
 
+def _lsh_hash_sparse(spark, sf_dir):
+    hashed = hash_points(_thinned(spark, sf_dir), FAMILY, RADIUS)
+    return hashed.select("id", "table_id", F.array_join("key", ",").alias("key"))
+
+
+def _lsh_stored(spark, sf_dir):
+    """Keys of two radii from one table of projections."""
+    projected = Scratch(spark).save(project_points(_points(spark, sf_dir), FAMILY), "projected")
+    both = [hash_projected(projected, FAMILY, r).withColumn("radius", F.lit(r)) for r in (RADIUS, 2 * RADIUS)]
+    return both[0].unionByName(both[1]).select("id", "table_id", F.array_join("key", ",").alias("key"), "radius")
+
+
 def _lsh_key_ops(spark, sf_dir):
     hashed = hash_points(_points(spark, sf_dir), FAMILY, RADIUS)
     both = key_concat(key_prefix(F.col("key"), 1), F.col("key"))
@@ -315,6 +367,15 @@ def _lsh_adaptive(spark, sf_dir):
     return _edges(knn_graph(_points(spark, sf_dir), KnnConfig(k=10, seed=7)).edges, "rank")
 
 
+def _lsh_rounds(spark, sf_dir):
+    """A whole build of three rounds at a doubling radius, the holders' pass and the exhaustive one."""
+    return _edges(knn_graph(_points(spark, sf_dir), ROUNDS).edges, "rank")
+
+
+def _lsh_rounds_viewed(spark, sf_dir):
+    return knn_graph(_points(spark, sf_dir), ROUNDS).viewed
+
+
 def _lsh_adaptive_grouped(spark, sf_dir):
     config = KnnConfig(k=2, seed=7, tables=6, key_length=2)
     return _edges(knn_graph(_points(spark, sf_dir), config, group_col="group_id").edges, "rank")
@@ -421,6 +482,21 @@ def _vector_ops(spark, sf_dir):
     )
 
 
+def _vector_ops_sparse(spark, sf_dir):
+    thin = _thinned(spark, sf_dir).select("id", "features")
+    points = _points(spark, sf_dir).select("id", F.col("features").alias("full"))
+    told = pair_distances(thin, _pairs(spark, sf_dir))
+    sides = told.join(thin.withColumnRenamed("id", "src"), "src").join(points.withColumnRenamed("id", "dst"), "dst")
+    few = F.slice("full", 1, 20)
+    return sides.select(
+        "src",
+        "dst",
+        F.round("distance", 6).alias("distance"),
+        F.round(sparse_dot(F.col("features"), F.col("full")), 6).alias("dot"),
+        F.round(sparse_dot(F.col("features"), few, shared=True), 6).alias("shared"),
+    )
+
+
 def _dimension(spark, sf_dir):
     return dimension(_points(spark, sf_dir))
 
@@ -479,8 +555,9 @@ def _approx_median(spark, sf_dir):
 
 
 def _point_summary(points: DataFrame) -> DataFrame:
-    total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
-    return points.select("id", F.size("features").alias("dim"), F.round(total, 6).alias("total"))
+    values = "features.values" if is_sparse(points) else "features"
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return points.select("id", vector_size(points).alias("dim"), F.round(total, 6).alias("total"))
 
 
 def _text_points(spark, sf_dir):
@@ -542,14 +619,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 QUERY_NAMES = """
-knn_exact knn_subset knn_grouped knn_manhattan knn_brute knn_from_pairs knn_from_pairs_grouped pairs_viewed
+knn_exact knn_sparse knn_subset knn_grouped knn_manhattan knn_brute knn_from_pairs knn_from_pairs_grouped pairs_viewed
 knn_from_lists knn_from_lists_grouped knn_connections knn_connections_ties merge_graphs merge_grouped
 merge_lists merge_counters adjacency refine refine_candidates refine_work refine_grouped
-lsh_hash lsh_given_projections lsh_key_ops lsh_buckets lsh_shared_tables lsh_viewed lsh_histogram lsh_cost
-lsh_split lsh_candidates lsh_one_round lsh_one_round_grouped lsh_parameters lsh_adaptive
+lsh_hash lsh_hash_sparse lsh_stored lsh_given_projections lsh_key_ops lsh_buckets lsh_shared_tables lsh_viewed lsh_histogram lsh_cost
+lsh_split lsh_candidates lsh_one_round lsh_one_round_grouped lsh_parameters lsh_rounds lsh_rounds_viewed lsh_adaptive
 lsh_adaptive_grouped lsh_wide_radius drop_completed drop_completed_lists straggler_reverse
 straggler_exhaustive recall missed_edges missed_by_node positional positional_linear degrees degree_stats
-vector_ops dimension dim_stats deviation_summary gauss_pdf gauss_pdf_scalar gauss_sample kth_smallest
+vector_ops vector_ops_sparse dimension dim_stats deviation_summary gauss_pdf gauss_pdf_scalar gauss_sample kth_smallest
 kth_smallest_deep median_lower median_compat approx_median text_points libsvm_points text_roundtrip
 edge_lookup vertex_lookup neighbor_labels assign_ids
 """.split()
@@ -611,6 +688,63 @@ def _hash_sql(name: str, points: str, family: HashFamily, radius: float) -> str:
     return f"{name} AS ({' UNION ALL '.join(tables)})"
 
 
+def _walk_sql(family: HashFamily) -> tuple[str, ...]:
+    """The search for a key length over bucket statistics of every radius and length; `family` holds the longest key."""
+    a, b = (x[0] for x in family.projections())
+    values = ", ".join(f"list_inner_product(f, [{', '.join(f'{x:.17e}' for x in row)}]::DOUBLE[])" for row in a)
+    return (
+        f"shifts AS (SELECT [{', '.join(f'{x:.17e}' for x in b)}]::DOUBLE[] AS b)",
+        f"q AS (SELECT [{values}]::DOUBLE[] AS v FROM p)",
+        f"l0 AS (SELECT greatest(ceil(log2(count(*) // {DIM})) + 1, 1)::INT AS start FROM p)",
+        "grid AS (SELECT i, i::INT AS pos, (0.1 * power(2, i))::DOUBLE AS r, (start % 2 + 2 * j)::INT AS len FROM l0, range(0, 9) t(i), "
+        f"range(0, 21) u(j) WHERE start % 2 + 2 * j BETWEEN greatest(start // 2, 1) AND 2 * start + {LONGER})",
+        "keyed AS (SELECT pos, len, list_transform(list_zip(v[1:len], b[1:len]), lambda x: floor((x[1] / r + x[2]) / 4)::INT) AS key "
+        "FROM q, shifts, grid)",
+        "sized AS (SELECT pos, len, count(*) AS size FROM keyed GROUP BY pos, len, key HAVING count(*) > 1)",
+        "hist AS (SELECT pos, len, size, count(*) AS buckets FROM sized GROUP BY pos, len, size)",
+        "seen AS (SELECT pos, len, sum(buckets) AS buckets, max(buckets) AS mode, avg(size) AS mean, stddev_pop(size) AS dev, "
+        "max(size) AS largest FROM hist GROUP BY pos, len)",
+        "step AS (SELECT w.*, start, buckets IS NULL AS empty, (NOT up AND (buckets IS NULL OR len < start // 2)) AS wider, "
+        "coalesce(buckets * 0.5 < mode AND (largest < mean + 3 * dev OR dev = 0), false) AS alike "
+        "FROM w LEFT JOIN seen USING (pos, len), l0 WHERE NOT done)",
+    )
+
+
+def _rounds_sql(config: KnnConfig, rounds: int) -> tuple[list[str], str, str]:
+    """The build unrolled: rounds, the holders' pass, the exhaustive pass; the names of its edges and counters."""
+    family = HashFamily(DIM, config.key_length, config.tables, config.seed)
+    k, most = config.k, config.max_comparisons
+    parts, edges, counts, left = [], None, None, "p"
+    for t in range(rounds):
+        parts.append(_hash_sql(f"h{t}", left, family, config.radius * 2**t))
+        parts.append(
+            f"b{t} AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY table_id, key) AS size FROM h{t}) WHERE size > 1)"
+        )
+        pairs = f"(SELECT x.id AS src, y.id AS dst FROM b{t} x JOIN b{t} y ON x.table_id = y.table_id AND x.key = y.key AND x.id <> y.id)"
+        parts.append(_distances(f"d{t}", pairs))
+        more = f"SELECT src, dst, distance FROM d{t}" + (f" UNION SELECT src, dst, distance FROM {edges}" if edges else "")
+        parts += [f"u{t} AS ({more})", _top(f"e{t}", f"u{t}", k).replace(" AS (", " AS MATERIALIZED (", 1)]
+        seen = f"SELECT id, size - 1 AS n FROM b{t}" + (f" UNION ALL SELECT id, viewed FROM {counts}" if counts else "")
+        parts.append(f"v{t} AS MATERIALIZED (SELECT id, sum(n)::BIGINT AS viewed FROM ({seen}) GROUP BY id)")
+        parts.append(f"p{t} AS MATERIALIZED (SELECT * FROM p WHERE id NOT IN (SELECT id FROM v{t} WHERE viewed > {most}))")
+        edges, counts, left = f"e{t}", f"v{t}", f"p{t}"
+    parts += [
+        f"rev AS (SELECT r.dst AS list_id, r.src FROM {edges} r JOIN {left} st ON st.id = r.dst)",
+        "rl AS (SELECT list_id, src AS id FROM rev UNION SELECT list_id, list_id FROM rev "
+        f"UNION SELECT rev.list_id, r.dst FROM rev JOIN {edges} r ON r.src = rev.src)",
+        _distances("hd", LIST_PAIRS.replace("lists", "rl")),
+        f"hu AS (SELECT src, dst, distance FROM hd UNION SELECT src, dst, distance FROM {edges})",
+        _top("he", "hu", k).replace(" AS (", " AS MATERIALIZED (", 1),
+        f"hv AS (SELECT id, sum(n)::BIGINT AS viewed FROM (SELECT id, viewed AS n FROM {counts} UNION ALL "
+        "SELECT id, count(*) OVER (PARTITION BY list_id) - 1 FROM rl) GROUP BY id)",
+        f"hp AS MATERIALIZED (SELECT id FROM {left} WHERE id NOT IN (SELECT id FROM hv WHERE viewed > {most}))",
+        _distances("xd", "(SELECT s.id AS src, t.id AS dst FROM hp s JOIN (SELECT src AS id FROM he UNION SELECT id FROM hp) t ON t.id <> s.id)"),
+        "xu AS (SELECT src, dst, distance FROM xd UNION SELECT src, dst, distance FROM he)",
+        _top("xe", "xu", k),
+    ]
+    return parts, "xe", "hv"
+
+
 HASHED = _hash_sql("h", "p", FAMILY, RADIUS)
 SIZED = (
     "bk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY table_id, key) AS size FROM h) WHERE size > 1)"
@@ -682,7 +816,6 @@ def _core_sql() -> dict[str, str]:
         "u AS (SELECT DISTINCT id, key FROM h), "
         "ub AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY key) AS size FROM u) WHERE size > 1)"
     )
-    given = GivenFamily.of(np.eye(DIM)[:6].reshape(2, 3, DIM), np.arange(6).reshape(2, 3) / 2)
     coarse = f"floor(4 * {SQUARED})::DOUBLE"
     manhattan = "list_sum(list_transform(list_zip(a.f, b.f), lambda t: abs(t[1] - t[2])))"
     round_tables = (POINTS, HASHED, SIZED, ONE_ROUND)
@@ -700,9 +833,21 @@ def _core_sql() -> dict[str, str]:
     )
     dims = "x AS (SELECT id, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS dim FROM p)"
     stats = "s AS (SELECT dim, avg(x) AS mean, max(x) - min(x) AS span, stddev_pop(x) AS deviation FROM x GROUP BY dim)"
+    thin = f"z AS (SELECT id, list_transform(f, lambda x: CASE WHEN abs(x) >= {THIN} THEN x ELSE 0 END) AS f FROM p)"
+    rounds, built, counted = _rounds_sql(ROUNDS, ROUNDS.max_rounds)
     summary = "SELECT {0}, len(f) AS dim, round(list_sum(f), 6) AS total FROM p"
     return {
         "knn_exact": _with(POINTS, _exact("e", 10), _show("e")),
+        "knn_sparse": _with(
+            "v AS (SELECT o_custkey AS id, l_partkey AS c, sum(l_quantity)::DOUBLE AS x FROM lineitem JOIN orders "
+            "ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey)",
+            "n AS (SELECT id, sum(x * x) AS n2 FROM v GROUP BY id)",
+            "d AS (SELECT a.id AS src, b.id AS dst, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.c = b.c AND a.id <> b.id GROUP BY a.id, b.id)",
+            "e_d AS (SELECT a.id AS src, b.id AS dst, a.n2 + b.n2 - 2 * coalesce(dot, 0) AS distance FROM n a JOIN n b "
+            "ON a.id <> b.id LEFT JOIN d ON d.src = a.id AND d.dst = b.id)",
+            _top("e", "e_d", 5),
+            _show("e"),
+        ),
         "knn_subset": _with(
             POINTS.replace("FROM embeddings", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
             _exact("e", 5),
@@ -768,7 +913,32 @@ def _core_sql() -> dict[str, str]:
             _show("m", True),
         ),
         "lsh_hash": _with(POINTS, HASHED, f"SELECT id, table_id, {key} FROM h"),
-        "lsh_given_projections": _with(POINTS, _hash_sql("h", "p", given, 0.03), f"SELECT id, table_id, {key} FROM h"),
+        "lsh_hash_sparse": _with(POINTS, thin, _hash_sql("h", "z", FAMILY, RADIUS), f"SELECT id, table_id, {key} FROM h"),
+        "lsh_stored": _with(
+            POINTS,
+            HASHED,
+            _hash_sql("g", "p", FAMILY, 2 * RADIUS),
+            f"SELECT id, table_id, {key}, {RADIUS}::DOUBLE AS radius FROM h UNION ALL SELECT id, table_id, {key}, {2 * RADIUS}::DOUBLE FROM g",
+        ),
+        "lsh_parameters": "WITH RECURSIVE "
+        + _with(
+            POINTS,
+            *_walk_sql(HashFamily(DIM, 48, 1, seed=7))[:-1],
+            "w AS (SELECT 0 AS pos, start AS len, false AS up, false AS down, false AS done FROM l0 UNION ALL "
+            "SELECT CASE WHEN wider OR (NOT empty AND alike AND NOT up AND len - 2 < 1) THEN pos + 1 ELSE pos END, "
+            "CASE WHEN wider OR (NOT empty AND alike AND NOT up AND len - 2 < 1) THEN start WHEN empty THEN greatest(len - 2, 1) "
+            "WHEN alike THEN greatest(len - 2, 1) "
+            f"WHEN down OR len + 2 > 2 * start + {LONGER} THEN len ELSE len + 2 END, "
+            f"up OR (NOT wider AND NOT empty AND NOT alike AND NOT down AND len + 2 <= 2 * start + {LONGER}), "
+            "down OR (NOT wider AND NOT empty AND alike), "
+            f"NOT wider AND (empty OR (alike AND up) OR (NOT alike AND (down OR len + 2 > 2 * start + {LONGER}))) FROM "
+            + _walk_sql(FAMILY)[-1].removeprefix("step AS ")
+            + ")",
+            "SELECT (SELECT count(*) FROM p) AS points, len AS key_length, (0.1 * power(2, pos))::DOUBLE AS radius FROM w WHERE done",
+        ).removeprefix("WITH "),
+        "lsh_rounds": _with(POINTS, *rounds, _show(built)),
+        "lsh_rounds_viewed": _with(POINTS, *rounds, f"SELECT id, viewed FROM {counted}"),
+        "lsh_given_projections": _with(POINTS, _hash_sql("h", "p", GIVEN, 0.3), f"SELECT id, table_id, {key} FROM h"),
         "lsh_key_ops": _with(
             POINTS, HASHED, "SELECT id, table_id, array_to_string(list_concat(key[1:1], key), ',') AS key FROM h"
         ),
@@ -861,6 +1031,14 @@ def _core_sql() -> dict[str, str]:
             f"SELECT src, dst, round({SQUARED}, 6) AS distance, round(list_inner_product(a.f, b.f), 6) AS dot "
             "FROM pairs JOIN p a ON a.id = src JOIN p b ON b.id = dst",
         ),
+        "vector_ops_sparse": _with(
+            POINTS,
+            PAIRS,
+            thin,
+            f"SELECT src, dst, round({SQUARED}, 6) AS distance, round(list_inner_product(a.f, c.f), 6) AS dot, "
+            "round(list_inner_product(a.f[1:20], c.f[1:20]), 6) AS shared "
+            "FROM pairs JOIN z a ON a.id = src JOIN z b ON b.id = dst JOIN p c ON c.id = dst",
+        ),
         "dimension": _with(POINTS, "SELECT max(len(f))::INT AS dimension FROM p"),
         "dim_stats": _with(
             POINTS,
