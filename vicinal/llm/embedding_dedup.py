@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -26,26 +27,58 @@ CELL_ROWS = 2048
 #: Groups up to this size are compared together, in arrays over many groups.
 SMALL = 24
 BLOCKS = 2
+LEAST_LENGTH = 16
+
+
+#: Numbers that a step of decoding holds for its scores, and in code books kept from slice to slice.
+SCORES_AT_ONCE, BOOK_NUMBERS = 4 << 20, 4 << 20
+
+
+def _log_tail(log: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(log) from each place to the end."""
+    top = log.max()
+    # Far out both the terms and their sum underflow together in plain numbers; sums of logarithms do not.
+    return np.logaddexp.accumulate((log - top)[::-1])[::-1] + top
 
 
 def _cap_shares(dim: int, similarity: float, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the unit sphere within `reach` of a direction, and of those, how many points at `similarity`
-    to them also are, by numerical integration over the coordinate in that direction."""
-    grid = np.linspace(-1, 1, 4001)[1:-1]
-    tails = []
+    """Logarithms of the share of the unit sphere within `reach` of a direction, and of those points, how many of
+    the points at `similarity` to them also are, by numerical integration over the coordinate in that direction."""
+    grid = np.linspace(-1, 1, 8001)[1:-1]
+    density, tails = [], []
     for d in (dim, dim - 1):
         log = (d - 3) / 2 * np.log1p(-(grid**2))
-        density = np.exp(log - log.max())
-        tails.append((density, np.append(np.cumsum(density[::-1])[::-1], 0)[:-1] / density.sum()))
-    density, share = tails[0]
+        tail = _log_tail(log)
+        density.append(log)
+        tails.append(tail - tail[0])
     both = np.zeros(len(reach))
     for k, r in enumerate(reach):
-        t = grid[grid >= r]
+        inside_cap = grid >= r
+        t = grid[inside_cap]
         need = (r - similarity * t) / np.sqrt((1 - similarity**2) * (1 - t**2))
-        inside = np.interp(need, grid, tails[1][1], left=1.0, right=0.0)
-        weight = density[grid >= r]
+        inside = np.where(need >= grid[-1], 0.0, np.exp(np.interp(need, grid, tails[1], left=0.0)))
+        weight = np.exp(density[0][inside_cap] - density[0][inside_cap].max())
         both[k] = (weight * inside).sum() / weight.sum()
-    return np.interp(reach, grid, share), both
+    return np.interp(reach, grid, tails[0]), both
+
+
+@functools.lru_cache(maxsize=CODES)
+def _kept_book(seed: int, dim: int, codes: int, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return _drawn_book(seed, dim, codes, k, width)
+
+
+def _drawn_book(seed: int, dim: int, codes: int, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signs of the rotation's three rounds, and the short vectors of every block, of code k."""
+    rng = np.random.default_rng([seed, dim, codes, k])
+    signs = rng.choice([-1.0, 1.0], (3, BLOCKS * width))
+    book = rng.standard_normal((BLOCKS, codes, width))
+    book /= np.linalg.norm(book, axis=2, keepdims=True) * math.sqrt(BLOCKS)
+    return signs, book
+
+
+@functools.lru_cache(maxsize=256)
+def plan_caps(dim: int, n: int, similarity: float, seed: int) -> Caps:
+    return Caps.plan(dim, n, similarity, seed)
 
 
 @dataclass(frozen=True)
@@ -60,22 +93,27 @@ class Caps:
     @classmethod
     def plan(cls, dim: int, n: int, similarity: float, seed: int = 0) -> Caps:
         """Narrower caps, and more of them, for more vectors, so that chance meetings stay STRANGERS a vector."""
-        reach = np.linspace(0.05, 0.97, 185)
-        share, both = _cap_shares(max(4, cls(dim, 0, 0).padded), similarity, reach)
+        size = cls(dim, 0, 0).padded
+        reach = np.linspace(min(0.05, 1.5 / math.sqrt(size)), 0.97, 185)
+        share, both = _cap_shares(size, similarity, reach)
         hits = MEETINGS / np.maximum(both, 1e-9)
-        k = int(np.argmin(np.abs(np.log(hits * share * max(n, 1) / STRANGERS))))
-        return cls(dim, max(2, math.ceil((hits[k] / share[k] / CODES) ** (1 / BLOCKS))), float(reach[k]), seed)
+        met = np.abs(np.log(hits) + share + math.log(max(n, 1) / STRANGERS))
+        # A cap that hardly any pair shares is no choice.
+        k = int(np.argmin(np.where(both > 1e-6, met, np.inf)))
+        codes = math.exp((math.log(hits[k] / CODES) - share[k]) / BLOCKS)
+        return cls(dim, max(2, math.ceil(codes)), float(reach[k]), seed)
 
     @property
     def padded(self) -> int:
-        return max(BLOCKS, 1 << (self.dim - 1).bit_length())
+        # Short vectors of one or two coordinates would have too few directions; zeros put before the rotation change no cosine.
+        return max(LEAST_LENGTH, 1 << (self.dim - 1).bit_length())
 
-    def _turn(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def _turn(self, x: np.ndarray, signs: np.ndarray) -> np.ndarray:
         """A random rotation: three rounds of random signs and a Walsh-Hadamard transform."""
         out = np.zeros((len(x), self.padded))
         out[:, : x.shape[1]] = x
-        for _ in range(3):
-            out *= rng.choice([-1.0, 1.0], self.padded)
+        for sign in signs:
+            out *= sign
             h = 1
             while h < self.padded:
                 pairs = out.reshape(len(x), -1, 2, h)
@@ -90,6 +128,9 @@ class Caps:
         Blocks are joined one after another; what can't reach the cap even with the best of all blocks left
         is dropped at once.
         """
+        step = max(1, SCORES_AT_ONCE // self.codes)
+        if len(x) > step:
+            return [f for at in range(0, len(x), step) for f in self.filters(x[at : at + step])]
         found = [self._of_code(x, k) for k in range(CODES)]
         at = np.concatenate([a for a, _ in found])
         # The code and the number of coordinates are part of a filter's number.
@@ -98,11 +139,10 @@ class Caps:
         return np.split(code[order], np.searchsorted(at[order], np.arange(1, len(x))))
 
     def _of_code(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rng = np.random.default_rng([self.seed, self.dim, self.codes, k])
         width = self.padded // BLOCKS
-        book = rng.standard_normal((BLOCKS, self.codes, width))
-        book /= np.linalg.norm(book, axis=2, keepdims=True) * math.sqrt(BLOCKS)
-        turned = self._turn(x, rng).reshape(len(x), BLOCKS, width)
+        draw = _kept_book if CODES * self.codes * self.padded <= BOOK_NUMBERS else _drawn_book
+        signs, book = draw(self.seed, self.dim, self.codes, k, width)
+        turned = self._turn(x, signs).reshape(len(x), BLOCKS, width)
         scores = [turned[:, b] @ book[b].T for b in range(BLOCKS)]
         best = np.array([s.max(axis=1) for s in scores])
         left = np.vstack([np.cumsum(best[::-1], axis=0)[::-1], np.zeros(len(x))])
@@ -240,7 +280,8 @@ def embedding_links(df: DataFrame, similarity: float = 0.9, id_col: str = "vec_i
 
     Vectors that are null, zero, or hold null or non-finite components, and rows with a null id, link with
     nothing and are their own component; vectors of different length never link. Rows that repeat an id and
-    vector are copies of each other. An empty table gives no rows; other columns are ignored.
+    vector are copies of each other. Any number of lengths, and vectors of any length, are taken. An empty table gives no
+    rows; other columns are ignored.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -252,29 +293,32 @@ def embedding_links(df: DataFrame, similarity: float = 0.9, id_col: str = "vec_i
         & F.exists("_v", lambda x: x != 0)
     )
     rows = rows.withColumn("_v", F.when(good, F.col("_v")))
+    # Numbers of classes; the table is written once, which makes them stay.
     classes = scratch.save(
         rows.where("_v IS NOT NULL")
         .groupBy("_v")
         .agg(F.min("_id").alias("_first"), F.count("*").alias("copies"))
-        .withColumn("_class", F.xxhash64("_v", "_first")),
+        .withColumn("_class", F.monotonically_increasing_id()),
         "classes",
     )
     kind = classes.schema["_v"].dataType.simpleString()
-    per_dim = {r["d"]: r["n"] for r in classes.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).limit(1000).collect()}
-    caps = {d: Caps.plan(d, n, similarity, seed) for d, n in per_dim.items()}
+    # How many vectors there are of each length, which decides about the filters of that length.
+    per_length = classes.groupBy(F.size("_v").alias("_d")).agg(F.count("*").alias("like"))
+    byte_count = classes.agg(F.coalesce(F.sum(F.size("_v").cast("long") * 8), F.lit(0))).first()[0]
 
     def decode(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                vectors = part.column("vector").to_pylist()
+                vectors, like = part.column("vector").to_pylist(), part.column("like").to_pylist()
                 found: list = [None] * len(vectors)
                 for d in sorted({len(v) for v in vectors}):
                     mine = [k for k, v in enumerate(vectors) if len(v) == d]
                     x = np.array([vectors[k] for k in mine], np.float64)
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    for k, codes in zip(mine, caps[d].filters(x), strict=True):
+                    caps = plan_caps(d, like[mine[0]], similarity, seed)
+                    for k, codes in zip(mine, caps.filters(x), strict=True):
                         found[k] = codes
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("_class", "copies", "vector")), pa.array(found, pa.list_(pa.int64()))],
@@ -282,8 +326,10 @@ def embedding_links(df: DataFrame, similarity: float = 0.9, id_col: str = "vec_i
                 )
 
     listed = scratch.save(
-        classes.select("_class", "copies", F.col("_v").alias("vector"))
-        .repartition(spark.sparkContext.defaultParallelism)
+        classes.withColumn("_d", F.size("_v"))
+        .join(per_length, "_d")
+        .select("_class", "copies", F.col("_v").alias("vector"), "like")
+        .repartition(max(spark.sparkContext.defaultParallelism, shuffle_width(spark, byte_count)), "_class")
         .mapInArrow(decode, f"_class long, copies long, vector {kind}, filters array<long>"),
         "filters",
     )
@@ -339,7 +385,9 @@ def embedding_links(df: DataFrame, similarity: float = 0.9, id_col: str = "vec_i
             root = names[_roots(len(names), at[: len(i)], at[len(i) :])]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(links), pa.array(root)], ["a", "links", "b"])
 
-    width = shuffle_width(spark, 0)
+    # A class goes to each of its filters with its vector and, on average, half of its filters' numbers.
+    carried = F.size("filters").cast("double") * (8 * F.size("vector") + 4 * F.size("filters") + 64)
+    width = shuffle_width(spark, listed.agg(F.coalesce(F.sum(carried), F.lit(0.0))).first()[0])
     found = scratch.save(
         cells.repartition(width, "filter", "low", "high")
         .sortWithinPartitions("filter", "low", "high")
