@@ -377,7 +377,7 @@ def _lsh_rounds_viewed(spark, sf_dir):
 
 
 def _lsh_adaptive_grouped(spark, sf_dir):
-    config = KnnConfig(k=2, seed=7, tables=6, key_length=2)
+    config = KnnConfig(k=2, seed=7, tables=6, key_length=2, fill_lists=True)
     return _edges(knn_graph(_points(spark, sf_dir), config, group_col="group_id").edges, "rank")
 
 

@@ -27,6 +27,8 @@ class KnnConfig:
     # Stop hashing after so many rounds; None: when few points or one bucket are left.
     max_rounds: int | None = None
     share_tables: bool = False
+    # Retire a point only when its lists are full too, not by its comparisons alone.
+    fill_lists: bool = False
     # Buckets this large are re-hashed at a smaller radius before any distance is computed.
     split_above: int | None = None
     split_step: float = 2.5

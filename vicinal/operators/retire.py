@@ -7,22 +7,46 @@ from pyspark.sql import functions as F
 
 
 def completed_ids(
-    edges: DataFrame, viewed: DataFrame, k: int, max_comparisons: int, groups: int = 1
+    edges: DataFrame,
+    viewed: DataFrame,
+    k: int,
+    max_comparisons: int,
+    groups: int = 1,
+    fill: bool = False,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Ids compared more than `max_comparisons` times; if that is not positive, ids with at least k
-    distinct neighbours in every one of `groups` groups."""
-    if max_comparisons > 0:
-        return viewed.where(F.col("viewed") > max_comparisons).select("id")
+    distinct neighbours in every one of `groups` groups. With `fill` both are asked for.
+
+    `members` (`id`, `group_id` of all points) lets a list be full that has all points of a group of fewer.
+    """
+    compared = viewed.where(F.col("viewed") > max_comparisons).select("id")
+    if max_comparisons > 0 and not fill:
+        return compared
     keys = ["src", "group_id"] if "group_id" in edges.columns else ["src"]
-    full = (
-        edges.select(*keys, "dst")
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_found"))
-        .where(F.col("_found") >= k)
-    )
-    done = full.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_groups"))
-    return done.where(F.col("_groups") >= groups).select("id")
+    found = edges.select(*keys, "dst").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_found"))
+    needed = F.lit(groups)
+    if members is not None:
+        found, needed = _with_limits(found, members, k, groups)
+    else:
+        found = found.withColumn("_most", F.lit(k))
+    full = found.where(F.col("_found") >= F.col("_most")).withColumn("_needed", needed)
+    done = full.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("_groups"), F.max("_needed").alias("_needed"))
+    done = done.where(F.col("_groups") >= F.col("_needed")).select("id")
+    return done.join(compared, "id", "left_semi") if max_comparisons > 0 else done
+
+
+def _with_limits(found: DataFrame, members: DataFrame, k: int, groups: int):
+    """Lists with `_most`, the neighbours they can have up to k; and how many lists of a node can have any."""
+    sizes = members.groupBy(F.col("group_id").alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    named = members.select(F.col("id").alias("src"), F.col("group_id").alias("_own"))
+    alone = F.when(F.col("_size") == 1, 1).otherwise(0)
+    own = named.join(sizes, F.col("_own").eqNullSafe(F.col("_group"))).select("src", "_own", alone.alias("_alone"))
+    keys = [c for c in found.columns if c != "_found"]
+    sized = found.join(sizes, F.col("group_id").eqNullSafe(F.col("_group"))).drop("_group")
+    most = F.col("_size") - F.when(F.col("_own").eqNullSafe(F.col("group_id")), 1).otherwise(0)
+    told = sized.join(own, "src").select(*keys, "_found", "_alone", F.least(F.lit(k), most).alias("_most"))
+    return told, F.lit(groups) - F.col("_alone")
 
 
 def drop_completed(

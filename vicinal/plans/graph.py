@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,14 +25,15 @@ from vicinal.operators.stragglers import sized_reverse_lists, straggler_exhausti
 from vicinal.operators.topk import merge_counters, merge_graphs
 from vicinal.operators.tuning import choose_parameters, with_parameters
 from vicinal.session import Scratch
-from vicinal.sources.points import PointStats, describe
+from vicinal.sources.points import PointStats, describe, kernel_columns
 
 
 @dataclass
 class KnnResult:
     """A graph, each node's comparisons, the settings used and one record per step.
 
-    `buckets` holds the members of each round's buckets, for `bucket_histogram` and the like.
+    `buckets` holds the members of each round's buckets, for `bucket_histogram` and the like; `lists` is how
+    many lists of k there are to fill, one for each point and group.
     """
 
     edges: DataFrame
@@ -41,6 +43,13 @@ class KnnResult:
     comparisons: int = 0
     all_pairs: int = 0
     buckets: list[DataFrame] = field(default_factory=list)
+    lists: int = 0
+
+    def short_lists(self) -> int:
+        """Lists with fewer than k neighbours, empty ones among them."""
+        keys = ["src", "group_id"] if "group_id" in self.edges.columns else ["src"]
+        full = self.edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.config.k)
+        return self.lists - full.count()
 
     @property
     def relative_cost(self) -> float:
@@ -80,6 +89,37 @@ def _build(points, stats, config, group_col, distance) -> KnnResult:
     return _hashed(points, stats, config, group_col, distance)
 
 
+class _Log:
+    """The graph as a log: what retired points ended with, and the state of those that still look.
+
+    A round writes what it found for the points it touched, merged with their state, and which of them retire; what
+    retired points have is read where it was written. So a round writes as much as there are points left.
+    """
+
+    def __init__(self, scratch: Scratch, k: int):
+        self.scratch, self.k = scratch, k
+        self.edges: DataFrame | None = None
+        self.viewed: DataFrame | None = None
+        self.closed: list[tuple[DataFrame, DataFrame]] = []
+
+    def add(self, found: DataFrame, viewed: DataFrame, turn: int) -> None:
+        self.edges = self.scratch.save(merge_graphs([self.edges, found], self.k), f"edges{turn}")
+        self.viewed = self.scratch.save(merge_counters([self.viewed, viewed]), f"viewed{turn}")
+
+    def retire(self, done: DataFrame) -> None:
+        nodes = done.select(F.col("id").alias("src"))
+        self.closed.append((self.edges.join(nodes, "src", "left_semi"), self.viewed.join(done, "id", "left_semi")))
+        self.edges, self.viewed = self.edges.join(nodes, "src", "left_anti"), self.viewed.join(done, "id", "left_anti")
+
+    def compact(self) -> tuple[DataFrame, DataFrame]:
+        """All edges and counters, written once."""
+        edges, viewed = self.edges, self.viewed
+        columns = edges.columns
+        for old_edges, old_viewed in self.closed:
+            edges, viewed = edges.unionByName(old_edges.select(columns)), viewed.unionByName(old_viewed)
+        return self.scratch.save(edges, "edges"), self.scratch.save(viewed, "viewed")
+
+
 def _hashed(
     points: DataFrame, stats: PointStats, config: KnnConfig, group_col: str | None, distance: Distance
 ) -> KnnResult:
@@ -94,47 +134,60 @@ def _hashed(
     config = with_parameters(config, choose_parameters(points, n, stats.dim, config, scratch))
     family = HashFamily(stats.dim, config.key_length, config.tables, config.seed, share_tables=config.share_tables)
     groups = points.select(group_col).distinct().count() if group_col else 1
-    result = KnnResult(points, None, config, all_pairs=n * (n - 1) // 2)
+    result = KnnResult(points, None, config, all_pairs=n * (n - 1) // 2, lists=n * groups)
 
-    edges = viewed = None
+    log = _Log(scratch, k)
     columns = points.columns
     stored, stored_count = scratch.save(project_points(points, family), "projected"), n
-    remaining, left = stored, n
+    remaining, left, retired = stored, n, []
     radius, buckets_in_a_table = config.radius, 2
     turn = 0
+
+    members = kernel_columns(points, group_col).select("id", "group_id") if config.fill_lists and group_col else None
+
+    def completed(edges, viewed):
+        return completed_ids(edges, viewed, min(k, n - 1), config.max_comparisons, groups, config.fill_lists, members)
+
     while (buckets_in_a_table > 1 or left > k) and left > 1 and (config.max_rounds is None or turn < config.max_rounds):
         hashed = hash_projected(remaining, family, radius)
         buckets = scratch.save(bucketize(hashed, distinct=config.share_tables), f"buckets{turn}")
         seen = _bucket_totals(buckets)
         if seen["rows"] and config.split_above:
             buckets, seen = _split(points, buckets, family, radius, config, scratch, seen)
+        stuck = False
         if seen["rows"]:
             buckets_in_a_table = seen["buckets_in_a_table"]
             result.buckets.append(buckets)
             result.comparisons += seen["comparisons"]
             tasks = bucket_tasks(points, seen["rows"], seen["comparisons"], stats.entries)
-            found = knn_in_buckets(stored, buckets, k, group_col, distance=distance, tasks=tasks)
-            edges = scratch.save(merge_graphs([edges, found], k), f"edges{turn}")
-            viewed = scratch.save(merge_counters([viewed, bucket_viewed(buckets)]), f"viewed{turn}")
-            done = completed_ids(edges, viewed, k, config.max_comparisons, groups)
-            now_left = n - done.count()
-            if now_left < left:
-                remaining, left = stored.join(done, "id", "left_anti"), now_left
+            log.add(knn_in_buckets(stored, buckets, k, group_col, distance=distance, tasks=tasks), bucket_viewed(buckets), turn)
+            done = scratch.save(completed(log.edges, log.viewed), f"done{turn}")
+            gone = done.count()
+            # All that are left have met, and only full lists let them go: wider buckets bring nothing new.
+            stuck = not gone and seen["largest"] >= left and (config.fill_lists or config.max_comparisons <= 0)
+            if gone:
+                log.retire(done)
+                left -= gone
+                retired.append(done)
+                remaining = stored.join(reduce(DataFrame.unionByName, retired), "id", "left_anti")
                 if 0 < left <= stored_count / 2:
                     # Halving at least each time, these tables add up to no more than the points.
                     stored = remaining = scratch.save(remaining, f"remaining{turn}")
-                    stored_count = left
+                    stored_count, retired = left, []
         result.steps.append({"step": "round", "radius": radius, **seen, "left": left})
         radius *= 2
         turn += 1
+        if stuck:
+            break
 
-    if edges is None:
+    if log.edges is None:
         result.edges = knn_exact(points, k, group_col, distance=distance, stats=stats)
         result.comparisons = result.all_pairs
         return result
+    edges, viewed = log.compact()
     if left:
         edges, viewed, remaining, left = _from_holders(
-            points, remaining.select(columns), left, edges, viewed, config, group_col, groups, distance, scratch, result, stats.entries
+            points, remaining.select(columns), left, edges, viewed, config, group_col, completed, distance, scratch, result, stats.entries
         )
     if left:
         nodes = edges.select(F.col("src").alias("id")).union(remaining.select("id")).distinct().count()
@@ -147,7 +200,7 @@ def _hashed(
 
 
 def _from_holders(
-    points, remaining, left, edges, viewed, config, group_col, groups, distance, scratch, result, entries
+    points, remaining, left, edges, viewed, config, group_col, completed, distance, scratch, result, entries
 ):
     """Compare each straggler with the nodes whose lists hold it, and with those lists."""
     lists = scratch.save(sized_reverse_lists(edges, remaining), "holder-lists")
@@ -162,7 +215,7 @@ def _from_holders(
         found = knn_in_buckets(points, lists, config.k, group_col, ["list_id"], distance, tasks=tasks)
         edges = scratch.save(merge_graphs([edges, found], config.k), "edges-holders")
         viewed = scratch.save(merge_counters([viewed, bucket_viewed(lists)]), "viewed-holders")
-        done = completed_ids(edges, viewed, config.k, config.max_comparisons, groups)
+        done = completed(edges, viewed)
         remaining = scratch.save(remaining.join(done, "id", "left_anti"), "remaining-holders")
         left = remaining.count()
         result.steps.append({"step": "holders", "comparisons": work, "left": left})
