@@ -8,13 +8,15 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from vicinal.llm.common import CHUNKS_HELD, WHITE
+from vicinal.llm.common import WHITE
 
 # White space of one byte in UTF-8, and the byte sequences of the rest.
 ASCII_WHITE = np.zeros(256, bool)
 ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
 LONGER_WHITE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f"]
 _LONGER = tuple(LONGER_WHITE)
+#: Distinct chunks that a Python worker remembers.
+CHUNKS_HELD = 400_000
 #: Bytes of a text that are cut into chunks at a time.
 SLICE_BYTES = 8 << 20
 
@@ -46,6 +48,16 @@ def cuts(data: np.ndarray, only_spaces: bool = False) -> np.ndarray:
     return at
 
 
+def chunk_starts(data: np.ndarray, ends: np.ndarray, only_spaces: bool = False) -> np.ndarray:
+    """Where the chunks begin of texts that lie one after the other."""
+    begins = np.append(0, ends[:-1])
+    begun = np.zeros(len(data), bool)
+    begun[begins[begins < ends]] = True
+    if len(data):
+        begun[cuts(data, only_spaces)] = True
+    return np.flatnonzero(begun)
+
+
 class Chunks:
     """Numbers for distinct chunks, told from a dictionary that Arrow makes of each block of texts.
 
@@ -62,11 +74,7 @@ class Chunks:
         each text's end."""
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
-        begins = np.append(0, ends[:-1])
-        begun = np.zeros(len(data), bool)
-        begun[begins[begins < ends]] = True
-        begun[cuts(data, self.only_spaces)] = True
-        starts = np.flatnonzero(begun)
+        starts = chunk_starts(data, ends, self.only_spaces)
         offsets = np.append(starts, len(data)).astype(np.int32)
         chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = chunks.dictionary_encode()

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.common import BLOCK_CHARS, Shipped, arrow_type, blocks, only, read_file, rows_of, shuffle_width, sql_type
-from vicinal.llm.flat_ids import Chunks, FlatEncoder, byte_level, joined, slices
+from vicinal.llm.flat_ids import ASCII_WHITE, FlatEncoder, byte_level, chunk_starts, joined, slices
 from vicinal.session import Scratch
 
 #: Dimensions that hashed vectors are projected to, and bits of each in a Hilbert key.
-DIMENSIONS, KEY_BITS = 6, 10
+DIMENSIONS, KEY_BITS = 4, 15
 #: Places of a hashed vector, a power of two.
 HASHED = 1 << 16
 
@@ -53,25 +53,36 @@ def hilbert(places: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
 class CurveKeys:
     """Hilbert keys of texts: words hashed to a long sparse vector, projected at random, direction only."""
 
-    def __init__(self, _=None):
-        self.projection = np.random.default_rng(12).standard_normal((DIMENSIONS, HASHED))
-        self.chunks = Chunks(self._learn, self._forget)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.place = np.zeros(0, np.int64)
+    #: Places of a word's bytes after which weights repeat, and characters hashed at a time.
+    PLACES, AT_ONCE = 64, 1 << 20
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        crc = zlib.crc32
-        self.place = np.concatenate([self.place, np.array([crc(c.strip().lower()) for c in chunks], np.int64) & (HASHED - 1)])
+    def __init__(self, _=None):
+        draw = np.random.default_rng(12)
+        self.projection = draw.standard_normal((DIMENSIONS, HASHED))
+        byte = np.arange(256)
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+        self.byte = draw.integers(1, 1 << 62, 256, dtype=np.uint64)[byte]
+        self.weight = draw.integers(0, 1 << 62, self.PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The hashed place of each chunk; a white space before a word does not count, nor does its case in ASCII."""
+        lead = ASCII_WHITE[data[starts]]
+        at = np.arange(len(data)) - np.repeat(starts + lead, np.diff(np.append(starts, len(data))))
+        term = self.byte[data]
+        term *= self.weight[at & (self.PLACES - 1)]
+        term[starts[lead]] = 0
+        return (np.add.reduceat(term, starts) >> np.uint64(40)).astype(np.int64) & (HASHED - 1)
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         """Projected vectors of how often each text has each hashed word."""
         out = np.zeros((len(texts), DIMENSIONS))
-        for held in slices(texts):
-            number, upto = self.chunks.numbers(*joined([t for _, t in held]))
-            row = np.repeat([i for i, _ in held], np.diff(np.append(0, upto)))
-            place = self.place[number]
+        for held in slices(texts, self.AT_ONCE):
+            data, ends = joined([t for _, t in held])
+            starts = chunk_starts(data, ends)
+            if not len(starts):
+                continue
+            row = np.repeat([i for i, _ in held], np.diff(np.searchsorted(starts, ends), prepend=0))
+            place = self.places(data, starts)
             for d in range(DIMENSIONS):
                 out[:, d] += np.bincount(row, self.projection[d, place], len(texts))
         return out
