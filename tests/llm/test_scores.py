@@ -110,3 +110,61 @@ def test_every_form_the_lattice_knows_reaches_it():
     evidence = Evidence(counts, {"stupid ": 2.0, "idiot ": 2.0})
     assert evidence.split_words("so stu pid an id io t, stu") == ["stupid", "idiot"]
     assert evidence.features(["so stu pid"])[0][0] == 2.0
+
+
+def all_readings(restore, text, spaced, skip):
+    """Every path of the lattice with its score, one by one."""
+    paths = [(0.0, (0, 0), "")]
+    for i in range(len(text)):
+        letters, nothing, edge = restore.arcs(text, i, spaced, skip)
+        longer = []
+        for score, (a, b), read in paths:
+            longer += [(score + cost + restore.table[a, b, s], (b, s), read + letter) for s, letter, cost in letters]
+            if nothing is not None:
+                longer.append((score + nothing, (a, b), read))
+            if edge is not None:
+                longer.append((score + edge + (restore.table[a, b, 0] if b else 0), (0, 0), read + " " if b else read))
+        paths = longer
+    return [(score + (restore.table[a, b, 0] if b else 0), read) for score, (a, b), read in paths]
+
+
+def test_decoder_finds_the_best_of_all_paths():
+    restore = Deobfuscator(LetterCounts()(["idiot moron stupid clown nothing this is another plain text été hate " * 50]))
+    rng = np.random.default_rng(5)
+    texts = ["1d10t", "m0r0n!!", "s$tup", "aaab", "b**", "éé3", "x$$.", "%%a", "!", "i d ! o t", "oo!!nn", "ж0ж"]
+    texts += ["".join(rng.choice(list("abiot$1*. !0é"), rng.integers(1, 7))) for _ in range(150)]
+    for text in texts:
+        for spaced in (False, True):
+            for skip in (False, True):
+                paths = all_readings(restore, text, spaced, skip)
+                best = max(paths)[0]
+                got = restore(text, spaced, skip)
+                scores = [score for score, read in paths if read.split() == got.split()]
+                assert scores and max(scores) > best - 1e-9, (text, spaced, skip, got)
+
+
+def test_one_odd_word_is_not_toxic(documents, labels, toxic_model):
+    """A document that repeats words by chance like a beginning of the model stays (a clean one of these did not)."""
+    scored = {r.doc_id: r.score for r in score_toxicity(documents, toxic_model).collect()}
+    assert scored[462] < 0.7
+    clean = [r.doc_id for r in labels.where("toxic = 0").collect()]
+    assert max(scored[i] for i in clean) < 0.7
+
+
+def test_gate_loses_no_word(documents):
+    """Pieces left undecoded could not have given a word of the model: evidence is the same without the gate."""
+    texts = [r.text or "" for r in documents.select("text").limit(400).collect()]
+    texts += ["iiddiioott", "stuuupiidd cl0own", "looossser", "(idiiiot)foo id!!ott", "an i d i o t", "$ t u p i d", "1 d 1 0 t", "c.l.o.w.n", "#@+3", "@$$ 455"]
+    texts += ["1*d#i%0t", "st@u@p@i@d", "ii dd ii oo tt", "x i d i o t s y", "i\nd\ni\no\nt", "l*o*s*e*r", "t-r-a-5-h"]
+    weights = {"idiot ": 2.0, "idio": 1.5, "stupid ": 2.0, "loser ": 1.0, "ass ": 3.0, "hate ": 1.0, "clown ": 2.0, "ellen ": 1.3, "esse ": 0.4, "trash ": 2.0}
+    counts = LetterCounts()(texts)
+    gated, open_ = Evidence(counts, weights), Evidence(counts, weights)
+    open_.wanted = None
+    got, want = gated.features(texts), open_.features(texts)
+    assert np.array_equal(got, want) and (want[-17:, 0] > 0).sum() >= 12
+
+
+def test_no_evidence_speaks_against():
+    evidence = Evidence(LetterCounts()(["some plain words"]), {"idiot ": 2.0, "idiot": 2.0, "clown ": 1.0})
+    one, twice, two, none = evidence.features(["an idiot here", "an idiot here idiot", "an idiot clown here", ""])
+    assert one.tolist() == twice.tolist() and (two >= one).all() and none.tolist() == [0.0, 0.0, 0.0]

@@ -157,6 +157,21 @@ def blocks(texts, limit: int):
         yield held
 
 
+def letter_slices(items, limit: int):
+    """(row, text) pairs with texts over `limit` in parts, cut before a character that is no letter: words, and what is
+    counted of letters in a row, lie in one part each."""
+    for i, text in items:
+        at = 0
+        while len(text) - at > limit:
+            end = at + limit
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            yield i, text[at:end]
+            at = end
+        if not at or at < len(text):
+            yield i, text[at:] if at else text
+
+
 def rows_of(batches, *names: str):
     """Tuples of the named columns, a bounded slice of each batch at a time; a null text comes as None."""
     for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, blocks, only, remainder, rows_of, sql_type
-from vicinal.llm.deobfuscation import SYMBOLS, WORD, Deobfuscator, LetterCounts
+from vicinal.llm.common import BLOCK_CHARS, Shipped, arrow_type, blocks, letter_slices, only, remainder, rows_of, sql_type
+from vicinal.llm.deobfuscation import SYMBOLS, WORD, LetterCounts, deobfuscator, may_begin
+from vicinal.llm.flat_ids import Chunks, distinct, joined, slices
 from vicinal.llm.labels import SAMPLE_ROWS, labelled_sample
 from vicinal.session import Scratch
 
-#: Words and beginnings of words a model has at most, those in most toxic documents of its sample.
-MOST_FEATURES = 50_000
 #: Toxic documents that a word or beginning must be in.
 LEAST_DOCUMENTS = 4
 #: Lengths of the beginnings that count beside whole words.
@@ -38,47 +38,70 @@ class Evidence:
     """What speaks for toxicity in a text: its words' weights."""
 
     def __init__(self, letter_counts: np.ndarray, weights: dict[str, float]):
-        self.restore, self.weights = Deobfuscator(letter_counts), weights
-        self.chunks = ChunkValues(self._learn)
+        self.restore, self.weights = deobfuscator(letter_counts), weights
+        # How features begin: other words need no look.
+        self.openings = {f[: BEGINNINGS[0]] for f in weights}
+        self.wanted = may_begin({opening.rstrip() for opening in self.openings})
+        self.chunks = Chunks(self._learn, self._forget)
+        self._forget()
         self.begun = {f[:n] for f in weights if f.endswith(" ") for n in range(1, len(f) - 1)}
 
     def split_words(self, text: str) -> list[str]:
         """Words of the model that the text writes in parts; only whole words, as beginnings join by chance."""
         words, found = WORD.findall(text.lower()), []
         for i in [i for i, w in enumerate(words) if w in self.begun]:
-            joined = words[i]
-            while joined in self.begun and (i := i + 1) < len(words):
-                joined += words[i]
-                if joined + " " in self.weights:
-                    found.append(joined)
+            joint = words[i]
+            while joint in self.begun and (i := i + 1) < len(words):
+                joint += words[i]
+                if joint + " " in self.weights:
+                    found.append(joint)
         return found
 
     def _weight(self, word: str) -> float:
+        if (word + " ")[: BEGINNINGS[0]] not in self.openings:
+            return 0.0
         get = self.weights.get
         return max([get(f, 0.0) for f in features_of(word)])
 
-    def _learn(self, chunks: list[str]) -> list:
-        out = []
-        for chunk in chunks:
-            hits = [(w, v) for w in self.restore.words(chunk) if (v := self._weight(w))]
-            out.append(hits or False)
-        return out
+    def _hits(self, words: list[str]) -> list[tuple[str, float]]:
+        return [(w, v) for w in words if (v := self._weight(w))]
+
+    def _forget(self) -> None:
+        self.hits: dict[int, list[tuple[str, float]]] = {}
+        self.known = 0
 
-    @staticmethod
-    def _gather(values: list) -> tuple[int, list]:
-        return len(values), [hit for hits in filter(None, values) for hit in hits]
+    def _learn(self, chunks: list[bytes]) -> None:
+        for number, chunk in enumerate(chunks, self.known):
+            if hits := self._hits(self.restore.words(chunk.decode(), self.wanted)):
+                self.hits[number] = hits
+        self.known += len(chunks)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """For each text: its largest weight, the largest of another word, hits, and their share of words."""
-        rows = []
-        for text, parts in zip(texts, self.chunks.of(texts, self._gather), strict=True):
-            words = sum(n for n, _ in parts)
-            hits = [hit for _, found in parts for hit in found]
-            apart = dict.fromkeys(self.restore.spaced_words(text) + self.split_words(text))
-            hits += [(w, v) for w in apart if (v := self._weight(w))]
-            best = sorted(dict(hits).values(), reverse=True)[:2] + [0.0, 0.0]
-            rows.append([best[0], best[1], np.log1p(len(hits)), len(hits) / max(words, 1)])
-        return np.array(rows).reshape(len(texts), 4)
+        """For each text: its largest weight, the largest of a word that begins otherwise, and the weights of all its
+        different words together against the root of how many words it has, as chance finds more in a long text.
+
+        Repeating a word changes nothing.
+        """
+        found: list[dict[str, float]] = [{} for _ in texts]
+        different = np.zeros(len(texts), np.int64)
+        for held in slices(texts):
+            number, upto = self.chunks.numbers(*joined([t for _, t in held]))
+            # Each different chunk of a text, or of a slice of a long one, once.
+            text = np.repeat(np.arange(len(held)), np.diff(np.append(0, upto)))
+            text, number = np.divmod(distinct(text * max(self.known, 1) + number)[0], max(self.known, 1))
+            rows = np.array([i for i, _ in held])
+            different += np.bincount(rows[text], minlength=len(texts))
+            some = np.flatnonzero(np.isin(number, list(self.hits)))
+            for i, n in zip(rows[text[some]].tolist(), number[some].tolist(), strict=True):
+                found[i].update(self.hits[n])
+        out = []
+        for text, hits, words in zip(texts, found, different.tolist(), strict=True):
+            hits.update(self._hits(self.restore.spaced_words(text, self.wanted) + self.split_words(text)))
+            # Sorted by weight, the largest of a stem comes last and stays.
+            by_weight = sorted(hits.items(), key=lambda hit: hit[1])
+            stems = sorted({w[: BEGINNINGS[0]]: v for w, v in by_weight}.values(), reverse=True) + [0.0, 0.0]
+            out.append([stems[0], stems[1], sum(hits.values()) / max(words, 1) ** 0.5])
+        return np.array(out).reshape(len(texts), 3)
 
 
 class Scorer:
@@ -99,7 +122,8 @@ def count_letters(df: DataFrame, text_col: str = "text") -> np.ndarray:
         gc.disable()
         letters = tool.made(LetterCounts)
         total = np.zeros(SYMBOLS**3, np.int64)
-        for held in blocks(((0, t) for (t,) in rows_of(batches, "_text") if t), BLOCK_CHARS // 4):
+        texts = ((0, t) for (t,) in rows_of(batches, "_text") if t)
+        for held in blocks(letter_slices(texts, BLOCK_CHARS // 4), BLOCK_CHARS // 4):
             total += letters([t for _, t in held])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
@@ -111,35 +135,35 @@ def count_letters(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return counts
 
 
-def _document_counts(sample: DataFrame, shipped: Shipped, wanted: Shipped | None) -> DataFrame:
-    """In how many documents of the sample each feature occurs; only the `wanted` ones if given."""
+def _document_counts(sample: DataFrame, shipped: Shipped) -> DataFrame:
+    """In how many toxic and other documents of the sample each feature occurs: `feature`, `toxic`, `clean`."""
 
     def run(batches):
         gc.disable()
-        restore = shipped.made(Deobfuscator)
-        only_these = wanted.broadcast.value if wanted else None
-        counts: dict[str, int] = {}
+        restore = shipped.made(deobfuscator)
+        counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
         def rows():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"]
-            )
+            names = list(counts[0] | counts[1])
+            columns = [pa.array([held.get(f, 0) for f in names], pa.int64()) for held in (counts[1], counts[0])]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], ["feature", "toxic", "clean"])
 
-        for (text,) in rows_of(batches, "_text"):
+        for label, text in rows_of(batches, "_label", "_text"):
             words = set(restore.words(text or "")) | set(restore.spaced_words(text or ""))
+            held = counts[label]
             for feature in {f for w in words for f in features_of(w)}:
-                if only_these is None or feature in only_these:
-                    counts[feature] = counts.get(feature, 0) + 1
-            if len(counts) > 500_000:
+                held[feature] = held.get(feature, 0) + 1
+            if len(counts[0]) + len(counts[1]) > 500_000:
                 yield rows()
-                counts.clear()
+                counts[0].clear()
+                counts[1].clear()
         yield rows()
 
-    return sample.select("_text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = sample.select("_label", "_text").mapInArrow(run, "feature string, toxic long, clean long")
+    return found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 50) -> np.ndarray:
-    """Newton's method; the constant comes first and bears no penalty."""
+def _newton(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     beta, ridge = np.zeros(x.shape[1]), np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
     for _ in range(rounds):
@@ -151,6 +175,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int =
     return beta
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01, rounds: int = 50) -> np.ndarray:
+    """Newton's method; the constant comes first and bears no penalty. More evidence never makes a score smaller:
+    what would get a negative coefficient is left out, the most negative first."""
+    used = list(range(x.shape[1]))
+    while True:
+        beta = _newton(x[:, used], y, penalty, rounds)
+        if not used or beta[1:].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(1 + u for u in used)]] = beta
+            return out
+        del used[int(beta[1:].argmin())]
+
+
 def fit_toxicity(
     df: DataFrame,
     labels: DataFrame,
@@ -174,30 +211,23 @@ def fit_toxicity(
     sample = Scratch(spark).save(drawn.dropDuplicates(["_text", "_label"]), "labelled")
     size = {(r["_half"], r["_label"]): r["count"] for r in sample.groupBy("_half", "_label").count().collect()}
     toxic, clean = size.get((0, 1), 0), size.get((0, 0), 0)
-    nothing = Model(letters, {}, np.array([-30.0, 0, 0, 0, 0]))
+    nothing = Model(letters, {}, np.array([-30.0, 0, 0, 0]))
     if not toxic or not clean:
         return nothing
 
-    found = (
-        _document_counts(sample.where("_half = 0 AND _label = 1"), shipped, None)
-        .where(F.col("n") >= LEAST_DOCUMENTS)
-        .orderBy(F.desc("n"), "feature")
-        .limit(MOST_FEATURES)
-        .collect()
-    )
-    in_toxic = {r.feature: r.n for r in found}
-    wanted = Shipped(spark, frozenset(in_toxic))
-    in_clean = {
-        r.feature: r.n for r in _document_counts(sample.where("_half = 0 AND _label = 0"), shipped, wanted).collect()
-    }
-    weights = {}
-    for feature, n in in_toxic.items():
-        # A low estimate of its share in toxic texts against a high one in others.
-        low, high = (n - n**0.5) / toxic, (in_clean.get(feature, 0) + 2) / (clean + 2)
-        if low > 3 * high:
-            weights[feature] = float(np.log(low / high))
-
-    trial = Shipped(spark, Model(letters, weights, np.zeros(5)))
+    # A low estimate of its share in toxic texts against a high one in others; as many as the sample holds.
+    counted = _document_counts(sample.where("_half = 0"), shipped).where(F.col("toxic") >= LEAST_DOCUMENTS)
+    low = (F.col("toxic") - F.sqrt("toxic")) / toxic
+    high = (F.col("clean") + 2) / (clean + 2)
+    surer = counted.where(low > 3 * high).select("feature", F.log(low / high).alias("weight"), "toxic").collect()
+    # A beginning stands for other forms of words of the model, which must be most of what begins so.
+    whole: Counter[str] = Counter()
+    for r in surer:
+        if r.feature.endswith(" "):
+            whole.update({r.feature[:n]: r.toxic for n in BEGINNINGS if len(r.feature) > n})
+    weights = {r.feature: r.weight for r in surer if r.feature.endswith(" ") or 2 * whole[r.feature] >= r.toxic}
+
+    trial = Shipped(spark, Model(letters, weights, np.zeros(4)))
 
     def run(batches):
         gc.disable()
@@ -209,7 +239,7 @@ def fit_toxicity(
             )
 
     judged = sample.where("_half = 1").select("_label", "_text").mapInArrow(run, "x array<double>, y int").collect()
-    x, y = np.array([r.x for r in judged]).reshape(len(judged), 4), np.array([r.y for r in judged], float)
+    x, y = np.array([r.x for r in judged]).reshape(len(judged), 3), np.array([r.y for r in judged], float)
     if not len(y) or y.min() == y.max():
         return nothing
     order = np.lexsort((*x.T, y))
