@@ -26,6 +26,8 @@ LONG_CHARS = 1 << 20
 RANGE_BYTES, FAN_IN, STEPS = 1 << 18, 32, 3
 #: Characters of texts in one block of results.
 BLOCK_CHARS = 16 << 20
+#: Distinct words that a Python worker remembers, with their groups and links.
+CHUNKS_HELD = 250_000
 
 NONE = np.zeros(0, np.int64)
 
@@ -174,7 +176,7 @@ class Aligner:
 
     def __init__(self, content: tuple[str, bytes]):
         self.a, self.b = FlatEncoder(content[0], plain=True), PieceEncoder(content[1])
-        self.chunks = Chunks(self._learn, self._forget, only_spaces=True)
+        self.chunks = Chunks(self._learn, self._forget, only_spaces=True, held=CHUNKS_HELD)
         self._forget()
 
     def _forget(self) -> None:
