@@ -85,6 +85,7 @@ FINER = HashFamily(DIM, key_length=1, tables=2, seed=8)
 RADIUS = 0.2
 SPLIT_AT = 12
 THIN = 0.1
+BELOW = 100
 #: Directions of whole numbers from -3 to 3, so that keys hardly depend on the order of adding.
 GIVEN = GivenFamily.of(np.array([(7 * i + i * i // 5) % 7 - 3.0 for i in range(6 * DIM)]).reshape(2, 3, DIM), np.arange(6).reshape(2, 3) / 2)
 ROUNDS = KnnConfig(k=5, seed=7, tables=4, key_length=2, radius=RADIUS / 2, max_comparisons=40, max_rounds=3)
@@ -440,6 +441,12 @@ def _recall(spark, sf_dir):
     return row.select(F.round("recall", 9).alias("recall"), "k", "nodes_compared", "nodes_missing")
 
 
+def _recall_below(spark, sf_dir):
+    """The quick look at nodes with a small id."""
+    row = recall(*_graphs(spark, sf_dir), 5, id_below=BELOW)
+    return row.select(F.round("recall", 9).alias("recall"), "k", "nodes_compared", "nodes_missing")
+
+
 def _missed_edges(spark, sf_dir):
     rounded = [F.round(c, 6).alias(c) for c in ("distance", "max_exact", "max_approx")]
     return missed_edges(*_graphs(spark, sf_dir)).select("src", "side", "dst", *rounded)
@@ -625,7 +632,7 @@ merge_lists merge_counters adjacency refine refine_candidates refine_work refine
 lsh_hash lsh_hash_sparse lsh_stored lsh_given_projections lsh_key_ops lsh_buckets lsh_shared_tables lsh_viewed lsh_histogram lsh_cost
 lsh_split lsh_candidates lsh_one_round lsh_one_round_grouped lsh_parameters lsh_rounds lsh_rounds_viewed lsh_adaptive
 lsh_adaptive_grouped lsh_wide_radius drop_completed drop_completed_lists straggler_reverse
-straggler_exhaustive recall missed_edges missed_by_node positional positional_linear degrees degree_stats
+straggler_exhaustive recall recall_below missed_edges missed_by_node positional positional_linear degrees degree_stats
 vector_ops vector_ops_sparse dimension dim_stats deviation_summary gauss_pdf gauss_pdf_scalar gauss_sample kth_smallest
 kth_smallest_deep median_lower median_compat approx_median text_points libsvm_points text_roundtrip
 edge_lookup vertex_lookup neighbor_labels assign_ids
@@ -999,6 +1006,14 @@ def _core_sql() -> dict[str, str]:
             "SELECT round(avg(hits) / 5, 9) AS recall, 5 AS k, count(*) AS nodes_compared, "
             f"{MISSING} AS nodes_missing FROM ov WHERE shared",
         ),
+        "recall_below": _with(
+            *round_tables,
+            _exact("e", 5),
+            OVERLAP,
+            "SELECT round(avg(hits) / 5, 9) AS recall, 5 AS k, count(*) AS nodes_compared, "
+            f"(SELECT count(DISTINCT src) FROM e WHERE src < {BELOW} AND src NOT IN (SELECT src FROM r)) AS nodes_missing "
+            f"FROM ov WHERE shared AND src < {BELOW}",
+        ),
         "missed_edges": _with(
             *round_tables,
             _exact("e", 5),

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.functions.sparse import from_ml_vector, is_sparse, vector_entries, vector_size
+from vicinal.operators.prefix import running_total
 from vicinal.session import Scratch
 
 
@@ -129,16 +130,16 @@ def assign_ids(rows: DataFrame, name: str = "id", order: list[str] | None = None
 
     `order` names columns that are constant over runs of rows and sort those runs, such as file and
     offset; partitions are the runs if it is not given. Rows are written once with their position, so
-    that counting runs and numbering rows see the same layout; only one count per run is gathered.
+    that counting runs and numbering rows see the same layout; counts of runs are summed by ranges of runs.
     """
     spark = rows.sparkSession
     runs = order or ["_part"]
     spot = F.monotonically_increasing_id()
     placed = rows.withColumn("_spot", spot).withColumn("_part", F.shiftright("_spot", 33))
-    stored = Scratch(spark).save(placed, "numbered")
+    scratch = Scratch(spark)
+    stored = scratch.save(placed, "numbered")
     counts = stored.groupBy(*runs).agg(F.count(F.lit(1)).alias("_rows"), F.min("_spot").alias("_first"))
-    before = Window.orderBy(*runs).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*runs, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    starts = running_total(scratch.save(counts, "runs"), runs, F.col("_rows"), "_start", scratch).drop("_rows")
     numbered = stored.join(starts, runs).withColumn(name, F.col("_start") + F.col("_spot") - F.col("_first"))
     return numbered.select(*rows.columns, name)
 
