@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.common import Shipped, arrow_type, blocks, only, remainder, rows_of, sql_type
+from vicinal.llm.common import Shipped, arrow_type, blocks, letter_slices, only, remainder, rows_of, sql_type
 
 BUCKETS = 1 << 15
 #: Characters hashed together; some twenty numbers for each are held at a time.
@@ -39,8 +39,9 @@ class Grams:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bucket, text) of every run in all texts, and the number of letters in each text."""
         folded = [t.lower() + "\n" for t in texts]
-        points = np.frombuffer("".join(folded).encode("utf-32-le"), np.uint32)
-        text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in folded])
+        # What lies before the first text is no letter either.
+        points = np.frombuffer(("\n" + "".join(folded)).encode("utf-32-le"), np.uint32)
+        text_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + (i == 0) for i, t in enumerate(folded)])
         letter = self.letter[points]
         # One zero for whatever lies between two words or before the first.
         keep = letter | np.append(True, letter[:-1])
@@ -70,7 +71,9 @@ def fit_languages(
 ) -> Model:
     """Count the n-grams of every document with a language outside `fold`.
 
-    Counts are summed in each task, then by Spark; languages x BUCKETS sums reach the driver, no more.
+    Counts are summed in each task, then by Spark; languages x BUCKETS sums reach the driver, no more. A model holds
+    MOST_LANGUAGES at most, so that it fits into every task; a column of more is no column of languages and raises
+    ValueError. Long texts are counted in parts.
     """
     modulus, held_out = fold
     source = (
@@ -99,14 +102,16 @@ def fit_languages(
                 )
 
         for held in blocks(rows_of(batches, "_lang", "_text"), TOGETHER):
-            bucket, text_of, _ = grams([t for _, t in held])
-            names = sorted({lang for lang, _ in held})
-            number = {lang: i for i, lang in enumerate(names)}
-            lang_of = np.array([number[lang] for lang, _ in held], np.int64)
-            found = np.bincount(lang_of[text_of] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
-            for i, lang in enumerate(names):
-                counts[lang] = counts.get(lang, 0) + found[i * BUCKETS : (i + 1) * BUCKETS]
-                documents[lang] = documents.get(lang, 0) + int((lang_of == i).sum())
+            for lang, _ in held:
+                documents[lang] = documents.get(lang, 0) + 1
+            for parts in blocks(letter_slices(held, TOGETHER), TOGETHER):
+                bucket, text_of, _ = grams([t for _, t in parts])
+                names = sorted({lang for lang, _ in parts})
+                number = {lang: i for i, lang in enumerate(names)}
+                lang_of = np.array([number[lang] for lang, _ in parts], np.int64)
+                found = np.bincount(lang_of[text_of] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
+                for i, lang in enumerate(names):
+                    counts[lang] = counts.get(lang, 0) + found[i * BUCKETS : (i + 1) * BUCKETS]
             if len(counts) > 128:
                 yield from rows()
                 counts.clear()
@@ -149,15 +154,16 @@ def identify(
         gc.disable()
         grams, model = shipped.made(Grams), shipped.broadcast.value
         for held in blocks(((i, t or "") for i, t in rows_of(batches, "_id", "_text")), TOGETHER):
-            bucket, text_of, letters = grams([t for _, t in held])
-            total = np.stack(
-                [
-                    np.bincount(text_of, model.weights[bucket, k], len(held)) + model.prior[k]
-                    for k in range(len(model.languages))
-                ]
-                or [np.zeros(len(held))],
-                axis=1,
-            )
+            total = np.zeros((len(held), max(len(model.languages), 1)))
+            letters = np.zeros(len(held), np.int64)
+            for parts in blocks(letter_slices(((row, t) for row, (_, t) in enumerate(held)), TOGETHER), TOGETHER):
+                bucket, text_of, count = grams([t for _, t in parts])
+                row = np.array([i for i, _ in parts])
+                np.add.at(letters, row, count)
+                for k in range(len(model.languages)):
+                    total[:, k] += np.bincount(row[text_of], model.weights[bucket, k], len(held))
+            if model.languages:
+                total += model.prior
             best = total.argmax(axis=1)
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             known = (letters > 0) & bool(model.languages)

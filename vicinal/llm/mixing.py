@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.llm.common import only, shuffle_width
+from vicinal.operators.prefix import running_total
 from vicinal.session import Scratch
 
 # Fixed values of the contract: weights that repeat over sources in order, the share of all sizes that the mix
@@ -71,17 +72,21 @@ def _running(batches):
         )
 
 
-def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
+def targets(
+    sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, scratch: Scratch | None = None
+) -> DataFrame:
     """Add `_place` and `target` to a saved table of `_source`, `source_size`: one row per source.
 
     Sources are in order of code points, null last, and get `weights` in turn. A target is the source's part
     by weight of `share` times all sizes, but at most MOST_EPOCHS times its size; what is cut off is shared
     again among the others. Each round is one aggregate over the table and settles at least one more source,
-    usually all but a few in the first rounds. The order needs one pass over a row per source.
+    usually all but a few in the first rounds. Sources are numbered by ranges, so there may be as many as documents.
     """
-    order = Window.orderBy(F.col("_source").isNull(), "_source")
+    scratch = scratch or Scratch(sources.sparkSession)
+    order = [F.col("_source").isNull(), F.col("_source")]
+    numbered = scratch.save(running_total(sources, order, F.lit(1).cast("long"), "_place", scratch), "numbered-sources")
     turn = F.pmod(F.col("_place"), F.lit(len(weights)))
-    weighted = sources.withColumn("_place", F.row_number().over(order).cast("long") - 1).withColumn(
+    weighted = numbered.withColumn(
         "_weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))
     )
     cap = F.col("source_size") * F.lit(MOST_EPOCHS)
@@ -136,7 +141,7 @@ def mix(
         work.mapInArrow(_measures, f"_id {kinds['_id']}, _source {kinds['_source']}, size long, _quality double"), "sizes"
     )
     sources = scratch.save(measured.groupBy("_source").agg(F.sum("size").alias("source_size")), "sources")
-    wanted = scratch.save(targets(sources, weights, share), "targets")
+    wanted = scratch.save(targets(sources, weights, share, scratch), "targets")
 
     # 53 bits of a hash make a number above 0 and below 1.
     bits = F.shiftrightunsigned(F.xxhash64("_id", F.lit(seed)), 11)

@@ -16,7 +16,6 @@ The order of documents is that of (shard, block, place).
 from __future__ import annotations
 
 import gc
-import os
 import zlib
 
 import numpy as np
@@ -26,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vicinal.llm.common import BLOCK_CHARS, ChunkValues, Shipped, arrow_type, blocks, only, read_file, rows_of, shuffle_width
+from vicinal.llm.common import BLOCK_CHARS, Shipped, arrow_type, blocks, only, read_file, rows_of, shuffle_width
+from vicinal.llm.flat_ids import FlatEncoder, byte_level
+from vicinal.operators.prefix import running_total
+from vicinal.session import Scratch
 
 # Ids in a word of each selector 0 to 13; each gets 60 // count bits.
 COUNTS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -122,61 +124,15 @@ def unpack(words: np.ndarray, escapes: np.ndarray, marks: np.ndarray, n: int) ->
 
 
 class LibraryEncoder:
-    """Ids of texts by the tokenizers library, asked once for each distinct chunk."""
-
-    #: Chunks given to the library as one text.
-    TOGETHER = 256
+    """Ids of each text, as bytes, by the tokenizers library, asked once for each distinct chunk."""
 
     def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(tokenizer)
-        # Byte-level tokens have a character for each byte; special ones stand for their own text.
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(self.library.get_vocab().values()) + 1, np.int64)
-        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
-        for number, token in self.library.get_added_tokens_decoder().items():
-            self.bytes_of[number] = len(token.content.encode())
-        self.chunks = ChunkValues(self._learn)
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk. Those that begin with a space and end with none are given together: their tokens
-        end where they do."""
-        out: list[bytes] = [b""] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c[0] == " " and not c[-1].isspace()]
-        others = [i for i, c in enumerate(chunks) if c[0] != " " or c[-1].isspace()]
-        for at in range(0, len(plain), self.TOGETHER):
-            group = [chunks[i] for i in plain[at : at + self.TOGETHER]]
-            ids = np.array(self.library.encode("".join(group), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([len(c.encode()) for c in group])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            raw, start = ids.tobytes(), 0
-            for i, cut in zip(plain[at : at + self.TOGETHER], (4 * cuts).tolist(), strict=True):
-                out[i] = raw[start:cut]
-                start = cut
-        for i, e in zip(others, self.library.encode_batch([chunks[i] for i in others], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+        self.flat = FlatEncoder(tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(parts) for parts in self.chunks.of(texts, b"".join)]
-
-
-def byte_level(tokenizer: str) -> bool:
-    """Whether texts may be encoded chunk by chunk: a byte-level pattern, nothing that looks across chunks."""
-    import json
-
-    told = json.loads(tokenizer)
-    before = told.get("pre_tokenizer") or {}
-    return (
-        before.get("type") == "ByteLevel"
-        and before.get("use_regex", True)
-        and not before.get("add_prefix_space")
-        and not told.get("normalizer")
-        and not told.get("truncation")
-        and not any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in told["added_tokens"])
-    )
+        ids, ends = self.flat.encode(texts)
+        raw, stops = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 def write_tokens(
@@ -263,17 +219,13 @@ def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> Data
 
 def _read(spark: SparkSession, path: str, id_col: str, column: str, value, value_type) -> DataFrame:
     table = spark.read.parquet(path)
-    # One row a block, then one a shard; a shard is one task's output, so this window is over as many rows as
-    # tasks wrote.
+    # One row a block, then one a shard, which is one task's output.
     totals = table.groupBy("shard", "block").agg(F.sum("ids").alias("ids"))
     in_shard = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = totals.select("shard", "block", F.coalesce(F.sum("ids").over(in_shard), F.lit(0)).alias("_in_shard"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = (
-        table.groupBy("shard")
-        .agg(F.sum("ids").alias("_ids"))
-        .select("shard", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
-    )
+    scratch = Scratch(spark)
+    sums = scratch.save(table.groupBy("shard").agg(F.sum("ids").alias("_ids")), "shards")
+    shards = running_total(sums, ["shard"], F.col("_ids"), "_before", scratch).select("shard", "_before")
     kind = table.schema["doc_ids"].dataType.elementType
     arrow_kind = arrow_type(table.select(F.explode("doc_ids").alias("_id")), "_id")
 
@@ -303,7 +255,7 @@ def _read(spark: SparkSession, path: str, id_col: str, column: str, value, value
         table.select("shard", "block", "ids", "words", "escapes", "doc_ids", "doc_ends", "marks")
         .mapInArrow(run, schema)
         .join(within, ["shard", "block"])
-        .join(F.broadcast(shards), "shard")
+        .join(shards, "shard")
         .select(
             F.col("_id").alias(id_col),
             (F.col("_before") + F.col("_in_shard") + F.col("_at")).alias("start"),
