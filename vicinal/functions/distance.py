@@ -60,8 +60,8 @@ def _of_one_length(a: Column, b: Column, value: Column) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(told)).otherwise(value)
 
 
-@F.arrow_udf(T.DoubleType())
-def _squared_distance_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
+def squares_of_rows(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Squared distances of two Arrow columns of vectors, row by row."""
     if len(a) == 0:
         return pa.array([], pa.float64())
     if pa.types.is_struct(a.type):
@@ -76,6 +76,11 @@ def _squared_distance_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(fold_squares(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)))
 
 
+@F.arrow_udf(T.DoubleType())
+def _squared_distance_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
+    return squares_of_rows(a, b)
+
+
 def dot_product(a: Column, b: Column, shared: bool = False) -> Column:
     """Dot product of two arrays of one length; with `shared` over the positions both have."""
     if shared:

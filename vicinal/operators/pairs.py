@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
+from vicinal.operators.ends import with_ends
 from vicinal.operators.topk import top_k
-from vicinal.sources.points import found_or, join_kind
+from vicinal.sources.points import found_or
 
 
 def pair_distances(
@@ -17,25 +18,23 @@ def pair_distances(
     distance: Distance = SQUARED_EUCLIDEAN,
     first: str = "src",
     missing: str = "error",
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The distance of every pair (src, dst), with the group of dst if wanted.
 
-    The narrow pairs meet the vectors of their `first` end first, so vectors travel with pairs in one
-    shuffle only. Have it be the end results are kept for: neither join then has the partitioning of
-    what follows, and Spark may split the partition of an id that is in most pairs. A pair of an id without
+    Vectors travel by blocks (`ends.with_ends`). `first` is the end results are kept for. A pair of an id without
     a point fails the job, or with `missing="drop"` is left out.
     """
     group = [] if group_col is None else [F.col(group_col).cast("int").alias("group_id")]
-    sources = points.select(F.col("id").alias("src"), F.col("features").alias("_a"))
-    targets = points.select(F.col("id").alias("dst"), F.col("features").alias("_b"), *group)
-    a = found_or(missing, F.col("_a"), F.col("src"))
-    b = found_or(missing, F.col("_b"), F.col("dst"))
-    return (
-        pairs.select("src", "dst")
-        .join(*((sources, "src") if first == "src" else (targets, "dst")), join_kind(missing))
-        .join(*((targets, "dst") if first == "src" else (sources, "src")), join_kind(missing))
-        .select("src", *(["group_id"] if group else []), "dst", distance.column(a, b).alias("distance"))
-    )
+    sources, targets = points.select("id", "features"), points.select("id", "features", *group)
+    measured = distance is SQUARED_EUCLIDEAN
+    met = with_ends(pairs.select("src", "dst"), sources, targets, missing, measured, first, block_rows)
+    if measured:
+        return met.select("src", *([F.col("group_b").alias("group_id")] if group else []), "dst", "distance")
+    a = found_or(missing, F.col("_a.features"), F.col("src"))
+    b = found_or(missing, F.col("_b.features"), F.col("dst"))
+    named = [F.col("_b.group_id").alias("group_id")] if group else []
+    return met.select("src", *named, "dst", distance.column(a, b).alias("distance"))
 
 
 def knn_from_pairs(

@@ -144,11 +144,25 @@ def assign_ids(rows: DataFrame, name: str = "id", order: list[str] | None = None
     return numbered.select(*rows.columns, name)
 
 
-def lookup(ids: DataFrame, points: DataFrame, id_col: str = "id", missing: str = "error") -> DataFrame:
+def lookup(
+    ids: DataFrame,
+    points: DataFrame | tuple[DataFrame, DataFrame],
+    id_col: str | tuple[str, str] = "id",
+    missing: str = "error",
+) -> DataFrame:
     """Attach each id's point; a join, so neither side has to fit anywhere whole.
 
+    With `id_col=("src", "dst")` the points of both ends come, as structs `src_point` and `dst_point`, and `points`
+    may be two tables, one for each end; vectors then travel by blocks and not with every pair.
     An id without a point fails the job, or with `missing="drop"` is left out.
     """
+    if isinstance(id_col, tuple):
+        from vicinal.operators.ends import with_ends
+
+        sources, targets = points if isinstance(points, tuple) else (points, points)
+        found = with_ends(ids.withColumnsRenamed(dict(zip(id_col, ("src", "dst")))), sources, targets, missing)
+        back = {"src": id_col[0], "dst": id_col[1], "_a": f"{id_col[0]}_point", "_b": f"{id_col[1]}_point"}
+        return found.withColumnsRenamed(back)
     found = points.withColumnRenamed("id", id_col).withColumn("_found", F.lit(True))
     joined = ids.join(found, id_col, join_kind(missing))
     return joined.where(found_or(missing, F.col("_found"), F.col(id_col))).drop("_found")
