@@ -480,27 +480,29 @@ def _degree_stats(spark, sf_dir):
 
 def _vector_ops(spark, sf_dir):
     points = _points(spark, sf_dir).select("id", "features")
-    sides = lookup(lookup(_pairs(spark, sf_dir), points, "src").withColumnRenamed("features", "a"), points, "dst")
+    sides = lookup(_pairs(spark, sf_dir), points, ("src", "dst"))
+    a, b = F.col("src_point.features"), F.col("dst_point.features")
     return sides.select(
         "src",
         "dst",
-        F.round(squared_distance(F.col("a"), F.col("features")), 6).alias("distance"),
-        F.round(dot_product(F.col("a"), F.col("features")), 6).alias("dot"),
+        F.round(squared_distance(a, b), 6).alias("distance"),
+        F.round(dot_product(a, b), 6).alias("dot"),
     )
 
 
 def _vector_ops_sparse(spark, sf_dir):
     thin = _thinned(spark, sf_dir).select("id", "features")
-    points = _points(spark, sf_dir).select("id", F.col("features").alias("full"))
     told = pair_distances(thin, _pairs(spark, sf_dir))
-    sides = told.join(thin.withColumnRenamed("id", "src"), "src").join(points.withColumnRenamed("id", "dst"), "dst")
-    few = F.slice("full", 1, 20)
+    points = _points(spark, sf_dir).select("id", "features")
+    sides = lookup(told, (thin, points), ("src", "dst"), missing="drop")
+    thinned, full = F.col("src_point.features"), F.col("dst_point.features")
+    few = F.slice(full, 1, 20)
     return sides.select(
         "src",
         "dst",
         F.round("distance", 6).alias("distance"),
-        F.round(sparse_dot(F.col("features"), F.col("full")), 6).alias("dot"),
-        F.round(sparse_dot(F.col("features"), few, shared=True), 6).alias("shared"),
+        F.round(sparse_dot(thinned, full), 6).alias("dot"),
+        F.round(sparse_dot(thinned, few, shared=True), 6).alias("shared"),
     )
 
 
