@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.sparse import to_sparse
 from vicinal.operators import ends
+from vicinal.operators.buckets import bucketize, knn_from_lists, knn_in_buckets
 from vicinal.operators.ends import with_ends
 from vicinal.operators.pairs import knn_from_pairs, pair_distances
 from vicinal.sources.points import lookup
@@ -61,3 +62,26 @@ def test_vectors_do_not_travel_with_pairs(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan and "LeftOuter" not in plan
     assert knn_from_pairs(points, pairs, 3).count() == 499 * 3
+
+
+@pytest.mark.parametrize("group_col", [None, "group_id"])
+def test_short_lists_as_pairs(made, spark, group_col):
+    """Short lists become pairs of ids, long ones cells; repeated ids keep to cells."""
+    rng = np.random.default_rng(4)
+    wide = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.element_at("features", (i % 5 + 1).cast("int")) * (i + 1)).cast("array<float>")
+    points = made[0].where("id < 60").dropDuplicates(["id"]).withColumn("features", wide)
+    members = [(n, int(x)) for n in range(60) for x in rng.integers(0, 60, size=n % 6)] + [(60, i) for i in range(40)]
+    lists = spark.createDataFrame(members, "list_id bigint, id bigint")
+    sized = bucketize(lists, by=["list_id"], distinct=True)
+    told = rows(knn_from_lists(points, lists, 3, group_col))
+    assert told == rows(knn_in_buckets(points, sized, 3, group_col, ["list_id"])) and told
+    twice = points.union(points.where("id < 20"))
+    assert rows(knn_from_lists(twice, lists, 3, group_col)) == rows(knn_in_buckets(twice, sized, 3, group_col, ["list_id"]))
+
+
+def test_vectors_do_not_travel_with_members(spark):
+    points = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: (F.col("id") * x % 17).cast("float")).alias("features"))
+    lists = spark.range(30000).select(F.expr("id div 4").alias("list_id"), (F.xxhash64("id") % 300).alias("id")).where("id >= 0")
+    found = knn_from_lists(points, lists, 3)
+    assert "RepartitionByExpression" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "LeftOuter" not in plan
+    assert rows(found) == rows(knn_in_buckets(points, bucketize(lists, by=["list_id"], distinct=True), 3, by=["list_id"]))

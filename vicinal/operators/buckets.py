@@ -9,12 +9,14 @@ from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.functions.keys import key_concat
 from vicinal.functions.sparse import vector_entries
 from vicinal.operators.cells import FEWEST_ROWS, block_rows_column, cell_edges, repeats_of, split_into_cells
+from vicinal.operators.ends import with_ends
 from vicinal.operators.hashing import HashFamily, hash_points
 from vicinal.operators.topk import top_k
 from vicinal.session import Scratch, tasks_for
 from vicinal.sources.points import found_or, join_kind, kernel_columns
 
 BUCKET = ["table_id", "key"]
+LONGEST_AS_PAIRS = 16
 
 
 def bucketize(
@@ -120,9 +122,44 @@ def knn_from_lists(
     tasks: int | None = None,
     missing: str = "error",
 ) -> DataFrame:
-    """The same over lists of ids (list_id, id); an id named twice in a list counts once."""
+    """The same over lists of ids (list_id, id); an id named twice in a list counts once.
+
+    Vectors travel with the members of long lists. A short list becomes its few pairs, which are narrower than its
+    vectors and meet these by blocks, with the same outcome where ids are unique.
+    """
     sized = bucketize(lists, by=["list_id"], distinct=True)
-    return knn_in_buckets(points, sized, k, group_col, ["list_id"], distance, block_rows, tasks, missing)
+    rest = (k, group_col, ["list_id"], distance, block_rows, tasks, missing)
+    entries = points.agg(F.max(vector_entries(points))).first()[0] or 0
+    most = min(entries // 4, LONGEST_AS_PAIRS)
+    if distance is not SQUARED_EUCLIDEAN or most < 2 or not _unique_ids(points):
+        return knn_in_buckets(points, sized, *rest)
+    sized = Scratch(points.sparkSession).save(sized, "lists")
+    met = with_ends(
+        _pairs_of(sized.where(F.col("size") <= most)), *2 * [kernel_columns(points, group_col)], missing, measured=True, either_way=True
+    )
+    edge = lambda src, group, dst: F.struct(
+        F.col(src).alias("src"), F.col(group).alias("group_id"), F.col(dst).alias("dst"), "distance"
+    )
+    edges = met.select(F.inline(F.array(edge("src", "group_b", "dst"), edge("dst", "group_a", "src"))))
+    edges = edges if group_col else edges.drop("group_id")
+    long = sized.where(F.col("size") > most)
+    if not long.isEmpty():
+        edges = edges.unionByName(knn_in_buckets(points, long, *rest).drop("rank"))
+    return top_k(edges, k)
+
+
+def _unique_ids(points: DataFrame) -> bool:
+    return points.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty()
+
+
+def _pairs_of(members: DataFrame) -> DataFrame:
+    """The pairs inside each list; for lists of bounded size."""
+    # Structs, as a null id must stay and tell that it has no point.
+    held = members.groupBy("list_id").agg(F.collect_list(F.struct("id")).alias("m"))
+    with_later = F.transform(
+        "m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["id"].alias("src"), y["id"].alias("dst")))
+    )
+    return held.select(F.inline(F.flatten(with_later)))
 
 
 def nearest_in_buckets(

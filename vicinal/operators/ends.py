@@ -39,12 +39,14 @@ def with_ends(
     first: str = "src",
     block_rows: int | None = None,
     by_cells: bool | None = None,
+    either_way: bool = False,
 ) -> DataFrame:
     """`pairs` (src, dst and more) with `_a` and `_b`, structs of what the sources and targets have beside their id.
 
     With `measured` the squared distance of both `features` comes instead, as `distance`, with the groups of both ends
     as `group_a` and `group_b`. An id in several rows gives a row for each. A pair of an id without a point
-    fails the job, or with `missing="drop"` is left out. `first` names the end that a join would look up first.
+    fails the job, or with `missing="drop"` is left out. `first` names the end that a join would look up first. With
+    `either_way` the ends, of one table, may change places, which takes half the cells.
     """
     spark, kind = pairs.sparkSession, join_kind(missing)
     scratch = Scratch(spark)
@@ -54,9 +56,11 @@ def with_ends(
     fewest = math.ceil(math.sqrt(max(2 * cores, 2 * total / PAIRS_IN_CELL)))
     sides = [_Side(sources, block_rows, fewest), _Side(targets, block_rows, fewest)]
     blocks = [F.lit(side.blocks) for side in sides]
-    placed = stored.withColumn("_i", block_of(F.col("src").cast("bigint"), blocks[0])).withColumn(
-        "_j", block_of(F.col("dst").cast("bigint"), blocks[1])
-    )
+    own = lambda c, n: block_of(F.col(c).cast("bigint"), blocks[n])
+    placed = stored.withColumn("_i", own("src", 0)).withColumn("_j", own("dst", 1))
+    if either_way:
+        turn = {"src": "dst", "dst": "src", "_i": "_j", "_j": "_i"}
+        placed = placed.withColumns({c: F.when(F.col("_i") > F.col("_j"), F.col(o)).otherwise(F.col(c)) for c, o in turn.items()})
     sizes = scratch.save(placed.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_pairs")), "cells")
     most = min(max(total // cores, FEWEST_PAIRS), PAIRS_IN_CELL)
     cells = sizes.select("_i", "_j", F.ceil(F.col("_pairs") / most).cast("int").alias("_parts"))
