@@ -90,12 +90,28 @@ BELOW = 100
 GIVEN = GivenFamily.of(np.array([(7 * i + i * i // 5) % 7 - 3.0 for i in range(6 * DIM)]).reshape(2, 3, DIM), np.arange(6).reshape(2, 3) / 2)
 ROUNDS = KnnConfig(k=5, seed=7, tables=4, key_length=2, radius=RADIUS / 2, max_comparisons=40, max_rounds=3)
 
+
+
+def _manhattan_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences, dimension after dimension, in tiles that stay in a core's cache."""
+    total = np.zeros((len(a), len(b)))
+    bt, rows = np.ascontiguousarray(b.T), max(1, (1 << 14) // max(len(b), 1))
+    for at in range(0, len(a), rows):
+        part, out = a[at : at + rows], total[at : at + rows]
+        gap = np.empty_like(out)
+        for j in range(a.shape[1]):
+            np.subtract(part[:, j, None], bt[j], out=gap)
+            np.abs(gap, out=gap)
+            out += gap
+    return total
+
+
 MANHATTAN = Distance(
     "manhattan",
     lambda a, b: F.aggregate(
         F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x
     ),
-    lambda a, b: sum(np.abs(a[:, j, None] - b[None, :, j]) for j in range(a.shape[1])),
+    _manhattan_block,
 )
 
 
@@ -396,7 +412,9 @@ def _remaining(points, by_count=True):
     viewed = bucket_viewed(buckets)
     k = 5 if by_count else points.count() // 8
     limit = int(viewed.agg(F.avg("viewed")).first()[0]) if by_count else 0
-    edges = scratch.save(knn_in_buckets(points, buckets, k), "edges")
+    edges = knn_in_buckets(points, buckets, k)
+    if by_count:  # otherwise read once, and there a written table would be dealt out by node a second time
+        edges = scratch.save(edges, "edges")
     return edges, drop_completed(points, edges, viewed, k, limit)
 
 
