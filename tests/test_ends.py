@@ -85,3 +85,11 @@ def test_vectors_do_not_travel_with_members(spark):
     found = knn_from_lists(points, lists, 3)
     assert "RepartitionByExpression" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "LeftOuter" not in plan
     assert rows(found) == rows(knn_in_buckets(points, bucketize(lists, by=["list_id"], distinct=True), 3, by=["list_id"]))
+
+
+def test_sparse_blocks_follow_what_rows_carry():
+    """A few long vectors among short ones do not make blocks, and with them copies, many."""
+    from vicinal.operators.cells import block_rows_for, sparse_block_rows
+
+    assert sparse_block_rows(40 * 600_000, 600_000) > 5 * block_rows_for(105, 12)
+    assert sparse_block_rows(10**9, 1000) == 256 and sparse_block_rows(0, 0) == 256
