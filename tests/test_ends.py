@@ -1,6 +1,7 @@
 """Pairs with the rows of both ends: by blocks as by joins."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,12 @@ def test_sparse_blocks_follow_what_rows_carry():
 
     assert sparse_block_rows(40 * 600_000, 600_000) > 5 * block_rows_for(105, 12)
     assert sparse_block_rows(10**9, 1000) == 256 and sparse_block_rows(0, 0) == 256
+
+
+def test_projections_leave_in_bounded_batches():
+    """Whatever the rows of a batch, long keys of many tables do not make it large."""
+    from vicinal.operators.hashing import VALUES_TOGETHER, slices
+
+    batch = pa.record_batch({"id": pa.array(range(10_000))})
+    parts = list(slices(iter([batch, batch.slice(0, 0), batch]), 36 * 12))
+    assert sum(p.num_rows for p in parts) == 20_000 and all(0 < p.num_rows * 36 * 12 <= VALUES_TOGETHER for p in parts)

@@ -22,6 +22,8 @@ DEFAULT_KEY_LENGTH = 3
 HASH_SCHEMA = "id bigint, table_id int, key array<int>"
 #: Coefficients of projections, and projected values, that a task holds at a time.
 COEFFICIENTS_AT_ONCE, VALUES_AT_ONCE = 4 << 20, 1 << 15
+#: Projected values that leave a task, or come to it, together; long keys of many tables would make large batches.
+VALUES_TOGETHER = 1 << 19
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -184,6 +186,14 @@ def _key_batch(ids: np.ndarray, keys: np.ndarray, family: HashFamily) -> pa.Reco
     )
 
 
+def slices(batches: Iterator[pa.RecordBatch], components: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows that their projected values stay bounded; none is empty."""
+    rows = max(1, VALUES_TOGETHER // max(components, 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _checked(radius: float) -> None:
     if not radius > 0:
         raise ValueError(f"radius must be positive, got {radius}")
@@ -200,10 +210,9 @@ def hash_points(points: DataFrame, family: HashFamily, radius: float, leading: b
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shifts = family.shifts(np.arange(family.tables * family.key_length))
-        for batch in batches:
-            if batch.num_rows:
-                projected = family.project(vectors_in(batch.column(1), family, leading))
-                yield _key_batch(batch.column(0).to_numpy(zero_copy_only=False), key_values(projected, shifts, radius), family)
+        for batch in slices(batches, family.tables * family.key_length):
+            projected = family.project(vectors_in(batch.column(1), family, leading))
+            yield _key_batch(batch.column(0).to_numpy(zero_copy_only=False), key_values(projected, shifts, radius), family)
 
     return points.select(F.col("id").cast("bigint"), "features").mapInArrow(hashes, HASH_SCHEMA)
 
@@ -217,11 +226,10 @@ def project_points(points: DataFrame, family: HashFamily) -> DataFrame:
     at = points.columns.index("features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = family.project(vectors_in(batch.column(at), family)).astype("<f8")
-                stored = pa.array([row.tobytes() for row in values], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, stored], names=schema.names)
+        for batch in slices(batches, family.tables * family.key_length):
+            values = family.project(vectors_in(batch.column(at), family)).astype("<f8", copy=False)
+            stored = pa.array([row.tobytes() for row in values], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, stored], names=schema.names)
 
     return points.mapInArrow(run, schema)
 
@@ -237,9 +245,8 @@ def hash_projected(projected: DataFrame, family: HashFamily, radius: float) -> D
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         components = family.tables * family.key_length
         shifts = family.shifts(np.arange(components))
-        for batch in batches:
-            if batch.num_rows:
-                keys = key_values(projected_rows(batch.column(1), components), shifts, radius)
-                yield _key_batch(batch.column(0).to_numpy(zero_copy_only=False), keys, family)
+        for batch in slices(batches, components):
+            keys = key_values(projected_rows(batch.column(1), components), shifts, radius)
+            yield _key_batch(batch.column(0).to_numpy(zero_copy_only=False), keys, family)
 
     return projected.select(F.col("id").cast("bigint"), "projected").mapInArrow(hashes, HASH_SCHEMA)
