@@ -6,12 +6,15 @@ from functools import reduce
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from vicinal import session
 from vicinal.llm import alignment
 from vicinal.llm.alignment import Fragment, align_tokenizers
+from vicinal.llm.flat_ids import Chunks, joined
 from vicinal.llm.queries import op13_alignment
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -167,3 +170,39 @@ def test_fragments_compose_in_any_order(tokens):
         assert (("0", whole.n_a, whole.n_b, whole.n_groups), whole.groups.decode()) == (
             lambda w: (w[:4], w[-1])
         )(brute([(0, text)], tokens)[0])
+
+
+def test_blocks_are_let_go_one_by_one(spark, tokens, monkeypatch):
+    """Rows of megabytes neither wait for a hundred others in the writer nor come back together in the reader."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(alignment, "LONG_CHARS", 500)
+    monkeypatch.setattr(alignment, "BLOCK_CHARS", 500)
+    monkeypatch.setitem(session.LARGE_ROWS, "parquet.block.size", "1024")
+    kept, save = [], session.Scratch.save
+
+    def remember(self, df, name, *args, **options):
+        kept.append((name, save(self, df, name, *args, **options)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(session.Scratch, "save", remember)
+    assert got(align_tokenizers(frame, A, B)) == brute(rows, tokens)
+    (blocks,) = [table for name, table in kept if name == "blocks"]
+    files = [pq.ParquetFile(path.removeprefix("file:")) for path in blocks.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) == sum(f.num_row_groups for f in files) > 3
+
+
+def test_few_words_are_learned_and_held(spark, tokens, monkeypatch):
+    rows = list(enumerate(ODD + [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]))
+    monkeypatch.setattr(alignment, "LONG_CHARS", 200)
+    monkeypatch.setattr(alignment, "BYTES_HELD", 300)
+    monkeypatch.setattr(alignment, "LEARNED_AT_ONCE", 7)
+    assert got(align_tokenizers(spark.createDataFrame(rows, "doc_id long, text string"), A, B)) == brute(rows, tokens)
+
+
+def test_words_are_forgotten_by_their_bytes():
+    learned, forgotten = [], []
+    chunks = Chunks(learned.append, lambda: forgotten.append(1), only_spaces=True, held_bytes=40)
+    for i in range(6):
+        chunks.numbers(*joined([" " + str(i) * 30]))
+    assert len(forgotten) == 2 and len(chunks.known) == 2

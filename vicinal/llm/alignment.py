@@ -25,9 +25,9 @@ LONG_CHARS = 1 << 20
 #: hold the longest text there can be, 2**31 bytes.
 RANGE_BYTES, FAN_IN, STEPS = 1 << 18, 32, 3
 #: Characters of texts in one block of results.
-BLOCK_CHARS = 16 << 20
-#: Distinct words that a Python worker remembers, with their groups and links.
-CHUNKS_HELD = 250_000
+BLOCK_CHARS = 8 << 20
+#: Distinct words that a Python worker remembers, with their groups and links, their bytes, and words learned in one step.
+CHUNKS_HELD, BYTES_HELD, LEARNED_AT_ONCE = 250_000, 8 << 20, 1 << 14
 
 NONE = np.zeros(0, np.int64)
 
@@ -176,7 +176,7 @@ class Aligner:
 
     def __init__(self, content: tuple[str, bytes]):
         self.a, self.b = FlatEncoder(content[0], plain=True), PieceEncoder(content[1])
-        self.chunks = Chunks(self._learn, self._forget, only_spaces=True, held=CHUNKS_HELD)
+        self.chunks = Chunks(self._learn, self._forget, only_spaces=True, held=CHUNKS_HELD, held_bytes=BYTES_HELD)
         self._forget()
 
     def _forget(self) -> None:
@@ -184,8 +184,17 @@ class Aligner:
         # For each chunk: tokens of both, groups, whether bytes agree, where its links begin in `codes`, and how many.
         self.table = np.zeros((0, 6), np.int64)
         self.codes = NONE
+        # Of the words being learned.
+        self.new_rows: list[np.ndarray] = []
+        self.new_codes: list[np.ndarray] = []
 
     def _learn(self, chunks: list[bytes]) -> None:
+        for at in range(0, len(chunks), LEARNED_AT_ONCE):
+            self._learn_some(chunks[at : at + LEARNED_AT_ONCE])
+        self.table, self.codes = np.concatenate([self.table, *self.new_rows]), np.concatenate([self.codes, *self.new_codes])
+        self.new_rows, self.new_codes = [], []
+
+    def _learn_some(self, chunks: list[bytes]) -> None:
         """A word begins and ends where tokens of both do: its fragment is closed on both sides."""
         texts = [c.decode() for c in chunks]
         b_lists = self.b.ids_of(texts)
@@ -208,19 +217,20 @@ class Aligner:
             group_upto = told[upto]
             n_links = np.diff(upto, prepend=0)
             rows[good, 0], rows[good, 1], rows[good, 2] = a_count, b_count, np.diff(group_upto, prepend=0)
-            rows[good, 4], rows[good, 5] = len(self.codes) + upto - n_links, n_links
-            self.codes = np.concatenate([self.codes, code])
+            held = len(self.codes) + sum(map(len, self.new_codes))
+            rows[good, 4], rows[good, 5] = held + upto - n_links, n_links
+            self.new_codes.append(code)
             each = group_names(a_ends, a_ids, b_ends, b_ids, ends[both])
             begin = 0
             for i, end in zip(np.flatnonzero(good).tolist(), group_upto.tolist(), strict=True):
                 names[i] = b";".join(each[begin:end])
                 begin = end
         self.names += names
-        self.table = np.concatenate([self.table, rows])
+        self.new_rows.append(rows)
 
     def full(self) -> bool:
         """Whether numbers of chunks will begin anew."""
-        return len(self.chunks.known) > self.chunks.held
+        return self.chunks.full()
 
 
 class Block:
@@ -348,7 +358,8 @@ def _long_blocks(source: DataFrame, shipped: Shipped, digest: bool, scratch: Scr
                         ["key", "_id", "which", "offset", "part"],
                     )
 
-    parts = scratch.save(source.mapInArrow(cut, f"key string, _id {id_type}, which int, offset long, part string"), "parts")
+    cuts = source.mapInArrow(cut, f"key string, _id {id_type}, which int, offset long, part string")
+    parts = scratch.save(cuts, "parts", large_rows=True)
 
     def encode(batches):
         gc.disable()
@@ -483,7 +494,7 @@ def align_tokenizers(
     made = _short_blocks(source.where(~is_long), shipped, digest).unionByName(
         _long_blocks(source.where(is_long), shipped, digest, scratch)
     )
-    blocks = scratch.save(made, "blocks")
+    blocks = scratch.save(made, "blocks", large_rows=True)
 
     def tell(batches):
         for batch in batches:

@@ -62,12 +62,18 @@ class Chunks:
     """Numbers for distinct chunks, told from a dictionary that Arrow makes of each block of texts.
 
     `learn` takes a list of new chunks (bytes) and tells what it needs of them in their order; numbers go on from there
-    until too many are held: then `forget` is called and they begin anew. Forgetting changes no result.
+    until too many are held, or more than `held_bytes` of them: then `forget` is called and they begin anew. Forgetting
+    changes no result.
     """
 
-    def __init__(self, learn, forget, only_spaces: bool = False, held: int = CHUNKS_HELD):
-        self.learn, self.forget, self.only_spaces, self.held = learn, forget, only_spaces, held
+    def __init__(self, learn, forget, only_spaces: bool = False, held: int = CHUNKS_HELD, held_bytes: int | None = None):
+        self.learn, self.forget, self.only_spaces, self.held, self.held_bytes = learn, forget, only_spaces, held, held_bytes
         self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
+
+    def full(self) -> bool:
+        """Whether numbers will begin anew."""
+        return len(self.known) > self.held or (self.held_bytes is not None and self.known_bytes > self.held_bytes)
 
     def numbers(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of each chunk of texts that lie one after the other, and how many chunks there are up to
@@ -79,8 +85,9 @@ class Chunks:
         chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.held:
+        if self.full():
             self.known.clear()
+            self.known_bytes = 0
             self.forget()
         get = self.known.get
         number = np.array([get(c, -1) for c in distinct], np.int64)
@@ -90,6 +97,7 @@ class Chunks:
             first = len(self.known)
             self.learn(fresh)
             self.known.update(zip(fresh, range(first, first + len(fresh))))
+            self.known_bytes += sum(map(len, fresh))
             number[new] = np.arange(first, first + len(fresh))
         return number[coded.indices.to_numpy()], np.searchsorted(starts, ends)
 

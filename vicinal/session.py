@@ -8,6 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+LARGE_ROWS = {
+    "parquet.block.size": str(16 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the session names for checkpoints."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -39,9 +48,11 @@ class Scratch:
         self._count += 1
         return f"{self.path}/{self._count:04d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+        """`large_rows`: rows of megabytes, which Parquet's writer counts one by one and lets go in small groups.
+        By default it looks at its size once in a hundred rows, and a reader takes a group's rows together."""
         path = self.new_path(name)
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").options(**(LARGE_ROWS if large_rows else {})).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
