@@ -3,8 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import __spark_entry__ as entry_points
+from vicinal.operators import cells
 
 
 def test_manhattan_block_holds_little_beside_its_result():
@@ -27,3 +30,49 @@ def test_full_lists_are_counted_without_a_written_graph(make_points):
     for row in edges.collect():
         by_node.setdefault(row["src"], set()).add(row["dst"])
     assert {r["id"] for r in left.collect()} == {i for i in range(80) if len(by_node.get(i, ())) < 10}
+
+
+def halves(n, m, dim, whole=False):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n + m, dim))
+    x[2], x[n + 1], x[n + 3] = x[1], x[1], x[n + 2]
+    return pa.table(
+        {
+            "cell": np.zeros(n + m, np.int64),
+            "side": np.repeat([cells.LEFT, cells.RIGHT], [n, m]).astype(np.int8),
+            "id": rng.permutation(n + m),
+            "group_id": np.zeros(n + m, np.int32),
+            "features": pa.array(list(np.round(x) if whole else x)),
+        }
+    )
+
+
+def rows_of(parts):
+    return sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts))))
+
+
+@pytest.mark.parametrize("n, m, whole", [(300, 200, False), (90, 400, True), (3, 7, False), (200, 4, True)])
+def test_blocks_are_measured_once_for_both_sides(n, m, whole):
+    table, seen = halves(n, m, 6, whole), []
+
+    def block(a, b):
+        seen.append(len(a) * len(b))
+        return entry_points.MANHATTAN.block(a, b)
+
+    told = entry_points.MANHATTAN
+    both = rows_of(cells._compare_cells(table, 4, (told.block, None, None, False)))
+    assert rows_of(cells._compare_cells(table, 4, (block, None, None, True))) == both
+    assert sum(seen) == n * m
+    assert rows_of(cells._compare_cells(table, 4, (told.block, told.nearly, told.of_rows, told.symmetric))) == both
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e-12, 1e12, 1e30])
+def test_rough_manhattan_is_as_near_as_it_says(scale):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(50, 40)) * scale, rng.normal(size=(70, 40)) * scale
+    a[0], b[0] = 0, rng.normal(size=40) * scale * 1e-9
+    d, off = entry_points.MANHATTAN.nearly(b)(a)
+    exact = entry_points.MANHATTAN.block(a, b)
+    assert (2 * np.abs(d - exact) <= off).all() and off < 1e-3 * exact.mean()
+    i, j = np.divmod(np.arange(exact.size), len(b))
+    assert np.array_equal(entry_points.MANHATTAN.of_rows(a[i], b[j]), exact.ravel())

@@ -92,15 +92,17 @@ def cell_edges(cells: DataFrame, k: int, distance: Distance, tasks: int, place:
         rows = rows.repartition(tasks, "cell")
     rows = rows.sortWithinPartitions(F.xxhash64("cell"), "cell", "side")
 
-    block = None if distance is SQUARED_EUCLIDEAN else distance.block
-    if block is not None and is_sparse(rows):
-        block = distance.sparse_block
-        if block is None:
+    own = None
+    if distance is not SQUARED_EUCLIDEAN:
+        own = (distance.block, distance.nearly, distance.of_rows, distance.symmetric)
+        if is_sparse(rows):
+            own = (distance.sparse_block, None, None, distance.symmetric)
+        if own[0] is None:
             raise ValueError(f"the distance {distance.name} has no form for sparse vectors")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _whole_cells(batches):
-            yield from _gathered(_compare_cells(piece, k, block))
+            yield from _gathered(_compare_cells(piece, k, own))
 
     return rows.mapInArrow(compare, EDGE_SCHEMA)
 
@@ -144,7 +146,7 @@ def _gathered(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(*map(np.concatenate, zip(*held)))
 
 
-def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[tuple]:
+def _compare_cells(piece: pa.Table, k: int, own: tuple | None) -> Iterator[tuple]:
     piece = piece.combine_chunks()
     column = {name: piece.column(name).chunk(0) for name in piece.column_names}
     ids, sides = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "side"))
@@ -160,16 +162,21 @@ def _compare_cells(piece: pa.Table, k: int, block: Callable | None) -> Iterator[
     low = np.select([(sides == BOTH) | (sides == RIGHT), sides == TARGET], [start, end], middle)
     high = np.where(sides == RIGHT, middle, end)
 
-    together = np.add.reduceat(high - low, starts) <= (SMALL_CELL if block is None else 0)
+    together = np.add.reduceat(high - low, starts) <= (SMALL_CELL if own is None else 0)
     for src, dst, d in _small_cells(x, ids, groups, np.flatnonzero(np.repeat(together, sizes)), low, high, k):
         yield ids[src], groups[dst], ids[dst], d
     for first, size in zip(starts[~together], sizes[~together]):
         rows = np.arange(first, first + size)
+        if own is not None and own[-1] and (sides[rows] == LEFT).any() and (groups[rows] == groups[first]).all():
+            left, right = (rows[sides[rows] == side] for side in (LEFT, RIGHT))
+            for src, dst, d in _block(x, ids, groups, left, right, k, own, back=True):
+                yield ids[src], groups[dst], ids[dst], d
+            continue
         for span in np.unique(np.stack([low[rows], high[rows]], axis=1), axis=0):
             sources = rows[(low[rows] == span[0]) & (high[rows] == span[1])]
             targets = np.arange(*span)
             targets = targets[np.argsort(groups[targets], kind="stable")]
-            for src, dst, d in _block(x, ids, groups, sources, targets, k, block):
+            for src, dst, d in _block(x, ids, groups, sources, targets, k, own):
                 yield ids[src], groups[dst], ids[dst], d
 
 
@@ -299,28 +306,74 @@ class _SparseSquares:
 class _Own:
     """The caller's own distance."""
 
-    def __init__(self, x, targets, block):
+    def __init__(self, x, targets, own):
         self.rows = x.take if isinstance(x, Rows) else x.__getitem__
-        self.b, self.block = self.rows(targets), block
+        self.b, (self.block, nearly, self.of_rows, _) = self.rows(targets), own
+        self.roughly = nearly(self.b) if nearly and self.of_rows else None
 
     def nearly(self, part: np.ndarray):
+        if self.roughly:
+            d, off = self.roughly(self.rows(part))
+            return d, np.full(len(part), off)
         return np.array(self.block(self.rows(part), self.b), dtype=np.float64), np.zeros(len(part))
 
     def exactly(self, part, i, j, d):
-        return d[i, j]
+        return self.of_rows(self.rows(part[i]), self.b[j]) if self.roughly else d[i, j]
+
+
+class _Back:
+    """The k nearest sources of each target, while slices of sources pass by."""
+
+    def __init__(self, ids: np.ndarray, targets: np.ndarray, k: int):
+        self.ids, self.targets, self.k = ids, targets, k
+        #: What the k-th nearest so far does not exceed, by target; and what was kept: targets' places, sources, distances.
+        self.bound = np.full(len(targets), np.inf)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.more: list[tuple] = []
+
+    def add(self, measure, part, d, slack, same, own) -> None:
+        off = slack.max()
+        if not len(self.kept[0]) and not self.more and len(part) >= self.k:
+            self.bound = np.partition(d, self.k - 1, axis=0)[self.k - 1] + off
+        near = d <= _raised(self.bound + off, d.dtype)
+        near[same, own] = False
+        i, j = np.divmod(np.flatnonzero(near), d.shape[1])
+        self.more.append((j, part[i], measure.exactly(part, i, j, d)))
+        if sum(len(m[0]) for m in self.more) >= max(len(self.kept[0]), self.k * len(self.targets)):
+            self._settle()
+
+    def _settle(self) -> None:
+        j, source, value = (np.concatenate(c) for c in zip(self.kept, *self.more, strict=True))
+        best = _nearest(j, np.zeros(len(j), np.int8), value, self.ids[source], self.k)
+        self.kept, self.more = (j[best], source[best], value[best]), []
+        # Sorted by target and distance: those with k of them know their k-th.
+        count = np.bincount(self.kept[0], minlength=len(self.targets))
+        full = np.flatnonzero(count >= self.k)
+        self.bound[full] = np.minimum(self.bound[full], self.kept[2][np.cumsum(count)[full] - 1])
+
+    def edges(self) -> tuple:
+        self._settle()
+        j, source, value = self.kept
+        return self.targets[j], source, value
 
 
-def _block(x, ids, groups, sources, targets, k, block):
+def _raised(bound: np.ndarray, dtype) -> np.ndarray:
+    """Bounds in the type of the distances that they are held against, not lower than they were."""
+    return bound if dtype == bound.dtype else np.nextafter(bound.astype(dtype), dtype.type(np.inf))
+
+
+def _block(x, ids, groups, sources, targets, k, own, back=False):
     """The k nearest targets of each group for each source, in slices of the distance matrix.
 
-    `targets` are sorted by group. `block` is the caller's own distance. For squared distances a product gives
+    `targets` are sorted by group. `own` is the caller's own distance; with `back` all rows are of one group and the k nearest
+    sources of each target come too, from the same distances. For squared distances a product gives
     approximate values; all targets within its rounding error of their group's k-th are then measured exactly, so the
     choice is that of the exact distances.
     """
     if len(sources) == 0 or len(targets) == 0:
         return
-    if block is not None:
-        measure = _Own(x, targets, block)
+    if own is not None:
+        measure = _Own(x, targets, own)
     else:
         measure = _SparseSquares(x, targets) if isinstance(x, Rows) else _Squares(x, targets)
     group = groups[targets]
@@ -328,6 +381,7 @@ def _block(x, ids, groups, sources, targets, k, block):
     sizes = np.diff(np.append(first, len(targets)))
     by_id = np.argsort(ids[targets], kind="stable")
     sorted_ids = ids[targets][by_id]
+    reverse = _Back(ids, targets, k) if back else None
     step = max(1, PAIRS_AT_ONCE // len(targets))
     for at in range(0, len(sources), step):
         part = sources[at : at + step]
@@ -335,14 +389,18 @@ def _block(x, ids, groups, sources, targets, k, block):
         # Every target that bears the source's id, however many.
         begin, end = (np.searchsorted(sorted_ids, ids[part], side=side) for side in ("left", "right"))
         same = np.repeat(np.arange(len(part)), end - begin)
-        own = by_id[np.arange(len(same)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)]
-        d[same, own] = np.inf
-        bound = _bounds(d, first, sizes, k) + np.reshape(slack, (-1, 1))
+        mine = by_id[np.arange(len(same)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)]
+        d[same, mine] = np.inf
+        bound = _raised(_bounds(d, first, sizes, k) + np.reshape(slack, (-1, 1)), d.dtype)
         near = d <= (bound if len(sizes) == 1 else np.repeat(bound, sizes, axis=1))
-        near[same, own] = False
+        near[same, mine] = False
+        if reverse:
+            reverse.add(measure, part, d, slack, same, mine)
         i, j = np.divmod(np.flatnonzero(near), len(targets))
         if len(i) == 0:
             continue
         value = measure.exactly(part, i, j, d)
         best = _nearest(i, group[j], value, ids[targets[j]], k)
         yield part[i[best]], targets[j[best]], value[best]
+    if reverse:
+        yield reverse.edges()
