@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry_points
-from vicinal.operators import cells
+from vicinal.operators import cells, retire
+from vicinal.operators.buckets import bucketize, knn_in_buckets
+from vicinal.operators.retire import completed_ids
 
 
 def test_manhattan_block_holds_little_beside_its_result():
@@ -76,3 +78,44 @@ def test_rough_manhattan_is_as_near_as_it_says(scale):
     assert (2 * np.abs(d - exact) <= off).all() and off < 1e-3 * exact.mean()
     i, j = np.divmod(np.arange(exact.size), len(b))
     assert np.array_equal(entry_points.MANHATTAN.of_rows(a[i], b[j]), exact.ravel())
+
+
+@pytest.mark.parametrize("group_col", [None, "group_id"])
+def test_long_lists_are_found_whole(spark, make_points, group_col):
+    """Lists longer than their vectors come ranked from one task each, the same as those merged from cells."""
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    x[5:9] = x[4]
+    points = make_points(x, ids=rng.permutation(90) * 3 - 40, groups=rng.integers(0, 3, 90))
+    ids = [r["id"] for r in points.collect()]
+    rows = [(t, f"b{(i * (t + 1)) % 4}", i) for t in range(3) for i in ids[: 60 + 10 * t]] + [(0, "alone", ids[-1])]
+    buckets = bucketize(spark.createDataFrame(rows + rows[:3], "table_id int, key string, id long"))
+    want = knn_in_buckets(points, buckets, 25, group_col, block_rows=40)
+    found = knn_in_buckets(points, buckets, 25, group_col)
+    assert found.schema.simpleString() == want.schema.simpleString()
+    assert "Window" not in found._jdf.queryExecution().toString() and sorted(found.collect()) == sorted(want.collect())
+    twice = points.unionByName(points.limit(2))
+    again = knn_in_buckets(twice, buckets, 25, group_col)
+    assert sorted(again.collect()) == sorted(knn_in_buckets(twice, buckets, 25, group_col, block_rows=40).collect())
+    fewer = points.where("id > 0")
+    dropped = knn_in_buckets(fewer, buckets, 25, group_col, missing="drop")
+    assert sorted(dropped.collect()) == sorted(knn_in_buckets(fewer, buckets, 25, group_col, block_rows=40, missing="drop").collect())
+    with pytest.raises(Exception, match="no point with id"):
+        knn_in_buckets(fewer, buckets, 25, group_col).count()
+
+
+def test_neighbours_of_long_lists_are_counted_packed(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    far = [-(2**63), 2**63 - 1, 0, -1, 300, 70_000, 2**40]
+    rows = [(s, g, d) for s in (1, 2, None) for g in (0, None) for d in [*far[: 3 + (s or 0)], *rng.integers(0, 40, 30).tolist()]]
+    rows += [(1, 0, None), (1, 0, None), (3, 1, None), (4, 1, 7)]
+    edges = spark.createDataFrame(rows * 2, "src long, group_id int, dst long").repartition(3)
+    viewed = spark.createDataFrame([], "id long, viewed long")
+    for graph, groups in ((edges, 2), (edges.drop("group_id"), 1)):
+        for k in (1, 3, 15, 28):
+            plain = sorted(str(r["id"]) for r in completed_ids(graph, viewed, k, 0, groups).collect())
+            with monkeypatch.context() as m:
+                m.setattr(retire, "LONG_LIST", 1)
+                packed = completed_ids(graph, viewed, k, 0, groups)
+                assert "Distinct" not in packed._jdf.queryExecution().logical().toString()
+                assert sorted(str(r["id"]) for r in packed.collect()) == plain

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vicinal.functions.distance import SQUARED_EUCLIDEAN, Distance
 from vicinal.functions.keys import key_concat
-from vicinal.functions.sparse import vector_entries
-from vicinal.operators.cells import FEWEST_ROWS, block_rows_column, cell_edges, repeats_of, split_into_cells
+from vicinal.functions.sparse import is_sparse, vector_entries
+from vicinal.operators.cells import FEWEST_ROWS, block_rows_column, cell_edges, repeats_of, split_into_cells, whole_lists
 from vicinal.operators.ends import with_ends
 from vicinal.operators.hashing import HashFamily, hash_points
 from vicinal.operators.topk import top_k
@@ -17,6 +17,9 @@ from vicinal.sources.points import found_or, join_kind, kernel_columns
 
 BUCKET = ["table_id", "key"]
 LONGEST_AS_PAIRS = 16
+#: Vectors that a task may hold all at once, in bytes; the least share of all pairs that share a bucket for a task to look at
+#: every pair; and bytes of an edge.
+WHOLE_BYTES, WHOLE_SHARE, EDGE_BYTES = 128 << 20, 0.1, 24
 
 
 def bucketize(
@@ -94,8 +97,21 @@ def knn_in_buckets(
     each pair of its blocks; the outcome is the same and no task holds the bucket whole. Only members
     of buckets that survived get a vector. A member without a point fails the job, or with `missing="drop"`
     is left out.
+
+    Lists of which each outweighs its vector in every task (`k` in the hundreds) are not merged from cells, which would send them
+    several times over: where the points have room in a task and most pairs meet, a task finds the whole lists of its share.
     """
     spark = points.sparkSession
+    if not (block_rows or tasks or is_sparse(points)) and distance is SQUARED_EUCLIDEAN:
+        width = _width_for_whole(points, buckets, k)
+        if width:
+            name = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
+            held = buckets.select("id", name.alias("bucket")).groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+            rows = held.join(kernel_columns(points, group_col), "id", join_kind(missing)).withColumn(
+                "features", found_or(missing, F.col("features"), F.col("id"))
+            )
+            edges = whole_lists(rows, k, width)
+            return edges if group_col else edges.drop("group_id")
     members = buckets.select(F.concat_ws("|", *[F.col(c).cast("string") for c in by]).alias("bucket"), "id", "size")
     vectors = members.join(kernel_columns(points, group_col), "id", join_kind(missing)).withColumn(
         "features", found_or(missing, F.col("features"), F.col("id"))
@@ -112,6 +128,19 @@ def knn_in_buckets(
     return top_k(edges if group_col else edges.drop("group_id"), k, repeats=repeats_of(distance))
 
 
+def _width_for_whole(points: DataFrame, buckets: DataFrame, k: int) -> int | None:
+    """Over how many tasks to find whole lists, None where cells are the better way."""
+    width = 2 * points.sparkSession.sparkContext.defaultParallelism
+    if k * EDGE_BYTES < width * 8:
+        return None
+    told = points.agg(F.max(vector_entries(points)).alias("entries"), F.count(F.lit(1)).alias("n")).first()
+    row = 8 * (told["entries"] or 1)
+    if k * EDGE_BYTES < width * row or told["n"] * row > WHOLE_BYTES:
+        return None
+    pairs = buckets.agg(F.sum(F.col("size") - 1)).first()[0] or 0
+    return width if pairs >= WHOLE_SHARE * told["n"] ** 2 and _unique_ids(points) else None
+
+
 def knn_from_lists(
     points: DataFrame,
     lists: DataFrame,

@@ -107,6 +107,54 @@ def cell_edges(cells: DataFrame, k: int, distance: Distance, tasks: int, place:
     return rows.mapInArrow(compare, EDGE_SCHEMA)
 
 
+def whole_lists(rows: DataFrame, k: int, tasks: int) -> DataFrame:
+    """The k nearest of every node among the members of all its buckets, with their `rank`: edges that nothing has to merge.
+
+    `rows` have (id, group_id, features, buckets); ids are unique. Each of `tasks` tasks gets all rows, in one shuffle, and
+    finds the lists of its own share of them, a slice at a time.
+    """
+    share = F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")
+    dealt = rows.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_place"), share.alias("_share"), "*")
+    dealt = dealt.repartitionById(tasks, F.col("_place"))
+    dealt = dealt.select((F.col("_share") == F.col("_place")).alias("mine"), "id", "group_id", "features", "buckets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from _gathered(_lists_of(pa.Table.from_batches(held), k))
+
+    return dealt.mapInArrow(compare, f"{EDGE_SCHEMA}, rank int")
+
+
+def _lists_of(table: pa.Table, k: int) -> Iterator[tuple]:
+    """Ranked lists of the rows that are `mine`."""
+    table = table.combine_chunks()
+    column = {name: table.column(name).chunk(0) for name in table.column_names}
+    ids, mine = (column[name].to_numpy(zero_copy_only=False) for name in ("id", "mine"))
+    groups = pc.fill_null(column["group_id"].cast(pa.int64()), NO_GROUP).to_numpy(zero_copy_only=False)
+    targets = np.argsort(groups, kind="stable")
+    lengths = pc.list_value_length(column["buckets"]).to_numpy(zero_copy_only=False)
+    bucket = column["buckets"].flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    place = np.empty(len(ids), np.int64)
+    place[targets] = np.arange(len(ids))
+    # Places of each bucket's members among the targets, bucket by bucket; and where the buckets of each row begin.
+    order = np.argsort(bucket, kind="stable")
+    members, upto = np.repeat(place, lengths)[order], np.append(0, np.cumsum(np.bincount(bucket)))
+    begin = np.append(0, np.cumsum(lengths))
+
+    def among(part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(part), len(ids)), bool)
+        for row, met in zip(part.tolist(), out):
+            for b in bucket[begin[row] : begin[row + 1]].tolist():
+                met[members[upto[b] : upto[b + 1]]] = True
+        return out
+
+    for src, dst, d in _block(matrix(column["features"]), ids, groups, np.flatnonzero(mine), targets, k, None, among=among):
+        first = np.flatnonzero(np.append(True, (src[1:] != src[:-1]) | (groups[dst[1:]] != groups[dst[:-1]])))
+        rank = np.arange(1, len(src) + 1) - np.repeat(first, np.diff(np.append(first, len(src))))
+        yield ids[src], groups[dst], ids[dst], d, rank
+
+
 def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no cell is cut in two."""
     held: list[pa.RecordBatch] = []
@@ -180,15 +228,17 @@ def _compare_cells(piece: pa.Table, k: int, own: tuple | None) -> Iterator[tuple
                 yield ids[src], groups[dst], ids[dst], d
 
 
-def _edge_batch(src, group_id, dst, distance) -> pa.RecordBatch:
+def _edge_batch(src, group_id, dst, distance, rank=None) -> pa.RecordBatch:
+    ranks = [] if rank is None else [pa.array(rank, pa.int32())]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(src, pa.int64()),
             pa.array(np.where(group_id == NO_GROUP, 0, group_id), pa.int32(), mask=group_id == NO_GROUP),
             pa.array(dst, pa.int64()),
             pa.array(distance, pa.float64()),
+            *ranks,
         ],
-        names=["src", "group_id", "dst", "distance"],
+        names=["src", "group_id", "dst", "distance", "rank"][: 4 + len(ranks)],
     )
 
 
@@ -362,11 +412,11 @@ def _raised(bound: np.ndarray, dtype) -> np.ndarray:
     return bound if dtype == bound.dtype else np.nextafter(bound.astype(dtype), dtype.type(np.inf))
 
 
-def _block(x, ids, groups, sources, targets, k, own, back=False):
+def _block(x, ids, groups, sources, targets, k, own, back=False, among=None):
     """The k nearest targets of each group for each source, in slices of the distance matrix.
 
     `targets` are sorted by group. `own` is the caller's own distance; with `back` all rows are of one group and the k nearest
-    sources of each target come too, from the same distances. For squared distances a product gives
+    sources of each target come too, from the same distances. `among` tells of a slice which targets count. For squared distances a product gives
     approximate values; all targets within its rounding error of their group's k-th are then measured exactly, so the
     choice is that of the exact distances.
     """
@@ -391,9 +441,14 @@ def _block(x, ids, groups, sources, targets, k, own, back=False):
         same = np.repeat(np.arange(len(part)), end - begin)
         mine = by_id[np.arange(len(same)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)]
         d[same, mine] = np.inf
+        apart = None if among is None else ~among(part)
+        if apart is not None:
+            d[apart] = np.inf
         bound = _raised(_bounds(d, first, sizes, k) + np.reshape(slack, (-1, 1)), d.dtype)
         near = d <= (bound if len(sizes) == 1 else np.repeat(bound, sizes, axis=1))
         near[same, mine] = False
+        if apart is not None:
+            near[apart] = False
         if reverse:
             reverse.add(measure, part, d, slack, same, mine)
         i, j = np.divmod(np.flatnonzero(near), len(targets))
