@@ -5,11 +5,15 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from vicinal.operators import cells, retire
+from vicinal.functions.sparse import Rows, pair_squares, to_sparse
+from vicinal.operators import cells, retire, strips
 from vicinal.operators.buckets import bucketize, knn_in_buckets
+from vicinal.operators.exact import knn_exact
 from vicinal.operators.retire import completed_ids
+from vicinal.sources.points import describe
 
 
 def test_manhattan_block_holds_little_beside_its_result():
@@ -119,3 +123,55 @@ def test_neighbours_of_long_lists_are_counted_packed(spark, monkeypatch):
                 packed = completed_ids(graph, viewed, k, 0, groups)
                 assert "Distinct" not in packed._jdf.queryExecution().logical().toString()
                 assert sorted(str(r["id"]) for r in packed.collect()) == plain
+
+
+@pytest.mark.parametrize("many, met", [(0.9, 60), (0.0, 1 << 20), (0.3, 1 << 20)])
+def test_sparse_strips_give_the_graph_of_the_full_vectors(spark, many, met, monkeypatch):
+    """Blocks of sources against groups of targets, where few or many coordinates are shared, with ties and empty vectors."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(120, 25)) * (rng.random((120, 25)) < rng.choice([0.05, 0.3], (120, 1))), 1)
+    x[3:7], x[10:13] = x[3], 0
+    ids = rng.permutation(120) * 11 - 500
+    dense = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())], "id long, features array<double>")
+    dense = dense.withColumn("label", F.lit(0.0)).repartition(3)
+    sparse = dense.withColumn("features", to_sparse(F.col("features")))
+    monkeypatch.setattr(strips, "MANY", many)
+    monkeypatch.setattr(strips, "MET_AT_ONCE", met)
+    monkeypatch.setattr(strips, "CHUNK_ENTRIES", 40)
+    monkeypatch.setattr(strips, "SOURCE_BYTES", 2000)
+    monkeypatch.setattr(strips, "TARGET_BYTES", 1500)
+    for k in (1, 4, 200):
+        found = knn_exact(sparse, k)
+        assert sorted(found.collect()) == sorted(knn_exact(dense, k).collect())
+    edges = strips.strip_edges(sparse, 4, describe(sparse))
+    assert 4 * 120 < edges.count() < 120 * 119
+
+
+def test_chunks_are_packed_without_loss():
+    rng = np.random.default_rng(13)
+    counts = rng.integers(0, 60, 400)
+    rows = [np.sort(rng.choice(1 << 20, n, replace=False)) for n in counts]
+    values = rng.integers(1, 50, counts.sum()).astype(float)
+    values[::7] = rng.normal(size=len(values[::7])) * 1e300
+    values[1] = -0.0
+    x = Rows(1 << 20, np.append(0, np.cumsum(counts)), np.concatenate(rows).astype(np.int64), values)
+    ids = rng.integers(-(2**62), 2**62, 400)
+    batch = strips._packed(5, ids, x)
+    got_ids, got = strips._unpacked({c: batch.column(c)[0] for c in batch.schema.names})
+    assert np.array_equal(got_ids, ids) and got.size == x.size and got.values.tobytes() == x.values.tobytes()
+    assert np.array_equal(got.starts, x.starts) and np.array_equal(got.indices, x.indices)
+    assert batch.nbytes < 0.6 * 12 * len(values)
+
+
+def test_few_pairs_are_measured_where_few_share_a_coordinate(monkeypatch):
+    rng = np.random.default_rng(14)
+    n, each = 3000, 5
+    columns = np.sort(rng.integers(0, 200_000, (n, each)) + np.arange(each) * 200_000, axis=1)
+    x = Rows(each * 200_000, np.arange(n + 1) * each, columns.ravel(), rng.integers(1, 50, n * each).astype(float))
+    x, seen = x.take(np.argsort(x.squares())), []
+    monkeypatch.setattr(strips, "pair_squares", lambda a, i, b, j: seen.append(len(i)) or pair_squares(a, i, b, j))
+    monkeypatch.setattr(strips, "PAIRS_AT_ONCE", 1 << 15)
+    strip = strips._Strip([(np.arange(n), x)], 5)
+    for at in range(0, n, 100):
+        strip.meet(np.arange(at, at + 100), x.take(np.arange(at, at + 100)))
+    assert sum(len(b) for b in strip.edges()) == 5 * n and sum(seen) < 0.02 * n * n
